@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, tokencount
+from . import bpe, classifier, media, neighbours, packing, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_gam": classifier.op1_quality_gam,
     "op2_token_counts": tokencount.op2_count_tokens,
+    "op4_simhash_anchors": simhash.op4_simhash_anchors,
     "op7_bpe_merge_replay": bpe.op7_bpe_merge_replay,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_transport_stream": media.op9_transport_stream,
+    "op10_metric_range_join": neighbours.op10_metric_range_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
