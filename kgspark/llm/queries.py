@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, linededup, media, neighbours, packing, passages, simhash, tokencount
+from . import bpe, classifier, linededup, media, neighbours, packing, passages, simhash, suffix, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": classifier.op1_quality_gam,
     "op2_token_counts": tokencount.op2_count_tokens,
     "op3_fuzzy_lines": linededup.op3_fuzzy_lines,
     "op4_simhash_anchors": simhash.op4_simhash_anchors,
+    "op5_induced_suffixes": suffix.op5_induced_suffixes,
     "op6_compact_windows": passages.op6_compact_windows,
     "op7_bpe_merge_replay": bpe.op7_bpe_merge_replay,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
