@@ -11,6 +11,7 @@ rows at once.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_blocks, table
+from .common import blocks, map_blocks, table
 
 #: Labelled rows that a fit takes at most: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20_000
@@ -244,6 +245,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_blocks(rows, step, schema).withColumnRenamed("id", id_col)
 
 
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """Rows of ``docs``, all columns, whose text scores ``least`` or more."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, at):
+                x = np.array([features(t) for t in block.column(at).to_pylist()]).reshape(-1, len(FEATURES))
+                yield block.filter(pa.array(model.score(x) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))

@@ -171,6 +171,13 @@ def components(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return marked.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with only the smallest id of each group of near-duplicates; rows with a null id stay."""
+    groups = components(fingerprints(docs, id_col, text_col), id_col)
+    dropped = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+
+
 def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = components(fingerprints(table(spark, sf_dir, "documents")))
     return done.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
