@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import evidence, graph
+
+PARTS = [evidence, graph]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for part in PARTS for k, q in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: q for part in PARTS for k, q in part.ORACLE_SQL.items()}
