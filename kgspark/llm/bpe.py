@@ -24,7 +24,7 @@ from .common import map_blocks, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text of one replayed block, in bytes.
-REPLAY_BYTES = 24 << 20
+REPLAY_BYTES = 10 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -170,8 +170,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     return map_blocks(df.select(id_col, text_col), step, f"id {kind}, token_ids array<int>", limit=REPLAY_BYTES).withColumnRenamed("id", id_col)
 
 
-def encode_block(texts: list[str | None], coder: MergeReplay) -> list[bytes]:
-    """The little-endian 32-bit ids of each text."""
+def encode_block(texts: list[str | None], coder) -> list[bytes]:
+    """The little-endian 32-bit ids of each text; ``coder`` encodes the distinct words."""
     lexicon = pretokens.Lexicon()
     numbered = lexicon.numbers(texts)
     flat, start = coder.encode_words([w.encode() for w in lexicon.number])

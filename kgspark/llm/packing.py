@@ -19,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import MergeReplay, encode_block, replayer, tokenizer_path
+from .bpe import encode_block, tokenizer_path
 from .common import _arrow_schema, blocks, checkpointed, table
+from .tokencount import VOCABULARY, CountTransducer, transducer
 
 CAPACITY = 2048
 #: Items of a group, on average.
@@ -28,16 +29,15 @@ GROUP_ITEMS = 8192
 #: Passes of the local search over the underfull bins.
 PASSES = 8
 #: Text encoded at a time, in bytes.
-ENCODE_BYTES = 16 << 20
-SPECIAL = {"<|endoftext|>": 50256}
+ENCODE_BYTES = 4 << 20
 
 
-def encode_with_special(texts: list[str | None], coder: MergeReplay, special: dict[str, int]) -> list[bytes]:
+def encode_with_special(texts: list[str | None], coder: CountTransducer) -> list[bytes]:
     """As ``encode_block``; special strings inside texts become their ids."""
     parts, spread = [], []
     for text in texts:
         pieces: list[str | int] = [text or ""]
-        for mark, number in special.items():
+        for mark, number in coder.special_ids.items():
             if any(isinstance(p, str) and mark in p for p in pieces):
                 cut: list[str | int] = []
                 for p in pieces:
@@ -72,7 +72,7 @@ def token_pieces(
     Longer ones are cut so that only the first piece may be shorter.  Every
     input row gives its own pieces, also where ids are null or repeated.
     """
-    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    path = tokenizer_path(VOCABULARY)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     arrow = _arrow_schema(df.sparkSession, schema)
@@ -83,7 +83,7 @@ def token_pieces(
             for block in blocks(batch, 1, ENCODE_BYTES):
                 rows: list[tuple] = []
                 owner: list[int] = []
-                for k, ids in enumerate(encode_with_special(block.column(1).to_pylist(), replayer(path), SPECIAL)):
+                for k, ids in enumerate(encode_with_special(block.column(1).to_pylist(), transducer(path))):
                     ids += end
                     total = len(ids) // 4
                     bounds = [0, *range((total - 1) % capacity + 1, total + 1, capacity)]

@@ -20,7 +20,7 @@ REACH = 4
 #: Stands between texts; no text can hold it.
 END, END_CLASS = 0x110000, 4
 #: Characters hashed at a time.
-GROUP_CHARS = 3 << 20
+GROUP_CHARS = 1 << 20
 
 # Code points with the property White_Space.
 WHITE_SPACE = [
@@ -169,7 +169,7 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64, ``n`` at least."""
-    size = 1 << max(22, (n - 1).bit_length())
-    if size > 1 << 22:
+    size = 1 << max(20, (n - 1).bit_length())
+    if size > 1 << 20:
         return _powers.__wrapped__(size)
     return _powers(size)

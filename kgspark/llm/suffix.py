@@ -27,7 +27,7 @@ from .induced import equal_starts
 from .pretokens import powers
 
 WINDOW, GRAM = 100, 28
-BLOCK = 3 << 20
+BLOCK = 1 << 20
 #: Bytes of contexts after which a shard is sorted.
 SHARD_BYTES = 8 << 20
 
@@ -213,8 +213,10 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     earlier: in a document of smaller id, or before in the same one.  Texts are
     UTF-8 bytes, null ones empty, and strings don't cross documents.  Rows with
     a null id are left whole and don't count.  Ids are a document's name: rows
-    of one id with one text are one document and get the same result.
+    of one id with one text are one document and get the same result.  Columns
+    that are named removed or kept already are replaced.
     """
+    docs = docs.drop("removed", "kept")
     names = docs.columns
     text_at = names.index(text_col)
     session = docs.sparkSession

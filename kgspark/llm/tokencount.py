@@ -52,7 +52,8 @@ class CountTransducer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         sign = _byte_signs()
-        self.special = sorted((t["content"] for t in spec.get("added_tokens", []) if t.get("special")), key=len, reverse=True)
+        self.special_ids = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
+        self.special = sorted(self.special_ids, key=len, reverse=True)
         special = set(self.special)
         self.tokens = {bytes(sign[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         merges = [pair if isinstance(pair, list) else pair.split(" ") for pair in spec["model"]["merges"]]
@@ -139,9 +140,32 @@ class CountTransducer:
         they are first reached.  ``own, start, node`` list for each state the
         tokens that may end later: where they began and their place in the trie.
         """
-        raw = [w.encode() for w in words]
+        return self._read([w.encode() for w in words])[0]
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and where each word starts (with the end).
+
+        From its last state, a word's tokens follow backwards from state to state.
+        """
+        counts, state, last, start = self._read(words)
+        begin = np.zeros(len(words) + 1, np.int64)
+        np.cumsum(counts, out=begin[1:])
+        ids = np.empty(int(begin[-1]), np.int32)
+        place = begin[1:] - 1
+        live = np.flatnonzero(counts)
+        state, place = state[live], place[live]
+        while len(state):
+            ids[place] = last[state]
+            state, place = start[state], place - 1
+            more = state > 0
+            state, place = state[more], place[more]
+        return ids, begin
+
+    def _read(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(count of each word, its last state; last token of each state, state before that token)."""
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         out = np.zeros(len(raw), np.int64)
+        final, finals = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
         order = np.argsort(-sizes, kind="stable")
         spot = np.append(0, np.cumsum(sizes))[:-1][order]
         data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
@@ -150,7 +174,7 @@ class CountTransducer:
         state, first = np.zeros(len(raw), np.int64), 0  # of each word; number of the level's first state
         level_total = np.zeros(1, np.int64)
         own = start = node = np.zeros(0, np.int64)
-        every_total, every_last = Grown(level_total), Grown(np.array([START]))
+        every_total, every_last, every_start = Grown(level_total), Grown(np.array([START])), Grown(np.zeros(1, np.int64))
         emitted = np.zeros(len(raw), np.int64)
         for depth in range(longest):
             n = int(active[depth])
@@ -193,10 +217,13 @@ class CountTransducer:
             level_total = new_total
             every_total.add(new_total)
             every_last.add(token[chosen])
+            every_start.add(start[chosen])
             state[:n] = of
+            final[:n] = first + of
             emitted[:n] += emit[of]
         out[order] = emitted
-        return out
+        finals[order] = final
+        return out, finals, every_last.held, every_start.held
 
 
 class Grown:
