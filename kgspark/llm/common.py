@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Text handed to one step of a Python task at a time, in bytes.
 BLOCK_BYTES = 8 << 20
@@ -53,7 +54,7 @@ def blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) -> Iter
 def map_blocks(
     df: DataFrame,
     step: Callable[[pa.RecordBatch], dict[str, list] | None],
-    schema: str,
+    schema: str | StructType,
     text: int = 1,
     limit: int = BLOCK_BYTES,
 ) -> DataFrame:
@@ -76,11 +77,23 @@ def map_blocks(
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def extended(df: DataFrame, fields: str) -> StructType:
+    """The columns of ``df`` and ``fields`` behind them."""
+    return StructType([*df.schema.fields, *_parse_datatype_string(fields).fields])
+
+
+def _arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(schema))
+    return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 40) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, map_blocks, table
+from .common import checkpointed, connected_components, fresh, map_blocks, table
 
 SHINGLE, SIMILARITY = 9, 0.8
 #: Hashes of a band and bands: a pair at 0.8 shares a band with probability 0.997.
@@ -190,12 +190,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     empty text, or the blank lines that they had.
     """
     fates = line_fates(docs, id_col, text_col).where(~F.col("kept"))
-    gone = fates.groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("line_no").alias("_gone"))
-    kept = docs.join(gone, docs[id_col] == gone["_gone_id"], "left")
+    gone_id, gone_lines = fresh(docs, "_gone_id"), fresh(docs, "_gone")
+    gone = fates.groupBy(F.col(id_col).alias(gone_id)).agg(F.collect_set("line_no").alias(gone_lines))
+    kept = docs.join(gone, docs[id_col] == gone[gone_id], "left")
     split = F.split(F.col(text_col), "\n", -1)
-    left = F.filter(split, lambda line, k: ~F.array_contains("_gone", k))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    return kept.withColumn(text_col, text).select(*docs.columns)
+    left = F.filter(split, lambda line, k: ~F.array_contains(gone_lines, k))
+    text = F.when(F.col(gone_lines).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    return kept.withColumn(text_col, text).select(*[docs[f"`{c}`"] if c != text_col else F.col(text_col) for c in docs.columns])
 
 
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_blocks, table
+from .common import _arrow_schema, extended, map_blocks, table
 
 PAD_TO = 576
 #: Bytes of payload in an access unit.
@@ -222,13 +222,12 @@ MEDIA_FIELDS = "payload binary, stream_type int, n_packets long, continuity_erro
 def load(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Read transport streams back; all columns of ``df`` stay, MEDIA_FIELDS are added.
 
-    A null stream gives nulls.  Damaged streams raise.
+    A null stream gives nulls.  Damaged streams raise.  Columns that are named
+    like one of MEDIA_FIELDS already are replaced.
     """
-    from .common import _arrow_schema
-
-    kept = df.columns
     arrow = _arrow_schema(df.sparkSession, MEDIA_FIELDS)
-    out = df.schema.simpleString()[len("struct<") : -1]
+    df = df.drop(*arrow.names)
+    kept = df.columns
     spot = kept.index(media_col)
 
     def step(block: pa.RecordBatch) -> dict[str, list]:
@@ -236,7 +235,7 @@ def load(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> Dat
         columns = {name: block.column(k) for k, name in enumerate(kept)}
         return columns | {f.name: [x.get(f.name) for x in read] for f in arrow}
 
-    return map_blocks(df, step, f"{out}, {MEDIA_FIELDS}", text=spot)
+    return map_blocks(df, step, extended(df, MEDIA_FIELDS), text=spot)
 
 
 def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_block, tokenizer_path
-from .common import _arrow_schema, blocks, checkpointed, table
+from .common import _arrow_schema, blocks, checkpointed, fresh, table
 from .tokencount import VOCABULARY, CountTransducer, transducer
 
 CAPACITY = 2048
@@ -183,17 +183,20 @@ def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY)
     """Adds sequence_id and offset to items of a length of at most ``capacity``.
 
     Offsets in a sequence run without gaps from 0.  Rows with a null length
-    get nulls; longer items raise.  Items that are equal stay separate.
+    get nulls; longer items raise.  Items that are equal stay separate.  Columns
+    that have the two names already are replaced.
     """
-    numbered = checkpointed(items.withColumn("_row", F.monotonically_increasing_id()))
+    items = items.drop("sequence_id", "offset")
+    row = fresh(items, "_row")
+    numbered = checkpointed(items.withColumn(row, F.monotonically_increasing_id()))
     groups = max(1, -(-numbered.count() // GROUP_ITEMS))
     dealt = numbered.where(F.col(length_col).isNotNull()).select(
-        "_row", F.col(length_col).cast("long").alias("_length"), F.pmod(F.xxhash64("_row"), F.lit(groups)).alias("_group")
+        F.col(row).alias("row"), F.col(length_col).cast("long").alias("length"), F.pmod(F.xxhash64(row), F.lit(groups)).alias("group")
     )
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_row")
-        sizes = rows["_length"].tolist()
+        rows = rows.sort_values("row")
+        sizes = rows["length"].tolist()
         if max(sizes) > capacity:
             raise ValueError("an item is longer than a sequence")
         bins = Bins(sizes, capacity)
@@ -205,10 +208,10 @@ def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY)
             for item in sorted(held):
                 sequence[item], offset[item] = key[0] << 32 | b, at
                 at += sizes[item]
-        return pd.DataFrame({"_row": rows["_row"].to_numpy(), "sequence_id": sequence, "offset": offset})
+        return pd.DataFrame({row: rows["row"].to_numpy(), "sequence_id": sequence, "offset": offset})
 
-    placed = dealt.groupBy("_group").applyInPandas(place, "_row long, sequence_id long, offset long")
-    return numbered.join(placed, "_row", "left").drop("_row")
+    placed = dealt.groupBy("group").applyInPandas(place, f"{row} long, sequence_id long, offset long")
+    return numbered.join(placed, row, "left").drop(row)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, map_blocks, table
+from .common import checkpointed, connected_components, fresh, map_blocks, table
 
 WORDS, SEED, DISTANCE = 3, 42, 2
 BLOCK_BITS, RADIUS = 23, 3
@@ -174,8 +174,9 @@ def components(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with only the smallest id of each group of near-duplicates; rows with a null id stay."""
     groups = components(fingerprints(docs, id_col, text_col), id_col)
-    dropped = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+    gone = fresh(docs, "_dropped")
+    dropped = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(dropped, docs[id_col] == dropped[gone], "left_anti")
 
 
 def op4_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

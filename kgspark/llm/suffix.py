@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, blocks, table
+from .common import _arrow_schema, blocks, extended, fresh, table
 from .induced import equal_starts
 from .pretokens import powers
 
@@ -218,7 +218,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.drop("removed", "kept")
     names = docs.columns
-    text_at = names.index(text_col)
+    text_at, marked, sorted_ = names.index(text_col), fresh(docs, "_doc"), fresh(docs, "_sorted")
     session = docs.sparkSession
     context_schema = _arrow_schema(session, "anchor long, ctx long, doc long, at int, n int")
 
@@ -229,8 +229,8 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, context_schema)], schema=context_schema)
 
     hashed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(contexts, "anchor long, ctx long, doc long, at int, n int")
-    decided = _decisions(hashed).groupBy("doc").agg(F.collect_list(F.struct("at", "n", "anchor", "open")).alias("_marks")).withColumnRenamed("doc", "_doc")
-    with_marks = docs.join(decided, docs[id_col] == decided["_doc"], "left")
+    decided = _decisions(hashed).groupBy("doc").agg(F.collect_list(F.struct("at", "n", "anchor", "open")).alias(fresh(docs, "_marks"))).withColumnRenamed("doc", marked)
+    with_marks = docs.join(decided, docs[id_col] == decided[marked], "left")
     marks_at = len(names) + 1
     open_schema = _arrow_schema(session, "anchor long, doc long, at int, n int, context binary")
 
@@ -246,9 +246,9 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, open_schema)], schema=open_schema)
 
     opened = with_marks.mapInArrow(open_contexts, "anchor long, doc long, at int, n int, context binary")
-    spans = _sorted_shards(opened).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnRenamed("doc", "_doc2")
-    joined = with_marks.join(spans, docs[id_col] == spans["_doc2"], "left")
-    schema = docs.schema.simpleString()[len("struct<") : -1] + ", removed array<struct<start:int,end:int>>, kept binary"
+    spans = _sorted_shards(opened).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias(fresh(docs, "_spans"))).withColumnRenamed("doc", sorted_)
+    joined = with_marks.join(spans, docs[id_col] == spans[sorted_], "left")
+    schema = extended(docs, "removed array<struct<start:int,end:int>>, kept binary")
     arrow = _arrow_schema(session, schema)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
