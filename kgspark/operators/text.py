@@ -40,12 +40,16 @@ def cooccurrence(mentions: DataFrame, section_size: int) -> DataFrame:
     Sections are runs of ``section_size`` sentences.  The first sentence of the
     smaller term at that level is the evidence.
     """
-    m = mentions.select("doc_id", "sentence_id", (F.col("sentence_id") / section_size).cast("int").alias("section"), "term")
-    a = m.select("doc_id", F.col("term").alias("lo"), F.col("sentence_id").alias("s"), F.col("section").alias("p"))
-    b = m.select("doc_id", F.col("term").alias("hi"), F.col("sentence_id").alias("t"), F.col("section").alias("q"))
-    pairs = a.join(b, "doc_id").where("lo < hi")
-    level = F.when(F.col("s") == F.col("t"), 0).when(F.col("p") == F.col("q"), 1).otherwise(2)
-    best = pairs.groupBy("doc_id", "lo", "hi").agg(F.min(F.struct(level.alias("level"), F.col("s"))).alias("best"))
+    section = (F.col("sentence_id") / section_size).cast("int")
+    m = mentions.select("doc_id", "sentence_id", section.alias("section"), "term")
+    pairs = None
+    # each level pairs the different terms of a sentence, a section, a document, not their mentions
+    for level, place in enumerate((["doc_id", "sentence_id"], ["doc_id", "section"], ["doc_id"])):
+        terms = m.groupBy(*place, "term").agg(F.min("sentence_id").alias("s"))
+        a, b = terms.withColumnRenamed("term", "lo"), terms.drop("s").withColumnRenamed("term", "hi")
+        met = a.join(b, place).where("lo < hi").select("doc_id", "lo", "hi", F.struct(F.lit(level).alias("level"), F.col("s")).alias("at"))
+        pairs = met if pairs is None else pairs.union(met)
+    best = pairs.groupBy("doc_id", "lo", "hi").agg(F.min("at").alias("best"))
     names = F.when(F.col("best.level") == 0, "same_sentence").when(F.col("best.level") == 1, "same_section").otherwise("same_paper")
     score = F.when(F.col("best.level") == 0, PROXIMITY["same_sentence"]).when(F.col("best.level") == 1, PROXIMITY["same_section"]).otherwise(PROXIMITY["same_paper"])
     return best.select("doc_id", "lo", "hi", names.alias("level"), score.alias("score"), F.col("best.s").alias("sentence_id"))

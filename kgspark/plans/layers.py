@@ -29,7 +29,7 @@ def _checked(spark: SparkSession, d: str) -> DataFrame:
 
 def _integrity(spark: SparkSession, d: str) -> DataFrame:
     orders, line, customer = (table(spark, d, t) for t in ("orders", "lineitem", "customer"))
-    some = customer.where("c_custkey % 10 <> 3")
+    some = customer.where("c_acctbal > 0")
     return (
         u.orphans(orders, "o_custkey", some, "c_custkey", "order_without_customer")
         .union(u.orphans(line, "l_partkey", table(spark, d, "part").where("p_size > 2"), "p_partkey", "line_without_part"))
@@ -166,7 +166,7 @@ _YEARS = f"WITH {CONN}, a AS (SELECT src, dst, max(confidence) AS confidence FRO
 ORACLE_SQL = {
     "rule_summary": f"{_RULES} SELECT * FROM (SELECT unnest(['EMPTY_NAME', 'DUPLICATE_NAME', 'ODD_TYPE', 'PRICE_RANGE', 'SIZE_RANGE']) AS code, unnest([count(*) FILTER (a), count(*) FILTER (b), count(*) FILTER (c), count(*) FILTER (d), count(*) FILTER (e)]) AS n FROM f) WHERE n > 0",
     "rule_status": f"{_RULES} SELECT CASE WHEN a OR d THEN 'blocked' WHEN c THEN 'failed' WHEN b OR e THEN 'warning' ELSE 'passed' END AS status, count(*) AS n FROM f GROUP BY 1",
-    "integrity_checks": "SELECT 'order_without_customer' AS issue, CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 3) UNION ALL SELECT 'line_without_part', CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 2) UNION ALL SELECT 'duplicate_line', l_orderkey || ':' || l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+    "integrity_checks": "SELECT 'order_without_customer' AS issue, CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT 'line_without_part', CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 2) UNION ALL SELECT 'duplicate_line', l_orderkey || ':' || l_linenumber FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
     "enum_anomalies": "SELECT 'priority' AS issue, o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 2 UNION ALL SELECT 'segment', c_mktsegment, count(*) FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') GROUP BY 2",
     "keep_best": f"WITH {CONN} SELECT src, dst, type, confidence, l_orderkey, merged FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, type ORDER BY confidence DESC, l_orderkey, l_linenumber, l_suppkey, evidence) AS k, count(*) OVER (PARTITION BY src, dst, type) AS merged FROM conn WHERE src <> dst) WHERE k = 1",
     "upsert": f"{_YEARS.format('run_id < 1998', 'run_id = 1999')} SELECT coalesce(b.src, a.src) AS src, coalesce(b.dst, a.dst) AS dst, coalesce(b.confidence, a.confidence) AS confidence FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst",
