@@ -69,26 +69,26 @@ def roll_up(parts: DataFrame, key: tuple[str, ...] = ("src", "dst"), digits: int
     )
 
 
-def directionality(rows: DataFrame) -> DataFrame:
-    """Resolved direction of each ordered pair, with a look at the reverse pair.
+def directionality(rows: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """Resolved direction of each ordered pair (and ``key``), with a look at the reverse pair.
 
-    Directed both ways is bidirectional; one value throughout is kept; else the
-    majority must be twice the rest, or it stays unspecified.
+    The first rule that holds decides: any bidirectional report; this pair and
+    its reverse all directed (bidirectional); one value throughout; of a mixture
+    the most definite value, directed before undirected before unspecified.
     """
     usable, _, _ = split_reports(rows)
-    own = usable.groupBy("src", "dst").agg(F.count_if(F.col("direction") == "directed").alias("directed"), F.count(F.lit(1)).alias("total"))
-    back = own.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("directed").alias("back_directed"), F.col("total").alias("back_total"))
-    joined = own.join(back, ["src", "dst"], "left")
-    other = F.col("total") - F.col("directed")
+    n = lambda value: F.count_if(F.col("direction") == value)
+    own = usable.groupBy("src", "dst", *key).agg(n("bidirectional").alias("both_ways"), n("directed").alias("directed"), n("undirected").alias("undirected"), F.count(F.lit(1)).alias("total"))
+    back = own.select(F.col("src").alias("dst"), F.col("dst").alias("src"), *key, (F.col("directed") == F.col("total")).alias("back_directed"))
+    joined = own.join(back, ["src", "dst", *key], "left")
     resolved = (
-        F.when((other == 0) & (F.col("back_total") == F.col("back_directed")), "bidirectional")
-        .when(other == 0, "directed")
-        .when(F.col("directed") == 0, "undirected")
-        .when(F.col("directed") >= 2 * other, "directed")
-        .when(other >= 2 * F.col("directed"), "undirected")
+        F.when(F.col("both_ways") > 0, "bidirectional")
+        .when((F.col("directed") == F.col("total")) & F.col("back_directed"), "bidirectional")
+        .when(F.col("directed") > 0, "directed")
+        .when(F.col("undirected") > 0, "undirected")
         .otherwise("unspecified")
     )
-    return joined.select("src", "dst", "directed", "total", resolved.alias("direction"))
+    return joined.select("src", "dst", *key, "directed", "total", resolved.alias("direction"))
 
 
 def source_groups(rows: DataFrame) -> DataFrame:
@@ -113,25 +113,34 @@ def quality_v1(rows: DataFrame) -> DataFrame:
     steady = consistency(F.col("mean"), F.col("sd"), F.col("n"), F.col("n") > 0)
     score = 0.45 * F.least(F.col("n"), F.lit(10)) / 10 + 0.35 * F.least(F.col("runs"), F.lit(3)) / 3 + 0.2 * steady
     out = g.select("src", "dst", "n", "runs", steady.alias("consistency"), F.round(score, 4).alias("score"))
-    return out.withColumn("level", F.when(F.col("score") >= 0.7, "high").when(F.col("score") >= 0.45, "medium").otherwise("low"))
+    return out.withColumn("level", level(F.col("score")))
 
 
-def quality_v2(canonical: DataFrame, sources: Column, provenance: Column, validation: Column, digits: int = 4) -> DataFrame:
-    """Final-layer score: evidence .30, sources .20, confidence .15, provenance .15, validation .20."""
-    score = (
-        0.30 * F.least(F.col("evidence_count") / 10, F.lit(1.0))
-        + 0.20 * F.least(sources / 3, F.lit(1.0))
-        + 0.15 * F.least(F.col("avg_confidence"), F.lit(1.0))
-        + 0.15 * provenance
-        + 0.20 * validation
-    )
-    return canonical.withColumn("score", F.round(score, digits))
+def level(score: Column) -> Column:
+    return F.when(score >= 0.7, "high").when(score >= 0.45, "medium").otherwise("low")
+
+
+def provenance_completeness(records: Column, traced: Column, runs: Column, groups: Column, keys: Column) -> Column:
+    """0.4 for supporting records (half where not all of them are traced), 0.3 for runs (3 suffice), 0.15 for source groups (2), 0.15 for the share of keys."""
+    whole = F.when(records == 0, 0.0).when(traced == records, 1.0).otherwise(0.5)
+    return F.round(F.least(F.lit(1.0), 0.4 * whole + 0.3 * F.least(runs, F.lit(3)) / 3 + 0.15 * F.least(groups, F.lit(2)) / 2 + 0.15 * keys), 4)
+
+
+def quality_v2(canonical: DataFrame, sources: Column, provenance: Column, valid: Column, digits: int = 4) -> DataFrame:
+    """Final-layer score and level: evidence .30, sources .20, confidence .15, provenance .15, validation .20.
+
+    ``valid``: passed counts 1, failed 0.3, no record (null) 0.5.
+    """
+    validation = F.when(valid.isNull(), 0.5).when(valid, 1.0).otherwise(0.3)
+    mean = F.least(F.greatest(F.coalesce("avg_confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    score = 0.30 * F.least("evidence_count", F.lit(10)) / 10 + 0.20 * F.least(sources, F.lit(3)) / 3 + 0.15 * mean + 0.15 * provenance + 0.20 * validation
+    return canonical.withColumn("score", F.round(score, digits)).withColumn("level", level(F.col("score")))
 
 
-def enrichment_tier(evidence: Column, confidence: Column, provenance: Column) -> Column:
-    """A: single, weak and poorly traced evidence; C: none of these; else B."""
-    single, weak, untraced = evidence <= 1, confidence < 0.5, provenance < 0.5
-    return F.when(single & weak & untraced, "A").when(single | weak | untraced, "B").otherwise("C")
+def enrichment_tier(evidence: Column, confidence: Column, provenance: Column, quality: Column) -> Column:
+    """A: single, weak and poorly traced evidence; B: other single evidence, or a low level; else C."""
+    weak = (F.coalesce(confidence, F.lit(0.0)) < 0.5) & (provenance < 0.8)
+    return F.when((evidence == 1) & weak, "A").when((evidence == 1) | (quality == "low"), "B").otherwise("C")
 
 
 def pair_ranking(reports: DataFrame) -> DataFrame:
@@ -143,8 +152,10 @@ def pair_ranking(reports: DataFrame) -> DataFrame:
     g = pairs.groupBy("lo", "hi").agg(
         F.count_distinct("paper").alias("papers"), F.max("weight").alias("weight"), F.max("proximity").alias("proximity"), F.count_distinct("keyword").alias("keywords")
     )
-    score = F.pow(F.lit(2.0), F.least("papers", F.lit(6)) - 1) * F.col("weight") * F.col("proximity") * (1 + 0.1 * F.least("keywords", F.lit(5)))
-    tier = F.when((F.col("papers") >= 2) & (F.col("proximity") >= 0.8) & (F.col("keywords") > 0), "A").when(F.col("papers") == 0, "C").otherwise("B")
+    support = F.when(F.col("papers") > 0, F.pow(F.lit(2.0), F.least("papers", F.lit(6)) - 1)).otherwise(0.0)
+    score = support * F.col("weight") * F.col("proximity") * (1 + 0.1 * F.least("keywords", F.lit(5)))
+    near, worded, several = F.col("proximity") >= 0.8, F.col("keywords") > 0, F.col("papers") >= 2
+    tier = F.when(several & near & worded, "A").when(several | near | worded, "B").otherwise("C")
     return g.withColumn("score", F.round(score, 4)).withColumn("tier", tier)
 
 

@@ -41,8 +41,9 @@ def test_clusters_conserve_evidence(spark):
 def test_directions(spark):
     rows = [("a", "b", "t", "directed", "s", 0.5, 1, "l", "l"), ("b", "a", "t", "directed", "s", 0.5, 1, "l", "l"), ("a", "c", "t", "directed", "s", 0.5, 1, "l", "l")]
     rows += [("c", "d", "t", x, "s", 0.5, 1, "l", "l") for x in ("directed", "undirected")]
+    rows += [("e", "f", "t", x, "s", 0.5, 1, "l", "l") for x in ("bidirectional", "undirected")] + [("g", "h", "t", "unspecified", "s", 0.5, 1, "l", "l"), ("g", "i", "t", "undirected", "s", 0.5, 1, "l", "l")]
     got = {(r.src, r.dst): r.direction for r in evidence.directionality(_reports(spark, rows)).collect()}
-    assert got == {("a", "b"): "bidirectional", ("b", "a"): "bidirectional", ("a", "c"): "directed", ("c", "d"): "unspecified"}
+    assert got == {("a", "b"): "bidirectional", ("b", "a"): "bidirectional", ("a", "c"): "directed", ("c", "d"): "directed", ("e", "f"): "bidirectional", ("g", "h"): "unspecified", ("g", "i"): "undirected"}
 
 
 def _edges(spark, pairs):
