@@ -11,10 +11,10 @@ from ..functions.columns import jaccard, trigrams, words
 PROXIMITY = {"same_sentence": 0.8, "same_section": 0.6, "same_paper": 0.4}
 
 
-def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sentence_id from 0, sentence): texts cut behind a stop, question or exclamation mark and white space."""
+def sentences(docs: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """(keys, or doc_id; sentence_id from 0, sentence): texts cut behind a stop, question or exclamation mark and white space."""
     parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
-    return docs.select(key, F.posexplode(parts).alias("sentence_id", "sentence"))
+    return docs.select(*(keys or ["doc_id"]), F.posexplode(parts).alias("sentence_id", "sentence"))
 
 
 def lexicon(docs: DataFrame, pattern: str, low: int, high: int, top: int) -> DataFrame:

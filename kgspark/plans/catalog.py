@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence, graph, layers, text
+from . import circuits, evidence, graph, layers, papers, text
 
-PARTS = [evidence, graph, text, layers]
+PARTS = [evidence, graph, text, layers, circuits, papers]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for part in PARTS for k, q in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for part in PARTS for k, q in part.ORACLE_SQL.items()}

@@ -18,7 +18,11 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+#: Those that SQL can't express; test_papers.py holds them against plain loops.
+WITHOUT_SQL = {"citations", "paper_dedup"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - WITHOUT_SQL))
 def test_query_equals_sql(name, spark, duck):
     df = catalog.QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
@@ -31,4 +35,4 @@ def test_query_equals_sql(name, spark, duck):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+    assert set(catalog.QUERIES) - WITHOUT_SQL == set(catalog.ORACLE_SQL)
