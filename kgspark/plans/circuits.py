@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import circuits as k
 from ..operators import decisions as dec
 from ..operators import graph as g
-from ..sources.adapters import EDGES, regions, sparse_edges, table
+from ..operators import rules as u
+from ..sources.adapters import CONN, EDGES, connections, regions, sparse_edges, table
 from ..sources.readers import matrix_edges
 
 DIRECTIONS = {"A": "supports", "N": "partial", "R": "contradicts"}
@@ -89,7 +90,36 @@ def _matrix(spark: SparkSession, d: str) -> DataFrame:
     return matrix_edges(square, "src", least=20)
 
 
+def _checked_connections(spark: SparkSession, d: str) -> DataFrame:
+    rows = connections(spark, d).withColumn("species", F.when(F.col("species") == "EUROPE", "rodent").otherwise("human"))
+    key = ["src", "dst", "type", "direction", "species"]
+    rows = rows.where("src <> dst").withColumn("id", F.concat_ws(":", *key))
+    canonical = rows.groupBy("id", *key).agg(F.count(F.lit(1)).alias("evidence_count"), F.count_if(F.col("confidence") > 0).alias("confidence_count"), F.min("evidence").alias("provenance"))
+    canonical = canonical.withColumn("granularity", F.when(F.col("src") == "NATION_3", "meso").otherwise("macro"))
+    lineage = rows.where("confidence > 0").groupBy("id", "run_id").agg(F.count(F.lit(1)).alias("cluster_size"), F.collect_list("l_orderkey").alias("report_ids"))
+    known = regions(spark, d).where("parent <> 'ASIA'").select(F.col("name").alias("region"))
+    return u.check_connections(canonical, known, lineage, table(spark, d, "orders").where("o_totalprice > 1000").select(F.col("o_orderkey").alias("report_id")))
+
+
+def _checked_candidates(spark: SparkSession, d: str) -> DataFrame:
+    side = F.when(F.col("p_type") == "PROMO", "left").when(F.col("p_type") == "SMALL", "unknown").when(F.col("p_type") == "ECONOMY", "sideways").otherwise("right")
+    none = F.lit(None).cast("string")
+    return u.check_candidates(
+        table(spark, d, "part").select(
+            "p_partkey", F.lit(1).alias("run"), F.col("p_name").alias("raw_name"), none.alias("base_name"), F.when(F.col("p_size") > 5, F.col("p_brand")).alias("std_name"), side.alias("side"),
+            F.when(F.col("p_size") > 2, "macro").alias("level"), F.lit("atlas").alias("family"), none.alias("label_id"), F.when(F.col("p_size") < 45, F.floor("p_retailprice")).alias("label_value"),
+        )
+    )
+
+
+def _found(checked: DataFrame) -> DataFrame:
+    """Counts of statuses and of broken rules."""
+    return u.status_counts(checked).toDF("code", "n").union(u.summary(checked))
+
+
 QUERIES = {
+    "connection_rules": lambda s, d: _found(_checked_connections(s, d)),
+    "candidate_rules": lambda s, d: _found(_checked_candidates(s, d)),
     "circuit_violations": _violations,
     "topology_pre_score": _pre_scores,
     "contained_paths": _contained,
@@ -104,6 +134,19 @@ QUERIES = {
 W = f"WITH {EDGES}"
 _PLAN = " UNION ALL ".join(f"SELECT '{n}' AS relation, {layer} AS layer, count(*) AS n FROM {n}" for n, layer in LAYERS)
 ORACLE_SQL = {
+    "connection_rules": f"""WITH {CONN}, r AS (SELECT * REPLACE (CASE species WHEN 'EUROPE' THEN 'rodent' ELSE 'human' END AS species) FROM conn WHERE src <> dst),
+      c AS (SELECT src, dst, type, direction, species, count(*) AS n, count(*) FILTER (confidence > 0) AS k, count(*) FILTER (confidence > 0 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 1000)) AS lost FROM r GROUP BY ALL),
+      known AS (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'),
+      x AS (SELECT src NOT IN (SELECT * FROM known) AS a, dst NOT IN (SELECT * FROM known) AS b, type = 'anatomical' AS t, direction = 'undirected' AS dd, species <> 'human' AS sp, src = 'NATION_3' AS g, k = 0 AS l, n <> k AS e, count(*) OVER (PARTITION BY src, dst, type) > 1 AS dup, lost > 0 AS m FROM c),
+      s AS (SELECT *, CASE WHEN a OR b OR t OR dd OR sp OR g OR dup THEN 'failed' WHEN l OR e OR m THEN 'warning' ELSE 'passed' END AS status FROM x),
+      u AS (SELECT status AS code FROM s UNION ALL SELECT 'src_region_exists' FROM s WHERE a UNION ALL SELECT 'tgt_region_exists' FROM s WHERE b UNION ALL SELECT 'connection_type_valid' FROM s WHERE t UNION ALL SELECT 'direction_valid' FROM s WHERE dd UNION ALL SELECT 'species_human' FROM s WHERE sp
+        UNION ALL SELECT 'granularity_macro' FROM s WHERE g UNION ALL SELECT 'lineage_exists' FROM s WHERE l UNION ALL SELECT 'confidence_exists' FROM s WHERE l UNION ALL SELECT 'evidence_count_correct' FROM s WHERE e UNION ALL SELECT 'no_duplicate_key' FROM s WHERE dup UNION ALL SELECT 'traceable_to_mirror' FROM s WHERE m)
+      SELECT code, count(*) AS n FROM u GROUP BY code""",
+    "candidate_rules": """WITH p AS (SELECT *, CASE p_type WHEN 'PROMO' THEN 'left' WHEN 'SMALL' THEN 'unknown' WHEN 'ECONOMY' THEN 'sideways' ELSE 'right' END AS side, CASE WHEN p_size < 45 THEN floor(p_retailprice) END AS label FROM part),
+      x AS (SELECT side = 'sideways' AS a, p_size <= 2 AS b, p_size <= 5 AS c, side = 'unknown' AS d, label IS NULL AS e, label IS NOT NULL AND count(*) OVER (PARTITION BY label) > 1 AS f, count(*) OVER (PARTITION BY lower(trim(p_name)), side) > 1 AS g FROM p),
+      u AS (SELECT CASE WHEN a OR b THEN 'failed' WHEN c OR d OR e OR f OR g THEN 'warning' ELSE 'passed' END AS code FROM x UNION ALL SELECT 'laterality_validity' FROM x WHERE a UNION ALL SELECT 'granularity_coverage' FROM x WHERE b UNION ALL SELECT 'std_name_coverage' FROM x WHERE c
+        UNION ALL SELECT 'laterality_coverage' FROM x WHERE d UNION ALL SELECT 'source_id_coverage' FROM x WHERE e UNION ALL SELECT 'duplicate_label_value' FROM x WHERE f UNION ALL SELECT 'duplicate_name_laterality' FROM x WHERE g)
+      SELECT code, count(*) AS n FROM u GROUP BY code""",
     "circuit_violations": """WITH s AS (SELECT l_orderkey AS circuit, l_linenumber, l_suppkey, l_partkey, l_returnflag, p_brand AS src, CASE l_returnflag WHEN 'R' THEN 'PROMO' ELSE p_type END AS dst, p_type, p_size, r_name
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
       o AS (SELECT *, row_number() OVER (PARTITION BY circuit, l_partkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_returnflag) AS use, lead(src) OVER w AS next, first_value(src) OVER w AS head, row_number() OVER w AS nth, count(*) OVER (PARTITION BY circuit) AS steps
