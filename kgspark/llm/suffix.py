@@ -6,7 +6,9 @@ equal anchors, and a run of windows with one anchor is a context: a stretch of
 text little longer than a window.  Contexts are shuffled by anchor as hashes.
 An anchor that stands in one place has no repeat; equal contexts are one, of
 which the first place stays and the others repeat it.  Where an anchor has
-different contexts, their texts are shuffled by anchor and every shard is
+different contexts, their texts are shuffled by anchor.  A window reaches SIDE
+bytes beyond its anchor to the left or to the right, so a context that shares
+neither stretch with another has no repeat.  Every shard of the others is
 sorted by external induction with common-prefix lengths (``induced``): runs of
 suffixes that share a window's length are equal windows, all but the first of
 which are repeats.  A shard is closed at the next anchor when it is full, and
@@ -15,7 +17,7 @@ the sorter's queues go to disk, so the size of a shard is no bound on anything.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,26 @@ from .induced import equal_starts
 from .pretokens import powers
 
 WINDOW, GRAM = 100, 28
-BLOCK = 1 << 20
+SIDE = (WINDOW - GRAM) // 2
+#: Text hashed at a time: the arrays stay in the processor's cache.
+BLOCK = 1 << 17
 #: Bytes of contexts after which a shard is sorted.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+
+
+def _digests(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives 64-bit hashes of the bytes from each place to another."""
+    power, inverse = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * power[: len(data)], out=total[1:])
+
+    def digest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = (total[b] - total[a]) * inverse[a]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ h >> np.uint64(32)
+
+    return digest
 
 
 def _contexts(ids: np.ndarray, texts: list[bytes]) -> list[np.ndarray]:
@@ -40,16 +59,7 @@ def _contexts(ids: np.ndarray, texts: list[bytes]) -> list[np.ndarray]:
     if n < WINDOW:
         return [np.zeros(0, np.int64)] * 5
     span = WINDOW - GRAM + 1
-    power, inverse = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data + np.uint64(1)) * power[:n], out=total[1:])
-
-    def digest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        h = (total[b] - total[a]) * inverse[a]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ h >> np.uint64(32)
-
+    digest = _digests(data)
     at = np.arange(n - GRAM + 1)
     gram = digest(at, at + GRAM)
     ranked = np.full(-(-len(gram) // span) * span + span, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -126,6 +136,26 @@ def _decisions(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("anchor").sortWithinPartitions("anchor", "ctx", "doc", "at").mapInArrow(run, schema)
 
 
+def may_repeat(anchor: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """Which contexts share a stretch of SIDE bytes beside their anchor with another of the shard."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    digest = _digests(data)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(data) - GRAM + 1)
+    own = owner[at]
+    hit = np.flatnonzero((digest(at, at + GRAM).view(np.int64) == anchor[own]) & (at + GRAM <= ends[own]))
+    own = own[hit]
+    # where the anchor's bytes stand more than once, the context is taken as it is
+    keep = np.bincount(own, minlength=len(texts)) != 1
+    for before, behind in ((SIDE, GRAM), (0, GRAM + SIDE)):
+        fits = (hit - before >= ends[own] - sizes[own]) & (hit + behind <= ends[own])
+        _, name, count = np.unique(digest(hit[fits] - before, hit[fits] + behind), return_inverse=True, return_counts=True)
+        keep[own[fits][count[name] > 1]] = True
+    return keep
+
+
 def shard_repeats(docs: np.ndarray, at: np.ndarray, n: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, start, end) of what repeats an earlier window, from the contexts of a shard."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
@@ -158,15 +188,12 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
         return doc, start, end
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order], end[order]
-    out: list[tuple[int, int, int]] = []
-    for d, a, b in zip(doc.tolist(), start.tolist(), end.tolist()):
-        if out and out[-1][0] == d and a <= out[-1][2]:
-            if b > out[-1][2]:
-                out[-1] = d, out[-1][1], b
-        else:
-            out.append((d, a, b))
-    columns = np.array(out, np.int64)
-    return columns[:, 0], columns[:, 1], columns[:, 2]
+    # each document's places behind those of the one before it, so that one running maximum serves all
+    shift = (np.cumsum(np.append(False, doc[1:] != doc[:-1]))) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + shift)
+    opens = np.flatnonzero(np.append(True, (start + shift)[1:] > reach[:-1]))
+    last = np.append(opens[1:], len(doc)) - 1
+    return doc[opens], start[opens], (reach - shift)[last]
 
 
 def _sorted_shards(contexts: DataFrame) -> DataFrame:
@@ -174,12 +201,14 @@ def _sorted_shards(contexts: DataFrame) -> DataFrame:
     arrow = _arrow_schema(contexts.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            docs, at, n = (np.concatenate([h[k] for h in held]) for k in range(3))
-            found = shard_repeats(docs, at, n, [t for h in held for t in h[3]])
+            anchors, docs, at, n = (np.concatenate([h[k] for h in held]) for k in range(4))
+            texts = [t for h in held for t in h[4]]
+            some = np.flatnonzero(may_repeat(anchors, texts))
+            found = shard_repeats(docs[some], at[some], n[some], [texts[k] for k in some.tolist()]) if len(some) else (np.zeros(0, np.int64),) * 3
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(found, arrow)], schema=arrow)
 
         for batch in batches:
@@ -187,7 +216,7 @@ def _sorted_shards(contexts: DataFrame) -> DataFrame:
                 continue
             anchor = batch.column(0).to_numpy()
             cuts = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])).tolist() + [len(anchor)]
-            columns = [batch.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3)]
+            columns = [batch.column(k).to_numpy().astype(np.int64) for k in range(4)]
             texts = batch.column(4).to_pylist()
             begin = 0
             for a, b in zip(cuts, cuts[1:]):
@@ -237,11 +266,13 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def open_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for k, marks in enumerate(batch.column(marks_at)):
-                wanted = [m for m in marks.as_py() if m["open"]] if marks.is_valid else []
-                if wanted:
-                    raw, doc = batch.column(text_at)[k].as_py().encode(), batch.column(marks_at - 1)[k].as_py()
-                    rows += [(m["anchor"], doc, m["at"], m["n"], raw[m["at"] : m["at"] + m["n"] + WINDOW - 1]) for m in wanted]
+            row, (at, n, anchor, is_open) = _exploded(batch.column(marks_at))
+            wanted = np.flatnonzero(is_open)
+            last, raw, doc = -1, b"", 0
+            for k, start, size, name in zip(row[wanted].tolist(), at[wanted].tolist(), n[wanted].tolist(), anchor[wanted].tolist()):
+                if k != last:
+                    last, raw, doc = k, batch.column(text_at)[k].as_py().encode(), batch.column(marks_at - 1)[k].as_py()
+                rows.append((name, doc, start, size, raw[start : start + size + WINDOW - 1]))
             columns = zip(*rows) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, open_schema)], schema=open_schema)
 
@@ -256,11 +287,16 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
                 removed, kept = [], []
-                for text, marks, found in zip(part.column(text_at).to_pylist(), part.column(marks_at).to_pylist(), part.column(marks_at + 2).to_pylist()):
+                row, (at, n, _, is_open) = _exploded(part.column(marks_at))
+                row2, (lo, hi) = _exploded(part.column(marks_at + 2))
+                gone = ~is_open
+                start, end = np.append(at[gone], lo).astype(np.int64), np.append(at[gone] + n[gone] + WINDOW - 1, hi).astype(np.int64)
+                row, start, end = merged(np.append(row[gone], row2), start, end)
+                first = np.searchsorted(row, np.arange(part.num_rows + 1)).tolist()
+                start, end = start.tolist(), end.tolist()
+                for j, text in enumerate(part.column(text_at).to_pylist()):
                     raw = (text or "").encode()
-                    bounds = [(m["at"], m["at"] + m["n"] - 1 + WINDOW) for m in marks or [] if not m["open"]]
-                    bounds += [(s["lo"], s["hi"]) for s in found or []]
-                    runs = _union(bounds)
+                    runs = list(zip(start[first[j] : first[j + 1]], end[first[j] : first[j + 1]]))
                     removed.append([{"start": a, "end": b} for a, b in runs])
                     edges = [0, *(x for r in runs for x in r), len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
@@ -270,14 +306,12 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return joined.mapInArrow(apply, schema)
 
 
-def _union(bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(bounds):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(out[-1][1], b)
-        else:
-            out.append((a, b))
-    return out
+def _exploded(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row that each struct of a column of lists stands in, and the structs' fields."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(lists)), sizes), [f.to_numpy(zero_copy_only=False) for f in lists.flatten().flatten()]
 
 
 def op5_induced_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
