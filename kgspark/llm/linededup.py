@@ -27,7 +27,7 @@ SHINGLE, SIMILARITY = 9, 0.8
 #: Hashes of a band and bands: a pair at 0.8 shares a band with probability 0.997.
 BAND_HASHES, BANDS = 3, 8
 #: Lines of a bucket, and their bytes, that are compared with each other in one step.
-CHUNK, CHUNK_BYTES = 512, 2 << 20
+CHUNK, CHUNK_BYTES = 256, 1 << 20
 #: Up to so many lines, a bucket's pairs are looked up one by one.
 FEW = 24
 #: Characters hashed at a time: the arrays stay in the processor's cache.

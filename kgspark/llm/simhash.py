@@ -128,8 +128,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                fps = batch.column(0).slice(k, 4096).to_numpy()
+            for k in range(0, batch.num_rows, 1024):
+                fps = batch.column(0).slice(k, 1024).to_numpy()
                 own, anchor, home = anchors(fps)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[own]), pa.array(home)], ["anchor", "fp", "home"])
 
