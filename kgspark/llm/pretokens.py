@@ -19,8 +19,8 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 REACH = 4
 #: Stands between texts; no text can hold it.
 END, END_CLASS = 0x110000, 4
-#: Characters hashed at a time.
-GROUP_CHARS = 1 << 20
+#: Characters hashed at a time: the arrays stay in the processor's cache.
+GROUP_CHARS = 1 << 17
 
 # Code points with the property White_Space.
 WHITE_SPACE = [
