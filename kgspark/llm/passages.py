@@ -6,9 +6,11 @@ windows: all subsequences that begin and end around a node, within the node's
 reach, have their minimum hash at that node.  Only windows that can hold a
 passage of the least length count, about two in that many words; of windows of
 one text with one minimum (repetitive text) the widest counts.  Windows of
-one hash function with the same minimum are grouped over the corpus; each is
-paired with the group's first and with the one before it, so pairs grow with
-the windows and not with a group's square.  Pairs of documents that meet under
+one hash function with the same minimum are grouped over the corpus.  Equal
+windows of a group are one: the earliest document's stands for all, and what
+the others hold repeats it.  Every pair of different windows of a group meets,
+a large group in cells of two blocks each, so pairs grow with the square of a
+group's different windows.  Pairs of documents that meet under
 enough hash functions are verified: where the later one's shingles run through
 the earlier one's region, the Jaccard similarity of the two passages is taken
 exactly, and a passage that reaches it is a repeat.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, blocks, checkpointed, distinct, extended, fresh, table
@@ -32,6 +34,8 @@ HASHES, ENOUGH = 6, 2
 #: Shingles missing in a row that one passage may span: an edit spoils SHINGLE_WORDS.
 GAP = 2 * SHINGLE_WORDS
 BLOCK = 1 << 19
+#: Windows in a block of a group, partners listed in one row, pairs made at a time; they bound memory only.
+GROUP_ROWS, LISTED, PAIRS = 128, 64, 1 << 16
 _SPREAD = 0x5851F42D
 _MIX = np.random.default_rng(11).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -103,7 +107,7 @@ def compact_windows(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, le
 
 
 def _block_windows(ids: np.ndarray, texts: list[str | None]) -> list[np.ndarray]:
-    """Columns key, doc, l, r (word numbers) of all windows of a block of documents."""
+    """Columns key, doc, l, r (word numbers), digest of the shingles of all windows of a block of documents."""
     hashes, owner, place = [], [], []
     for k, text in enumerate(texts):
         h = document_shingles(text)
@@ -112,10 +116,13 @@ def _block_windows(ids: np.ndarray, texts: list[str | None]) -> list[np.ndarray]
             owner.append(np.full(len(h), k))
             place.append(np.arange(len(h)))
     if not hashes:
-        return [np.zeros(0, np.int64)] * 4
+        return [np.zeros(0, np.int64)] * 5
     h, own, at = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
     starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     ends = np.append(starts[1:], len(own))
+    power, inverse = powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum((h | np.uint64(1)) * power[: len(h)], out=total[1:])
     parts = []
     for f in range(HASHES):
         value = h * _MIX[f]
@@ -128,12 +135,15 @@ def _block_windows(ids: np.ndarray, texts: list[str | None]) -> list[np.ndarray]
         key = value[center] >> np.uint64(3) << np.uint64(3) | np.uint64(f)
         _, first = np.unique(key + own[center].astype(np.uint64) * np.uint64(0xA0761D6478BD642F), return_index=True)
         left, center, right, key = left[first], center[first], right[first], key[first]
-        parts.append((key.view(np.int64), ids[own[center]], at[left], at[right]))
+        digest = (total[right + 1] - total[left]) * inverse[left]
+        digest ^= digest >> np.uint64(32)
+        digest *= np.uint64(0xD6E8FEB86659FD93)
+        parts.append((key.view(np.int64), ids[own[center]], at[left], at[right], digest.view(np.int64)))
     return [np.concatenate(c) for c in zip(*parts)]
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    schema = "key long, doc long, l int, r int"
+    schema = "key long, doc long, l int, r int, digest long"
     arrow = _arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,40 +155,111 @@ def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema)
 
 
-def _meetings(windows: DataFrame) -> DataFrame:
-    """Pairs (a, b, f, al, ar) of documents a < b whose windows share a minimum.
+def _met(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Columns a, b, f, l, r of the meetings of rows (key, doc, l, r); the window is the earlier document's."""
+    apart = x[:, 1] != y[:, 1]
+    x, y = x[apart], y[apart]
+    swap = (x[:, 1] > y[:, 1])[:, None]
+    a, b = np.where(swap, y, x), np.where(swap, x, y)
+    return [a[:, 1], b[:, 1], a[:, 0] & 7, a[:, 2], a[:, 3]]
 
-    The rows of a key come in order, and only the key's first and the last one
-    seen are kept while they stream by.
+
+def _grouped(windows: DataFrame) -> DataFrame:
+    """Rows (kind, key, a, b, f, l, r), which hold, by kind:
+
+    0  a meeting of two windows of a block of a key's different windows, of documents a < b
+    1  a window of document b that is equal to an earlier document's
+    2  a window of document a in block b of a key with several blocks
+
+    The rows of a key come in order; one block of its windows is held.
     """
-    schema = "a long, b long, f int, al int, ar int"
+    schema = "kind int, key long, a long, b long, f int, l int, r int"
     arrow = _arrow_schema(windows.sparkSession, schema)
 
+    def batch_of(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, f: np.ndarray, l: np.ndarray, r: np.ndarray) -> pa.RecordBatch:  # noqa: E741
+        columns = [np.full(len(key), kind), key, a, b, f, l, r]
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow)], schema=arrow)
+
+    def paired(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        a, b, f, l, r = _met(x, y)  # noqa: E741
+        return batch_of(0, np.zeros(len(a), np.int64), a, b, f, l, r)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: np.ndarray | None = None  # the open key's first row and its last one
+        held, number, last = np.zeros((0, 5), np.int64), 0, None  # the open block, its number, the last window that stands for others
+
+        def kept(rows: np.ndarray, block: int) -> pa.RecordBatch:
+            return batch_of(2, rows[:, 0], rows[:, 1], np.full(len(rows), block), rows[:, 0] & 7, rows[:, 2], rows[:, 3])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)], axis=1)
-            if tail is not None:
-                rows = np.concatenate([tail, rows])
-            key, doc = rows[:, 0], rows[:, 1]
-            opens = np.append(True, key[1:] != key[:-1])
-            first = np.flatnonzero(opens)[np.cumsum(opens) - 1]
-            before = np.maximum(np.arange(len(rows)) - 1, first)
-            seen = 0 if tail is None else len(tail)
-            every = np.arange(seen, len(rows))
-            b = np.concatenate([every, every[before[every] != first[every]]])
-            a = np.concatenate([first[every], before[every][before[every] != first[every]]])
-            apart = doc[a] < doc[b]
-            a, b = a[apart], b[apart]
-            columns = [doc[a], doc[b], key[b] & 7, rows[a, 2], rows[a, 3]]
+            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)], axis=1)
+            seen = 0 if last is None else 1
+            if seen:
+                rows = np.concatenate([last[None], rows])
+            new_key = np.append(True, rows[1:, 0] != rows[:-1, 0])
+            heads = new_key | np.append(True, rows[1:, 4] != rows[:-1, 4])
+            head = np.flatnonzero(heads)[np.cumsum(heads) - 1]
+            again = np.flatnonzero(~heads & (rows[:, 1] != rows[head, 1]))
+            if len(again):
+                g = rows[again]
+                yield batch_of(1, g[:, 0], g[:, 1], g[:, 1], g[:, 0] & 7, g[:, 2], g[:, 3])
+            last = rows[head[-1]]
+            fresh_rows = rows[seen:][heads[seen:]]
+            if not len(fresh_rows):
+                continue
+            rows = np.concatenate([held, fresh_rows])
+            opens = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            # the place of a row among its key's; the rows held begin a block and have met one another
+            first = np.repeat(opens, np.diff(np.append(opens, len(rows))))
+            place = np.arange(len(rows)) - first
+            block = place // GROUP_ROWS + np.where(first == 0, number, 0)
+            earlier = np.where(np.arange(len(rows)) < len(held), 0, place % GROUP_ROWS)
+            todo = np.flatnonzero(earlier)
+            bounds = np.append(0, np.cumsum(earlier[todo]))
+            k = 0
+            while k < len(todo):
+                m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + PAIRS, side="right")) - 1)
+                y = np.repeat(todo[k:m], earlier[todo[k:m]])
+                x = y - 1 - (np.arange(len(y)) - np.repeat(bounds[k:m] - bounds[k], earlier[todo[k:m]]))
+                yield paired(rows[x], rows[y])
+                k = m
+            same_key = rows[1:, 0] == rows[:-1, 0]
+            begin = np.flatnonzero(np.append(True, ~same_key | (block[1:] != block[:-1])))
+            for a, z in zip(begin[:-1].tolist(), begin[1:].tolist()):
+                if block[a] or same_key[z - 1]:
+                    yield kept(rows[a:z], int(block[a]))
+            held, number = rows[begin[-1] :], int(block[-1])
+        if number:
+            yield kept(held, number)
+
+    return windows.repartition("key").sortWithinPartitions("key", "digest", "doc", "l").mapInArrow(run, schema)
+
+
+def _across(grouped: DataFrame) -> DataFrame:
+    """Meetings (a, b, f, al, ar) of windows in different blocks of a key, a cell of two blocks at a time."""
+    rows = grouped.where("kind = 2").select("key", F.col("a").alias("doc"), F.col("b").cast("int").alias("block"), "l", "r")
+    last = rows.groupBy("key").agg(F.max("block").alias("last")).where("last > 0")
+    cells = rows.join(last, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).where("other <> block")
+    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "l", "r")
+
+    def pair(cell: tuple, part: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "l", "r")], axis=1)
+        low = part.column("block").to_numpy() == cell[1].as_py()
+        x, y = rows[low], rows[~low]
+        step = max(1, PAIRS // len(x))
+        for k in range(0, len(y), step):
+            some = y[k : k + step]
+            columns = _met(np.tile(x, (len(some), 1)), np.repeat(some, len(x), axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
-            last = len(rows) - 1
-            tail = rows[[first[last], last]] if first[last] != last else rows[[last]]
 
-    ordered = windows.repartition("key").sortWithinPartitions("key", "doc", "l")
-    return ordered.mapInArrow(run, schema)
+    schema = "a long, b long, f int, al int, ar int"
+    arrow = _arrow_schema(grouped.sparkSession, schema)
+
+    def pair_all(cell: tuple, part: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(pair(cell, part)), schema=arrow)
+
+    return cells.groupBy("key", "i", "j").applyInArrow(pair_all, schema)
 
 
 def _places(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,49 +364,68 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that is named ``out`` already is replaced.
     """
     docs = docs.drop(out)
-    found = checkpointed(
-        _meetings(_windows(docs, id_col, text_col))
+    grouped = checkpointed(_grouped(_windows(docs, id_col, text_col)))
+    near = grouped.where("kind = 0").select("a", "b", "f", F.col("l").alias("al"), F.col("r").alias("ar"))
+    found = (
+        near.union(_across(grouped))
         .groupBy("a", "b")
-        .agg(F.countDistinct("f").alias("n"), F.min("al").alias("al"), F.max("ar").alias("ar"))
+        .agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, f)"))).alias("n"), F.min("al").alias("al"), F.max("ar").alias("ar"))
         .where(F.col("n") >= ENOUGH)
-        .select("a", "b", "al", "ar")
     )
+    # partners are listed in parts, so that no row grows with a group
+    part_a, part_b = (F.floor((F.row_number().over(Window.partitionBy(x).orderBy(y)) - 1) / LISTED) for x, y in (("a", "b"), ("b", "a")))
+    found = checkpointed(found.withColumn("pb", part_b).withColumn("pa", part_a).select("a", "b", "pa", "pb", "al", "ar"))
     names = docs.columns
     text_at, mine, theirs = names.index(text_col), fresh(docs, "_a"), fresh(docs, "_b")
-    asked = found.groupBy("a").agg(F.collect_list(F.struct("b", "al", "ar")).alias(fresh(docs, "_asked"))).withColumnRenamed("a", mine)
-    excerpt_schema = _arrow_schema(docs.sparkSession, "b long, shingles binary")
+    asked = found.groupBy("a", "pa").agg(F.collect_list(F.struct("b", "pb", "al", "ar")).alias(fresh(docs, "_asked"))).drop("pa").withColumnRenamed("a", mine)
+    excerpt_schema = _arrow_schema(docs.sparkSession, "b long, pb long, shingles binary")
 
     def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, wanted in zip(batch.column(text_at), batch.column(len(names) + 1)):
                 if wanted.is_valid and text.is_valid:
                     h = document_shingles(text.as_py())
-                    to, parts = [], []
-                    for w in wanted.as_py():
-                        to.append(w["b"])
-                        parts.append(short(h[w["al"] : w["ar"] + 1]).tobytes())
-                    for k in range(0, len(to), 256):
-                        yield pa.RecordBatch.from_arrays([pa.array(to[k : k + 256], pa.int64()), pa.array(parts[k : k + 256], pa.binary())], schema=excerpt_schema)
-
-    # both joins take all columns from the left, so that they share one shuffle of the documents
-    sent = docs.join(asked, docs[id_col] == asked[mine], "left").mapInArrow(excerpts, "b long, shingles binary")
-    heard = sent.groupBy("b").agg(F.collect_list("shingles").alias(fresh(docs, "_heard"))).withColumnRenamed("b", theirs)
-    joined = docs.join(heard, docs[id_col] == heard[theirs], "left")
-    schema = extended(docs, f"`{out}` array<struct<start:int,end:int>>")
-    arrow = _arrow_schema(docs.sparkSession, schema)
+                    rows = [(w["b"], w["pb"], short(h[w["al"] : w["ar"] + 1]).tobytes()) for w in wanted.as_py()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), excerpt_schema)], schema=excerpt_schema)
+
+    # all joins take all columns from the left, so that they share one shuffle of the documents
+    sent = docs.join(asked, docs[id_col] == asked[mine], "left").mapInArrow(excerpts, "b long, pb long, shingles binary")
+    heard = sent.repartition("b").groupBy("b", "pb").agg(F.collect_list("shingles").alias(fresh(docs, "_heard"))).drop("pb").withColumnRenamed("b", theirs)
+    span_schema = _arrow_schema(docs.sparkSession, "doc long, start int, end int")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, got in zip(batch.column(text_at), batch.column(len(names) + 1)):
-                spans: list[tuple[int, int]] = []
+            for text, doc, got in zip(batch.column(text_at), batch.column(len(names)), batch.column(len(names) + 1)):
                 if got.is_valid and text.is_valid:
                     spans = verified_spans(short(document_shingles(text.as_py())), [np.frombuffer(g, np.uint32) for g in got.as_py()])
-                rows.append([{"start": a, "end": b} for a, b in spans])
+                    rows += [(doc.as_py(), a, b) for a, b in spans]
+            columns = zip(*rows) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, span_schema)], schema=span_schema)
+
+    verified = docs.join(heard, docs[id_col] == heard[theirs], "left").mapInArrow(verify, "doc long, start int, end int")
+    equal = grouped.where("kind = 1").select(F.col("b").alias("doc"), F.col("l").alias("start"), (F.col("r") + SHINGLE_WORDS).alias("end"))
+    both = verified.union(equal).distinct().repartition("doc")
+    spans = both.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(fresh(docs, "_heard"))).withColumnRenamed("doc", theirs)
+    joined = docs.join(spans, docs[id_col] == spans[theirs], "left")
+    schema = extended(docs, f"`{out}` array<struct<start:int,end:int>>")
+    arrow = _arrow_schema(docs.sparkSession, schema)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, got in zip(batch.column(text_at), batch.column(len(names) + 1)):
+                runs: list[dict[str, int]] = []
+                for x in (got.as_py() or []) if text.is_valid else []:
+                    if runs and x["start"] <= runs[-1]["end"]:
+                        runs[-1]["end"] = max(runs[-1]["end"], x["end"])
+                    else:
+                        runs.append(x)
+                rows.append(runs)
             columns = [batch.column(k) for k in range(len(names))] + [pa.array(rows, arrow.field(out).type)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return joined.mapInArrow(verify, schema)
+    return joined.mapInArrow(merge, schema)
 
 
 def _rewritten(marked: DataFrame, text_col: str, spans_col: str) -> DataFrame:

@@ -290,3 +290,37 @@ def test_vectors_of_many_cells(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neighbours.near_duplicates(df).collect()}
     assert got == brute.vector_groups(dict(rows))
+
+
+def test_passages_meet_beyond_the_first_and_previous(spark, monkeypatch):
+    """Repeats between other documents that share a common phrase, and whole documents equal to such; groups in several blocks too."""
+    rnd = random.Random(5)
+    phrase = rnd.choices(WORDS, k=30)
+
+    def text() -> list[str]:
+        return rnd.choices(WORDS, k=40) + phrase + rnd.choices(WORDS, k=40)
+
+    rows = [text() for _ in range(60)]
+    for k in range(20):
+        rows.append(rows[10 + k][:20] + [rnd.choice(WORDS)] + rows[10 + k][21:])
+    rows += [rows[10 + k] for k in range(20)]
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(rows)], "doc_id long, text string")
+    for size in (128, 7):
+        monkeypatch.setattr(passages, "GROUP_ROWS", size)
+        got = {r["doc_id"]: sum(s["end"] - s["start"] for s in r["repeats"]) for r in passages.mark_repeats(docs).collect()}
+        assert not any(got[k] for k in range(60))
+        assert all(got[k] >= 85 for k in range(60, 80)) and all(got[k] == 110 for k in range(80, 100))
+
+
+def test_every_pair_of_different_windows_meets(spark, monkeypatch):
+    monkeypatch.setattr(passages, "GROUP_ROWS", 5)
+    rnd = random.Random(8)
+    rows = [(key * 8, doc, key, 60 + doc, rnd.randrange(40)) for key, n in enumerate((1, 2, 5, 6, 10, 33)) for doc in range(n)]
+    grouped = passages._grouped(spark.createDataFrame(rows, "key long, doc long, l int, r int, digest long")).cache()
+    got = [(r["a"], r["b"], r["l"]) for r in grouped.where("kind = 0").collect()] + [(r["a"], r["b"], r["al"]) for r in passages._across(grouped).collect()]
+    first = {}
+    for key, doc, *_, digest in rows:
+        first.setdefault((key, digest), doc)
+    want = [(a, b, k // 8) for (k, _), a in first.items() for (m, _), b in first.items() if k == m and a < b]
+    assert sorted(got) == sorted(want)
+    assert grouped.where("kind = 1").count() == len(rows) - len(first)
