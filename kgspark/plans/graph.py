@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,10 @@ def _joined(paths: DataFrame) -> DataFrame:
     return paths.select(F.array_join("path", ">").alias("path"))
 
 
+def _all(paths: list[DataFrame]) -> DataFrame:
+    return _joined(reduce(DataFrame.union, paths))
+
+
 QUERIES = {
     "sparse_edges": sparse_edges,
     "coverage_matrix": _matrix,
@@ -66,6 +72,8 @@ QUERIES = {
     "motif_divergent": lambda s, d: g.pairs_at_hub(sparse_edges(s, d), "src", "dst"),
     "relay_paths": lambda s, d: _joined(g.simple_paths(sparse_edges(s, d), 4, most=10)),
     "closed_loops": lambda s, d: _joined(g.closed_loops(sparse_edges(s, d), 4)),
+    "relay_paths_4_to_7": lambda s, d: _all([g.simple_paths(sparse_edges(s, d), n, most=10) for n in range(4, 8)]),
+    "closed_loops_4_to_8": lambda s, d: _all([g.closed_loops(sparse_edges(s, d), n) for n in range(4, 9)]),
     "transitive_closure": lambda s, d: g.reachable(_parts(s, d)),
     "on_cycles": lambda s, d: g.on_cycles(sparse_edges(s, d)),
     "weak_components": lambda s, d: g.components(sparse_edges(s, d).where("confidence > 0.51")),
@@ -81,6 +89,13 @@ _MATRIX = f"{W}{_LINK}, counted AS (SELECT least(src, dst) AS lo, greatest(src,
 _REACH = "reach AS (SELECT src, dst, 1 AS depth FROM {0} UNION SELECT r.src, e.dst, r.depth + 1 FROM reach r JOIN {0} e ON r.dst = e.src WHERE r.depth < 26), closure AS (SELECT src, dst, min(depth) AS depth FROM reach GROUP BY ALL)"
 _MUTUAL = ", mutual AS (SELECT DISTINCT a.src AS lo, a.dst AS hi FROM edges a JOIN edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst), mboth AS (SELECT lo AS a, hi AS b FROM mutual UNION ALL SELECT hi, lo FROM mutual)"
 _PAIRS = "SELECT hub, a, b FROM (SELECT x.{0} AS hub, x.{1} AS a, y.{1} AS b, row_number() OVER (PARTITION BY x.{0} ORDER BY x.{1}, y.{1}) AS k FROM edges x JOIN edges y ON x.{0} = y.{0} AND x.{1} < y.{1}) WHERE k <= 20"
+_FIRST = "SELECT *, row_number() OVER (PARTITION BY p[1] ORDER BY p) AS k FROM"
+_RELAY = f", p3 AS ({_FIRST} (SELECT [x.src, x.dst, y.dst] AS p FROM edges x JOIN edges y ON x.dst = y.src WHERE y.dst <> x.src))" + "".join(
+    f", p{n} AS ({_FIRST} (SELECT list_append(p, e.dst) AS p FROM p{n - 1} JOIN edges e ON p[{n - 1}] = e.src WHERE k <= 10 AND NOT list_contains(p, e.dst)))" for n in range(4, 8)
+)
+_LOOPS = ", c2 AS (SELECT [src, dst] AS p FROM edges WHERE src < dst)" + "".join(
+    f", c{n} AS (SELECT list_append(p, e.dst) AS p FROM c{n - 1} JOIN edges e ON p[{n - 1}] = e.src WHERE e.dst > p[1] AND NOT list_contains(p, e.dst))" for n in range(3, 9)
+)
 ORACLE_SQL = {
     "sparse_edges": f"{W} SELECT * FROM edges",
     "coverage_matrix": f"{_MATRIX} SELECT * FROM matrix",
@@ -100,6 +115,8 @@ ORACLE_SQL = {
       p4 AS (SELECT *, row_number() OVER (PARTITION BY p[1] ORDER BY p) AS k FROM (SELECT list_append(p3.p, e.dst) AS p FROM p3 JOIN edges e ON p3.p[3] = e.src WHERE p3.k <= 10 AND NOT list_contains(p3.p, e.dst)))
       SELECT array_to_string(p, '>') AS path FROM p4 WHERE k <= 10""",
     "closed_loops": f"{W} SELECT w.src || '>' || x.src || '>' || y.src || '>' || z.src AS path FROM edges w JOIN edges x ON w.dst = x.src JOIN edges y ON x.dst = y.src JOIN edges z ON y.dst = z.src AND z.dst = w.src WHERE w.src < x.src AND w.src < y.src AND w.src < z.src AND x.src <> z.src AND x.src <> y.src AND y.src <> z.src",
+    "relay_paths_4_to_7": f"{W}{_RELAY} " + " UNION ALL ".join(f"SELECT array_to_string(p, '>') AS path FROM p{n} WHERE k <= 10" for n in range(4, 8)),
+    "closed_loops_4_to_8": f"{W}{_LOOPS} " + " UNION ALL ".join(f"SELECT array_to_string(p, '>') AS path FROM c{n} JOIN edges e ON p[{n}] = e.src AND p[1] = e.dst" for n in range(4, 9)),
     "transitive_closure": f"WITH RECURSIVE up AS (SELECT DISTINCT p_name AS src, split_part(p_name, ' ', -1) AS dst FROM part UNION SELECT DISTINCT split_part(p_name, ' ', -1), upper(left(split_part(p_name, ' ', -1), 1)) FROM part), {_REACH.format('up')} SELECT * FROM closure",
     "on_cycles": f"{W}, {_REACH.format('edges')} SELECT src AS node, depth FROM closure WHERE src = dst",
     "weak_components": f"{W}, e AS (SELECT src, dst FROM edges WHERE confidence > 0.51 UNION SELECT dst, src FROM edges WHERE confidence > 0.51), {_REACH.format('e')} SELECT src AS node, least(src, min(dst)) AS component FROM closure GROUP BY src",

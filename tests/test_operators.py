@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from kgspark.plans import catalog
 from kgspark.functions import columns as c
 from kgspark.operators import evidence, graph, merge, resolve, rules, text
 
@@ -118,3 +119,10 @@ def test_text(spark):
     assert [r.sentence for r in text.sentences(docs).orderBy("sentence_id").collect()] == ["He said.", '"No!" Then  left?', "yes"]
     row = spark.range(1).select(c.least_rotation(F.array(*map(F.lit, "cab"))).alias("r"), c.path_key(F.array(*map(F.lit, "zya"))).alias("p"), F.size(c.trigrams(F.lit("ab"))).alias("t"))
     assert row.first() == (["a", "b", "c"], ["a", "y", "z"], 3)
+
+
+def test_paths_and_loops_of_all_surveyed_sizes(spark, data):
+    """The queries reach 7 and 8 nodes, not 4 only."""
+    for name, sizes in (("relay_paths_4_to_7", {4, 5, 6, 7}), ("closed_loops_4_to_8", {4, 5, 6, 7, 8})):
+        paths = [r["path"].split(">") for r in catalog.QUERIES[name](spark, data).collect()]
+        assert {len(p) for p in paths} == sizes and all(len(set(p)) == len(p) for p in paths)
