@@ -324,3 +324,13 @@ def test_every_pair_of_different_windows_meets(spark, monkeypatch):
     want = [(a, b, k // 8) for (k, _), a in first.items() for (m, _), b in first.items() if k == m and a < b]
     assert sorted(got) == sorted(want)
     assert grouped.where("kind = 1").count() == len(rows) - len(first)
+
+
+def test_partners_are_listed_in_parts(spark, monkeypatch):
+    """Many near copies of one document: none is lost where a row lists two partners only."""
+    monkeypatch.setattr(passages, "LISTED", 2)
+    rnd = random.Random(9)
+    base = rnd.choices(WORDS, k=90)
+    rows = [(k, " ".join(base[: 2 * k] + [rnd.choice(WORDS)] + base[2 * k + 1 :])) for k in range(9)]
+    got = {r["doc_id"]: r["repeats"] for r in passages.mark_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not got[0] and all(sum(s["end"] - s["start"] for s in got[k]) >= 50 for k in range(1, 9))
