@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -20,16 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share.
+
+    Where none is set, tests in one local process get a temporary one; on a
+    cluster that is an error, since executors can't see the driver's folders.
+    """
     sc = spark.sparkContext
-    return sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-")
+    known = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if known is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return known or tempfile.mkdtemp(prefix="checkpoints-")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder takes its place.
+    The folder is that of ``shared_folder``.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -103,40 +109,66 @@ def _arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
-def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 40) -> DataFrame:
+class Forest:
+    """Union-find over what one task sees; it only saves repeated links, so it may forget when full."""
+
+    def __init__(self, room: int = 1 << 19):
+        self.room, self.parent = room, {}
+
+    def root(self, node: int) -> int:
+        parent = self.parent
+        while (above := parent.get(node, node)) != node:
+            parent[node] = node = parent.get(above, above)
+        return node
+
+    def joins(self, a: int, b: int) -> bool:
+        """Whether ``a`` and ``b`` weren't connected yet; now they are."""
+        if len(self.parent) > self.room:
+            self.parent.clear()
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 64) -> DataFrame:
     """Smallest node reachable from each node of an undirected edge list.
 
-    Distributed union-find by alternating large-star and small-star steps: a
-    round links every larger neighbour of a node, then every smaller one, to
-    the smallest, until nothing changes.  Returns (node, component) for each
-    node that has an edge.  Edges with a null end and loops are ignored.  Each
-    round is two aggregations by node with map-side minimum; adjacency lists
-    are never gathered in one row.
+    Distributed union-find by contraction.  In a round each node that still has
+    an edge points at that of it and its neighbours which comes first in the
+    round's random order; edges move to what their ends point at, and those
+    that become loops or equal go.  A settled node so never comes up again, no
+    join makes more rows than there are edges left, and these shrink by a
+    constant factor a round, until there are none.  Then the pointers are
+    followed back, last round first.  Returns (node, component) for each node
+    that has an edge to another.  Edges with a null end and loops are ignored.
     """
-    e = (
-        edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-        .where("u is not null and v is not null and u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
-    e = checkpointed(e)
-    before = None
-    for _ in range(max_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: each neighbour larger than the node points at the node's minimum
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # small star: node and smaller neighbours point at the smallest neighbour
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+    ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
+    left = checkpointed(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pointers: list[DataFrame] = []
+    for turn in range(max_rounds):
+        if left.isEmpty():
             break
-        before = now
+        both = left.union(left.select("v", "u").toDF("u", "v"))
+
+        def ordered(node: str, turn: int = turn) -> Column:
+            return F.struct(F.xxhash64(F.lit(turn), F.col(node)), F.col(node).alias("node"))
+
+        first = both.groupBy("u").agg(F.min(ordered("v")).alias("first"))
+        to = first.select("u", F.least(ordered("u"), "first")["node"].alias("to"))
+        pointers.append(to)
+        moved = left.join(to, "u").select(F.col("to").alias("p"), F.col("v").alias("u")).join(to, "u").select("p", F.col("to").alias("q"))
+        moved = moved.where("p <> q").select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v"))
+        left = checkpointed(moved.distinct())
     else:
         raise RuntimeError("components did not settle")
-    parents = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return parents.union(roots)
+    if not pointers:
+        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    root = pointers[-1].withColumnRenamed("to", "root")
+    for to in reversed(pointers[:-1]):
+        # what a node points at is settled, or has gone on to a root of its own
+        later = root.select(F.col("u").alias("to"), "root")
+        root = to.join(later, "to", "left").select("u", F.coalesce("root", "to").alias("root"))
+    root = checkpointed(root)
+    least = root.groupBy("root").agg(F.min("u").alias("component"))
+    return root.join(least, "root").select(F.col("u").alias("node"), "component")

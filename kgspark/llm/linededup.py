@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, checkpointed, connected_components, distinct, fresh, map_blocks, table
+from .common import Forest, blocks, checkpointed, connected_components, distinct, fresh, map_blocks, table
 
 SHINGLE, SIMILARITY = 9, 0.8
 #: Hashes of a band and bands: a pair at 0.8 shares a band with probability 0.997.
@@ -228,7 +228,10 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts: list[str] = []
     center: tuple[int, int, str] | None = None  # band, key and line that a large bucket is held against
 
+    forest = Forest()  # two lines meet in up to BANDS buckets; one link is enough
+
     def batch_of(links: list[tuple[int, int]], large: list[int]) -> pa.RecordBatch:
+        links = [x for x in links if forest.joins(*x)]
         none = [None] * len(links)
         columns = [[a for a, _ in links] + [None] * len(large), [b for _, b in links] + [None] * len(large), none + large]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "band"])
