@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Text handed to one step of a Python task at a time, in bytes.
 BLOCK_BYTES = 8 << 20
+#: Edges of a graph that one task joins when no more are left.
+TAIL = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,34 +138,33 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
 
     Distributed union-find by contraction.  In a round each node that still has
     an edge points at that of it and its neighbours which comes first in the
-    round's random order; edges move to what their ends point at, and those
-    that become loops or equal go.  A settled node so never comes up again, no
-    join makes more rows than there are edges left, and these shrink by a
-    constant factor a round, until there are none.  Then the pointers are
+    round's order (the first is by value, which suits stars, then they are
+    mixed); edges move to what their ends point at, and those that become loops
+    or equal go.  A settled node so never comes up again, no join makes more
+    rows than there are edges left, and these shrink by a constant factor a
+    round.  The last TAIL edges, a number that doesn't depend on the input, are
+    joined in one task instead of many more rounds.  Then the pointers are
     followed back, last round first.  Returns (node, component) for each node
     that has an edge to another.  Edges with a null end and loops are ignored.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
     left = checkpointed(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    kind = left.schema["u"].dataType.simpleString()
     pointers: list[DataFrame] = []
     for turn in range(max_rounds):
-        if left.isEmpty():
+        if left.count() <= TAIL:
+            pointers.append(left.coalesce(1).mapInArrow(_joined, f"u {kind}, to {kind}"))
             break
+        order, node = _mixed(turn, kind)
         both = left.union(left.select("v", "u").toDF("u", "v"))
-
-        def ordered(node: str, turn: int = turn) -> Column:
-            return F.struct(F.xxhash64(F.lit(turn), F.col(node)), F.col(node).alias("node"))
-
-        first = both.groupBy("u").agg(F.min(ordered("v")).alias("first"))
-        to = first.select("u", F.least(ordered("u"), "first")["node"].alias("to"))
+        first = both.groupBy("u").agg(F.min(order("v")).alias("first"))
+        to = first.select("u", node(F.least(order("u"), "first")).alias("to"))
         pointers.append(to)
         moved = left.join(to, "u").select(F.col("to").alias("p"), F.col("v").alias("u")).join(to, "u").select("p", F.col("to").alias("q"))
         moved = moved.where("p <> q").select(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v"))
         left = checkpointed(moved.distinct())
     else:
         raise RuntimeError("components did not settle")
-    if not pointers:
-        return left.select(F.col("u").alias("node"), F.col("v").alias("component"))
     root = pointers[-1].withColumnRenamed("to", "root")
     for to in reversed(pointers[:-1]):
         # what a node points at is settled, or has gone on to a root of its own
@@ -172,3 +173,24 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     root = checkpointed(root)
     least = root.groupBy("root").agg(F.min("u").alias("component"))
     return root.join(least, "root").select(F.col("u").alias("node"), "component")
+
+
+def _mixed(turn: int, kind: str) -> tuple[Callable[[str], Column], Callable[[Column], Column]]:
+    """An order of nodes for a round, and the node that stands at a place in it."""
+    if kind in ("bigint", "int"):
+        salt = 0 if turn == 0 else int(np.random.default_rng(turn).integers(1, 1 << (62 if kind == "bigint" else 30)))
+        salted = F.lit(salt).cast(kind)
+        return (lambda c: F.col(c).bitwiseXOR(salted)), (lambda o: o.bitwiseXOR(salted))
+    return (lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)), F.col(c).alias("node"))), (lambda o: o["node"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, smallest of its component) of at most TAIL edges."""
+    forest, nodes, kind = Forest(3 * TAIL), {}, None
+    for batch in batches:
+        kind = batch.column(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            forest.joins(a, b)
+            nodes[a] = nodes[b] = None
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(list(nodes), kind), pa.array([forest.root(n) for n in nodes], kind)], ["u", "to"])

@@ -210,15 +210,15 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def _across(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between lines of different components in (a pair of chunks of) one bucket."""
+    """Links between the components of lines in (a pair of chunks of) one bucket."""
     rows = rows.drop_duplicates("key").sort_values("key")
-    keys, component = rows["key"].to_numpy(), rows["component"].to_numpy()
+    component = rows["component"].to_numpy()
     near = Sets(rows["line"].tolist()).matrix(np.arange(len(rows)))
     near |= component[:, None] == component[None, :]
     label = _forest(near)
     moved = np.flatnonzero(label != np.arange(len(label)))
     moved = moved[component[moved] != component[label[moved]]]
-    return pd.DataFrame({"a": keys[moved], "b": keys[label[moved]]}, dtype="int64")
+    return pd.DataFrame({"a": component[moved], "b": component[label[moved]]}, dtype="int64").drop_duplicates()
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +324,11 @@ def line_classes(parts: DataFrame) -> DataFrame:
     open_ = inside.join(mixed, "band").select("band", "key", "line", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     open_ = open_.select("band", "key", "line", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     second = open_.groupBy("band", "i", "j").applyInPandas(_across, "a long, b long")
-    return connected_components(found.where("a is not null").select("a", "b").union(second))
+    # a line without links of the first kind is its own component
+    joined = connected_components(second).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    moved = first.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    alone = joined.select(F.col("component").alias("node"), F.col("joined").alias("component")).join(first.select("node"), "node", "left_anti")
+    return moved.union(alone)
 
 
 def line_fates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
