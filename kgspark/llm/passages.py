@@ -8,12 +8,17 @@ passage of the least length count, about two in that many words; of windows of
 one text with one minimum (repetitive text) the widest counts.  Windows of
 one hash function with the same minimum are grouped over the corpus.  Equal
 windows of a group are one: the earliest document's stands for all, and what
-the others hold repeats it.  Every pair of different windows of a group meets,
-a large group in cells of two blocks each, so pairs grow with the square of a
-group's different windows.  Pairs of documents that meet under
-enough hash functions are verified: where the later one's shingles run through
-the earlier one's region, the Jaccard similarity of the two passages is taken
-exactly, and a passage that reaches it is a repeat.
+the others hold repeats it.
+
+A passage reaches REACH shingles to one side of its minimum at least, so each
+window carries a sketch of either side, and two windows meet only where the
+sketches of a side agree.  Pairs of documents that meet under enough hash
+functions are verified: where the later one's shingles run through the earlier
+one's region, the Jaccard similarity of the two passages is taken exactly, and
+a passage that reaches it is a repeat.  One such finding settles a window, so
+verification goes in two rounds: first each window meets the first and the last
+of its group that agree with it; then every window that isn't settled and that
+has more of them meets all others of its group, in bounded cells.
 """
 
 from __future__ import annotations
@@ -34,9 +39,12 @@ HASHES, ENOUGH = 6, 2
 #: Shingles missing in a row that one passage may span: an edit spoils SHINGLE_WORDS.
 GAP = 2 * SHINGLE_WORDS
 BLOCK = 1 << 19
+#: Shingles on a side of a minimum that a sketch covers, its parts of four bits, and how many have to agree.
+REACH, PARTS, AGREE = (LEAST_WORDS - SHINGLE_WORDS) // 2, 7, 3
 #: Windows in a block of a group, partners listed in one row, pairs made at a time; they bound memory only.
 GROUP_ROWS, LISTED, PAIRS = 128, 64, 1 << 16
 _SPREAD = 0x5851F42D
+_SKETCH = np.random.default_rng(13).integers(1, 1 << 32, (2, PARTS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _MIX = np.random.default_rng(11).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -106,8 +114,36 @@ def compact_windows(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, le
     return tuple(np.concatenate(part) for part in zip(*out))
 
 
+def _sketches(hashes: np.ndarray) -> np.ndarray:
+    """For each place a sketch of the REACH shingles from it on; what there is of them at the end."""
+    n = len(hashes)
+    short_hash = (hashes >> np.uint64(32)).astype(np.uint32)
+    square = np.full(-(-n // REACH) * REACH + REACH, 0xFFFFFFFF, np.uint32)
+    out = np.zeros(n, np.int64)
+    for k in range(PARTS):
+        square[:n] = short_hash * _SKETCH[0, k] + _SKETCH[1, k]
+        rows = square.reshape(-1, REACH)
+        ahead = np.minimum.accumulate(rows, axis=1).ravel()
+        behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+        least = np.minimum(behind[:n], ahead[REACH - 1 : REACH - 1 + n])
+        out = out << 4 | (least * np.uint32(0x9E3779B1) >> np.uint32(28))
+    return out
+
+
+def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows (key, doc, l, r, digest, left, right) agree on a side that both have whole."""
+    out = np.zeros(len(a), bool)
+    ones = int("1" * PARTS, 16)
+    for side in (5, 6):
+        x, y = a[:, side], b[:, side]
+        apart = x ^ y
+        apart = (apart | apart >> 1 | apart >> 2 | apart >> 3) & ones
+        out |= (x >= 0) & (y >= 0) & (np.bitwise_count(apart) <= PARTS - AGREE)
+    return out
+
+
 def _block_windows(ids: np.ndarray, texts: list[str | None]) -> list[np.ndarray]:
-    """Columns key, doc, l, r (word numbers), digest of the shingles of all windows of a block of documents."""
+    """Columns of all windows of a block of documents: key, doc, l, r (word numbers), digest, sketches of both sides (-1: not whole)."""
     hashes, owner, place = [], [], []
     for k, text in enumerate(texts):
         h = document_shingles(text)
@@ -116,13 +152,14 @@ def _block_windows(ids: np.ndarray, texts: list[str | None]) -> list[np.ndarray]
             owner.append(np.full(len(h), k))
             place.append(np.arange(len(h)))
     if not hashes:
-        return [np.zeros(0, np.int64)] * 5
+        return [np.zeros(0, np.int64)] * 7
     h, own, at = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
     starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     ends = np.append(starts[1:], len(own))
     power, inverse = powers(len(h) + 1)
     total = np.zeros(len(h) + 1, np.uint64)
     np.cumsum((h | np.uint64(1)) * power[: len(h)], out=total[1:])
+    sketch = np.append(_sketches(h), 0)
     parts = []
     for f in range(HASHES):
         value = h * _MIX[f]
@@ -138,12 +175,14 @@ def _block_windows(ids: np.ndarray, texts: list[str | None]) -> list[np.ndarray]
         digest = (total[right + 1] - total[left]) * inverse[left]
         digest ^= digest >> np.uint64(32)
         digest *= np.uint64(0xD6E8FEB86659FD93)
-        parts.append((key.view(np.int64), ids[own[center]], at[left], at[right], digest.view(np.int64)))
+        before = np.where(center - left >= REACH, sketch[np.maximum(center - REACH, 0)], -1)
+        behind = np.where(right - center >= REACH, sketch[center + 1], -1)
+        parts.append((key.view(np.int64), ids[own[center]], at[left], at[right], digest.view(np.int64) >> 32, before, behind))
     return [np.concatenate(c) for c in zip(*parts)]
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    schema = "key long, doc long, l int, r int, digest long"
+    schema = "key long, doc long, l int, r int, digest int, before int, behind int"
     arrow = _arrow_schema(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +195,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _met(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
-    """Columns a, b, f, l, r of the meetings of rows (key, doc, l, r); the window is the earlier document's."""
+    """Columns a, b, f, l, r of the meetings of rows (key, doc, l, r, ...); the window is the earlier document's."""
     apart = x[:, 1] != y[:, 1]
     x, y = x[apart], y[apart]
     swap = (x[:, 1] > y[:, 1])[:, None]
@@ -165,50 +204,49 @@ def _met(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
 
 
 def _grouped(windows: DataFrame) -> DataFrame:
-    """Rows (kind, key, a, b, f, l, r), which hold, by kind:
+    """Rows (kind, key, a, b, l, r, before, behind), which hold, by kind:
 
-    0  a meeting of two windows of a block of a key's different windows, of documents a < b
+    0  a meeting of windows of documents a < b with a common key
     1  a window of document b that is equal to an earlier document's
-    2  a window of document a in block b of a key with several blocks
+    2  a window of document a that agrees with more of its key than it has met, or may do so
 
     The rows of a key come in order; one block of its windows is held.
     """
-    schema = "kind int, key long, a long, b long, f int, l int, r int"
+    schema = "kind int, key long, a long, b long, l int, r int, before int, behind int"
     arrow = _arrow_schema(windows.sparkSession, schema)
 
-    def batch_of(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, f: np.ndarray, l: np.ndarray, r: np.ndarray) -> pa.RecordBatch:  # noqa: E741
-        columns = [np.full(len(key), kind), key, a, b, f, l, r]
+    def batch_of(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        columns = [np.full(len(columns[0]), kind), *columns]
+        columns += [np.zeros(len(columns[0]), np.int64)] * (len(arrow) - len(columns))
         return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow)], schema=arrow)
 
-    def paired(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        a, b, f, l, r = _met(x, y)  # noqa: E741
-        return batch_of(0, np.zeros(len(a), np.int64), a, b, f, l, r)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number, last = np.zeros((0, 5), np.int64), 0, None  # the open block, its number, the last window that stands for others
+        # the open block, which of its rows have more to meet, its number, the last window that stands for others
+        held, more, number, last = np.zeros((0, 7), np.int64), np.zeros(0, bool), 0, None
 
-        def kept(rows: np.ndarray, block: int) -> pa.RecordBatch:
-            return batch_of(2, rows[:, 0], rows[:, 1], np.full(len(rows), block), rows[:, 0] & 7, rows[:, 2], rows[:, 3])
+        def kept(rows: np.ndarray) -> pa.RecordBatch:
+            return batch_of(2, rows[:, 0], rows[:, 1], rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 5], rows[:, 6])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(5)], axis=1)
+            rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(7)], axis=1)
             seen = 0 if last is None else 1
             if seen:
                 rows = np.concatenate([last[None], rows])
             new_key = np.append(True, rows[1:, 0] != rows[:-1, 0])
-            heads = new_key | np.append(True, rows[1:, 4] != rows[:-1, 4])
+            heads = new_key | np.append(True, (rows[1:, 4:] != rows[:-1, 4:]).any(axis=1) | (rows[1:, 3] - rows[1:, 2] != rows[:-1, 3] - rows[:-1, 2]))
             head = np.flatnonzero(heads)[np.cumsum(heads) - 1]
             again = np.flatnonzero(~heads & (rows[:, 1] != rows[head, 1]))
             if len(again):
                 g = rows[again]
-                yield batch_of(1, g[:, 0], g[:, 1], g[:, 1], g[:, 0] & 7, g[:, 2], g[:, 3])
+                yield batch_of(1, g[:, 0], g[:, 1], g[:, 1], g[:, 2], g[:, 3])
             last = rows[head[-1]]
             fresh_rows = rows[seen:][heads[seen:]]
             if not len(fresh_rows):
                 continue
             rows = np.concatenate([held, fresh_rows])
+            more = np.append(more, np.zeros(len(fresh_rows), bool))
             opens = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
             # the place of a row among its key's; the rows held begin a block and have met one another
             first = np.repeat(opens, np.diff(np.append(opens, len(rows))))
@@ -222,44 +260,63 @@ def _grouped(windows: DataFrame) -> DataFrame:
                 m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + PAIRS, side="right")) - 1)
                 y = np.repeat(todo[k:m], earlier[todo[k:m]])
                 x = y - 1 - (np.arange(len(y)) - np.repeat(bounds[k:m] - bounds[k], earlier[todo[k:m]]))
-                yield paired(rows[x], rows[y])
+                good = np.flatnonzero(_agree(rows[x], rows[y]) & (rows[x, 1] != rows[y, 1]))
+                x, y = x[good], y[good]
+                change = y[1:] != y[:-1]
+                chosen = np.append(True, change)[: len(y)] | np.append(change, True)[: len(y)]
+                more[x[~chosen]] = more[y[~chosen]] = True
+                a, b, _, l, r = _met(rows[x[chosen]], rows[y[chosen]])  # noqa: E741
+                yield batch_of(0, rows[y[chosen], 0], a, b, l, r)
                 k = m
             same_key = rows[1:, 0] == rows[:-1, 0]
             begin = np.flatnonzero(np.append(True, ~same_key | (block[1:] != block[:-1])))
             for a, z in zip(begin[:-1].tolist(), begin[1:].tolist()):
                 if block[a] or same_key[z - 1]:
-                    yield kept(rows[a:z], int(block[a]))
-            held, number = rows[begin[-1] :], int(block[-1])
+                    more[a:z] = True
+            done = rows[: begin[-1]][more[: begin[-1]]]
+            if len(done):
+                yield kept(done)
+            held, more, number = rows[begin[-1] :], more[begin[-1] :], int(block[-1])
         if number:
-            yield kept(held, number)
-
-    return windows.repartition("key").sortWithinPartitions("key", "digest", "doc", "l").mapInArrow(run, schema)
+            more[:] = True
+        if more.any():
+            yield kept(held[more])
 
+    order = ("key", "digest", "before", "behind", "doc", "l")
+    return windows.repartition("key").sortWithinPartitions(*order).mapInArrow(run, schema)
 
-def _across(grouped: DataFrame) -> DataFrame:
-    """Meetings (a, b, f, al, ar) of windows in different blocks of a key, a cell of two blocks at a time."""
-    rows = grouped.where("kind = 2").select("key", F.col("a").alias("doc"), F.col("b").cast("int").alias("block"), "l", "r")
-    last = rows.groupBy("key").agg(F.max("block").alias("last")).where("last > 0")
-    cells = rows.join(last, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last")))).where("other <> block")
-    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "l", "r")
 
-    def pair(cell: tuple, part: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "l", "r")], axis=1)
-        low = part.column("block").to_numpy() == cell[1].as_py()
-        x, y = rows[low], rows[~low]
-        step = max(1, PAIRS // len(x))
-        for k in range(0, len(y), step):
-            some = y[k : k + step]
-            columns = _met(np.tile(x, (len(some), 1)), np.repeat(some, len(x), axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+def _across(grouped: DataFrame, spans: DataFrame) -> DataFrame:
+    """Meetings (key, a, b, al, ar) of the windows of kind 2 that ``spans`` (doc, start, end) don't settle with the others of their key.
 
-    schema = "a long, b long, f int, al int, ar int"
+    A window is settled if a span leaves less than a passage of it on either side.
+    """
+    rows = grouped.where("kind = 2").select("key", F.col("a").alias("doc"), "l", "r", "before", "behind")
+    known = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    slack = LEAST_WORDS - SHINGLE_WORDS
+    settled = F.exists("spans", lambda s: (s["start"] <= F.col("l") + slack) & (s["end"] >= F.col("r") - slack + SHINGLE_WORDS))
+    flagged = rows.join(known, "doc", "left").withColumn("open", ~F.coalesce(settled, F.lit(False))).drop("spans").repartition("key")
+    size = flagged.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("blocks"), F.max("open").alias("any")).where("any")
+    sized = flagged.join(size.drop("any"), "key")
+    own = sized.withColumn("block", F.pmod(F.xxhash64("doc", "l"), "blocks").cast("int")).withColumn("visits", F.lit(False))
+    visitors = sized.where("open").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(True))
+    schema = "key long, a long, b long, al int, ar int"
     arrow = _arrow_schema(grouped.sparkSession, schema)
 
-    def pair_all(cell: tuple, part: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(pair(cell, part)), schema=arrow)
+    def pair(part: pa.Table) -> pa.Table:
+        rows = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "l", "r", "l", "before", "behind")], axis=1)
+        visits = part.column("visits").to_numpy(zero_copy_only=False)
+        x, y, out = rows[~visits], rows[visits], []
+        step = max(1, PAIRS // max(1, len(x)))
+        for k in range(0, len(y), step):
+            some = y[k : k + step]
+            a, b = np.tile(x, (len(some), 1)), np.repeat(some, len(x), axis=0)
+            good = np.flatnonzero((a[:, 1] < b[:, 1]) & _agree(a, b))
+            out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((a[good, 0], a[good, 1], b[good, 1], a[good, 2], a[good, 3]), arrow)], schema=arrow))
+        return pa.Table.from_batches(out, schema=arrow)
 
-    return cells.groupBy("key", "i", "j").applyInArrow(pair_all, schema)
+    columns = ("key", "block", "doc", "l", "r", "before", "behind", "visits")
+    return own.select(*columns).union(visitors.select(*columns)).groupBy("key", "block").applyInArrow(pair, schema)
 
 
 def _places(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -353,28 +410,17 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*parts, raw[at:]]).decode()
 
 
-def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "repeats") -> DataFrame:
-    """``docs`` with a column ``out``: word spans (start, end) that repeat an earlier document's passage.
+def _enough(met: DataFrame) -> DataFrame:
+    """(a, b, late, al, ar) of pairs of documents that meet under ENOUGH hash functions."""
+    functions = F.bit_count(F.bit_or(F.expr("shiftleft(1, cast(key & 7 as int))")))
+    return met.groupBy("a", "b").agg(functions.alias("n"), F.max("late").alias("late"), F.min("al").alias("al"), F.max("ar").alias("ar")).where(F.col("n") >= ENOUGH).drop("n")
 
-    A passage has at least LEAST_WORDS words; two are alike if the Jaccard
-    similarity of their five-word shingles is at least SIMILARITY.  Only the
-    earliest document by id keeps it.  Passages are judged on the input, not on
-    what is left of it.  Null, empty and short texts and rows with a null id
-    have no repeats; rows with an equal id don't repeat each other.  A column
-    that is named ``out`` already is replaced.
-    """
-    docs = docs.drop(out)
-    grouped = checkpointed(_grouped(_windows(docs, id_col, text_col)))
-    near = grouped.where("kind = 0").select("a", "b", "f", F.col("l").alias("al"), F.col("r").alias("ar"))
-    found = (
-        near.union(_across(grouped))
-        .groupBy("a", "b")
-        .agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, f)"))).alias("n"), F.min("al").alias("al"), F.max("ar").alias("ar"))
-        .where(F.col("n") >= ENOUGH)
-    )
+
+def _verified(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Spans (doc, start, end) of words of documents b that repeat a passage of the region al to ar of their document a."""
     # partners are listed in parts, so that no row grows with a group
     part_a, part_b = (F.floor((F.row_number().over(Window.partitionBy(x).orderBy(y)) - 1) / LISTED) for x, y in (("a", "b"), ("b", "a")))
-    found = checkpointed(found.withColumn("pb", part_b).withColumn("pa", part_a).select("a", "b", "pa", "pb", "al", "ar"))
+    found = found.withColumn("pb", part_b).withColumn("pa", part_a).select("a", "b", "pa", "pb", "al", "ar")
     names = docs.columns
     text_at, mine, theirs = names.index(text_col), fresh(docs, "_a"), fresh(docs, "_b")
     asked = found.groupBy("a", "pa").agg(F.collect_list(F.struct("b", "pb", "al", "ar")).alias(fresh(docs, "_asked"))).drop("pa").withColumnRenamed("a", mine)
@@ -403,9 +449,28 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = zip(*rows) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, span_schema)], schema=span_schema)
 
-    verified = docs.join(heard, docs[id_col] == heard[theirs], "left").mapInArrow(verify, "doc long, start int, end int")
+    return docs.join(heard, docs[id_col] == heard[theirs], "left").mapInArrow(verify, "doc long, start int, end int")
+
+
+def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "repeats") -> DataFrame:
+    """``docs`` with a column ``out``: word spans (start, end) that repeat an earlier document's passage.
+
+    A passage has at least LEAST_WORDS words; two are alike if the Jaccard
+    similarity of their five-word shingles is at least SIMILARITY.  Only the
+    earliest document by id keeps it.  Passages are judged on the input, not on
+    what is left of it.  Null, empty and short texts and rows with a null id
+    have no repeats; rows with an equal id don't repeat each other.  A column
+    that is named ``out`` already is replaced.
+    """
+    docs = docs.drop(out)
+    grouped = checkpointed(_grouped(_windows(docs, id_col, text_col)))
     equal = grouped.where("kind = 1").select(F.col("b").alias("doc"), F.col("l").alias("start"), (F.col("r") + SHINGLE_WORDS).alias("end"))
-    both = verified.union(equal).distinct().repartition("doc")
+    near = grouped.where("kind = 0").select("key", "a", "b", F.col("l").alias("al"), F.col("r").alias("ar"), F.lit(False).alias("late"))
+    early = _verified(docs, _enough(near).drop("late"), id_col, text_col).union(equal).distinct().repartition("doc")
+    late = _across(grouped, early).withColumn("late", F.lit(True))
+    both = early.union(_verified(docs, _enough(near.union(late)).where("late").drop("late"), id_col, text_col)).repartition("doc")
+    names = docs.columns
+    text_at, theirs = names.index(text_col), fresh(docs, "_b")
     spans = both.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(fresh(docs, "_heard"))).withColumnRenamed("doc", theirs)
     joined = docs.join(spans, docs[id_col] == spans[theirs], "left")
     schema = extended(docs, f"`{out}` array<struct<start:int,end:int>>")
