@@ -26,8 +26,6 @@ from .tokencount import VOCABULARY, CountTransducer, transducer
 CAPACITY = 2048
 #: Items of a group, on average.
 GROUP_ITEMS = 8192
-#: Passes of the local search over the underfull bins.
-PASSES = 8
 #: Text encoded at a time, in bytes.
 ENCODE_BYTES = 4 << 20
 
@@ -128,57 +126,88 @@ class Bins:
             by_room[left].append(b)
             rooms |= 1 << left
 
-    def improve(self, passes: int = PASSES) -> None:
-        """Raise the sum of squared fills by exchanges between underfull bins."""
-        for _ in range(passes):
-            loose = sorted((b for b in range(len(self.held)) if 0 < self.fill[b] < self.capacity), key=lambda b: -self.fill[b])
-            changed = False
-            for k, b in enumerate(loose):
-                while self._fuller(b, loose[k + 1 :][-SEEN:]):
-                    changed = True
-            if not changed:
-                break
+    def improve(self) -> None:
+        """Raise the sum of squared fills by exchanges between underfull bins, until none is left.
+
+        Bins take from all bins that are less full.  What these hold is indexed
+        by size: single items and pairs of one bin, each with a set of the
+        sizes that occur, so the best exchange of a bin is found without going
+        through the other bins.
+        """
+        while self._pass():
+            pass
         kept = [h for h in self.held if h]
         self.fill = [sum(self.sizes[i] for i in h) for h in kept]
         self.held = kept
 
-    def _fuller(self, b: int, others: list[int]) -> bool:
-        """The exchange that fills ``b`` most, at the cost of a bin less full."""
-        room, best = self.capacity - self.fill[b], None
+    def _pass(self) -> bool:
+        loose = sorted((b for b in range(len(self.held)) if 0 < self.fill[b] < self.capacity), key=lambda b: -self.fill[b])
+        self.of = {i: b for b in loose for i in self.held[b]}
+        self.open = set(loose)
+        self.offers: tuple[dict[int, list[tuple[int, ...]]], ...] = ({}, {})
+        self.offered = [0, 0]  # bit s: an item (a pair) of size s may be there
+        for b in loose:
+            self._offer(b, self.held[b])
+        changed = False
+        for b in loose:
+            self.open.discard(b)
+            while self.held[b] and self._fuller(b):
+                changed = True
+        return changed
+
+    def _offer(self, b: int, new: list[int]) -> None:
+        """Index items of bin ``b`` that are new there, and their pairs."""
+        sizes, fresh_ones = self.sizes, set(new)
+        for i in new:
+            self._put(0, sizes[i], (i,))
+            for j in self.held[b]:
+                if j not in fresh_ones or j < i:
+                    self._put(1, sizes[i] + sizes[j], (i, j))
+
+    def _put(self, kind: int, size: int, items: tuple[int, ...]) -> None:
+        self.offers[kind].setdefault(size, []).append(items)
+        self.offered[kind] |= 1 << size
+
+    def _largest(self, kind: int, most: int) -> tuple[int, tuple[int, ...]] | None:
+        """The largest single or pair of an open bin of a size up to ``most``; outdated entries go."""
+        while at := self.offered[kind] & (1 << most + 1) - 1:
+            size = at.bit_length() - 1
+            entries = self.offers[kind][size]
+            while entries:
+                bins = {self.of[i] for i in entries[-1]}
+                if len(bins) == 1 and bins <= self.open:
+                    return size, entries[-1]
+                entries.pop()
+            self.offered[kind] ^= 1 << size
+        return None
+
+    def _fuller(self, b: int) -> bool:
+        """The exchange that fills ``b`` most, at the cost of a bin less full: up to three items, two on a side at most."""
+        room, own, best = self.capacity - self.fill[b], self.held[b], None
         if not room:
             return False
-        own = self.held[b]
         give = [(0, ())] + [(self.sizes[i], (i,)) for i in own]
         give += [(self.sizes[i] + self.sizes[j], (i, j)) for x, i in enumerate(own) for j in own[:x]]
-        for c in others:
-            if not 0 < self.fill[c] <= self.fill[b]:
-                continue
-            theirs = self.held[c]
-            take = [(self.sizes[i], (i,)) for i in theirs]
-            take += [(self.sizes[i] + self.sizes[j], (i, j)) for x, i in enumerate(theirs) for j in theirs[:x]]
-            for got, items in take:
-                for given, mine in give:
-                    if len(items) + len(mine) > 3:
-                        continue
-                    gain = got - given
-                    if 0 < gain <= room and (best is None or gain > best[0]):
-                        best = gain, c, items, mine
+        for given, mine in give:
+            for kind in (0, 1) if len(mine) < 2 else (0,):
+                found = self._largest(kind, room + given)
+                if found and found[0] > given and (best is None or found[0] - given > best[0]):
+                    best = found[0] - given, found[1], mine
             if best is not None and best[0] == room:
                 break
         if best is None:
             return False
-        gain, c, items, mine = best
+        gain, items, mine = best
+        c = self.of[items[0]]
         self.held[b] = [i for i in own if i not in mine] + list(items)
         self.held[c] = [i for i in self.held[c] if i not in items] + list(mine)
+        self.of.update(dict.fromkeys(items, b) | dict.fromkeys(mine, c))
+        self._offer(c, list(mine))
         self.fill[b] += gain
         self.fill[c] -= gain
         return True
 
 
-#: Emptier bins that one bin looks at for an exchange; only the cost of a pass depends on it.
-SEEN = 64
-
-
 def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to items of a length of at most ``capacity``.
 
@@ -210,7 +239,8 @@ def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY)
                 at += sizes[item]
         return pd.DataFrame({row: rows["row"].to_numpy(), "sequence_id": sequence, "offset": offset})
 
-    placed = dealt.groupBy("group").applyInPandas(place, f"{row} long, sequence_id long, offset long")
+    # as many partitions as groups: they must not be put together in a few tasks
+    placed = dealt.repartition(groups, "group").groupBy("group").applyInPandas(place, f"{row} long, sequence_id long, offset long")
     return numbered.join(placed, row, "left").drop(row)
 
 
