@@ -8,9 +8,13 @@ pivot, and if it lies within the range of the half-space nearer to that pivot.
 It visits each such cell; then the cells join independently, each member at
 home with all members and visitors, by blocks of exact dot products.
 
-Equal vectors are one row with a weight.  A cell with many members is dealt
-into pieces that visitors reach each, so no task holds a whole cell.  Cells
-hand on counts and a spanning forest of links, never pairs.
+Equal vectors are one row with a weight.  Small cells travel in company: a tile
+is some cells of about TILE members together, or a piece of a larger cell, so a
+vector goes once to a tile however many of its cells it visits, and no task
+holds more than a tile and a block of its visitors.  Inside a tile each cell is
+joined with its own visitors.  Cells hand on counts and a spanning forest of
+links, never pairs.  Where vectors have no structure, every tile is visited by
+all, and the rows sent are the square of the vectors divided by TILE.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import _arrow_schema, checkpointed, connected_components, table
 
 COSINE = 0.9
-#: Members of a piece of a cell, on average, and pivots at most.
-PIECE, PIVOTS = 2048, 128
+#: Vectors for each pivot, pivots at most (they are sent to all tasks), and members of a tile.
+PIECE, PIVOTS, TILE = 1024, 512, 16384
 #: Room for rounding where angles bound a search.
 SLACK = 1e-6
 
@@ -130,49 +134,77 @@ def _range_join(distinct: DataFrame, dim: int, cosine: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(angle[np.arange(len(home)), home])], ["home", "angle"])
 
     stats = distinct.select("unit").mapInArrow(settle, "home int, angle double").groupBy("home").agg(F.max("angle").alias("r"), F.count(F.lit(1)).alias("n")).collect()
-    radius, pieces = np.full(len(pivots), -1.0), np.zeros(len(pivots), np.int64)
+    radius, members = np.full(len(pivots), -1.0), np.zeros(len(pivots), np.int64)
     for s in stats:
-        radius[s["home"]], pieces[s["home"]] = s["r"], -(-s["n"] // PIECE)
+        radius[s["home"]], members[s["home"]] = s["r"], s["n"]
+    first_tile, pieces = _tiles(pivots, members)
+
+    def visits(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each vector has to go to each cell, and its home."""
+        dot = unit @ pivots.T
+        angle = np.arccos(np.clip(dot, -1, 1))
+        every = np.arange(len(unit))
+        home = angle.argmin(axis=1)
+        own = angle[every, home]
+        near = (angle <= radius[None] + theta + SLACK) & (angle <= own[:, None] + 2 * theta + SLACK)
+        near &= dot[every, home][:, None] - dot <= math.sin(theta) * spread[home] + SLACK
+        near &= radius[None] >= 0
+        near[every, home] = True
+        return near, home
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            unit = _matrix(batch.column(2), dim)
-            dot = unit @ pivots.T
-            angle = np.arccos(np.clip(dot, -1, 1))
-            every = np.arange(len(unit))
-            home = angle.argmin(axis=1)
-            own = angle[every, home]
-            near = (angle <= radius[None] + theta + SLACK) & (angle <= own[:, None] + 2 * theta + SLACK)
-            near &= dot[every, home][:, None] - dot <= math.sin(theta) * spread[home] + SLACK
-            near &= radius[None] >= 0
-            near[every, home] = True
+            near, home = visits(_matrix(batch.column(2), dim))
             who, cell = np.nonzero(near)
             fan = pieces[cell]
-            who, cell = np.repeat(who, fan), np.repeat(cell, fan)
-            piece = np.arange(len(who)) - np.repeat(np.cumsum(fan) - fan, fan)
-            keys = batch.column(0).to_pylist()
-            at = np.array([int.from_bytes(k[:7], "big") for k in keys], np.int64) % pieces[home]
-            at_home = (home[who] == cell) & (at[who] == piece)
-            columns = [pa.array(cell.astype(np.int32)), pa.array(piece), pa.array(at_home)] + [batch.column(k).take(pa.array(who)) for k in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays(columns, ["cell", "piece", "home", "rep", "unit", "weight"])
+            who, tile = np.repeat(who, fan), np.repeat(first_tile[cell], fan)
+            tile += np.arange(len(who)) - np.repeat(np.cumsum(fan) - fan, fan)
+            who, tile = np.divmod(np.unique(who * (int(tile.max()) + 1) + tile), int(tile.max()) + 1)
+            at = np.array([int.from_bytes(k[:7], "big") for k in batch.column(0).to_pylist()], np.int64) % pieces[home] + first_tile[home]
+            columns = [pa.array(tile), pa.array(at[who] == tile)] + [batch.column(k).take(pa.array(who)) for k in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays(columns, ["tile", "home", "rep", "unit", "weight"])
 
     kind = distinct.schema["rep"].dataType.simpleString()
-    dealt = distinct.select("key", "rep", "unit", "weight").mapInArrow(deal, f"cell int, piece long, home boolean, rep {kind}, unit binary, weight long")
-    # visitors of a piece come in blocks of bounded size, each with the piece's own members
-    blocks = max(1, -(-total // (4 * PIECE)))
-    came = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
-    own = dealt.where("home").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    marked = came.withColumn("home", F.lit(False)).unionByName(own)
+    dealt = distinct.select("key", "rep", "unit", "weight").mapInArrow(deal, f"tile long, home boolean, rep {kind}, unit binary, weight long")
+    # visitors of a tile come in blocks of bounded size, each with the tile's own members
+    blocks = max(1, -(-total // TILE))
+    block = F.when(F.col("home"), F.sequence(F.lit(-1), F.lit(blocks - 1))).otherwise(F.array(F.lit(-1)))
+    marked = dealt.withColumn("block", F.explode(block)).withColumn("home", F.col("block") >= 0)
+    marked = marked.withColumn("block", F.when(F.col("home"), F.col("block")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")))
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         base, other = rows[rows["home"]], rows[~rows["home"]]
         if not len(base) or not len(other):
-            return pd.DataFrame({"rep": [], "links": [], "other": []})
-        return _piece(base, other, dim, cosine)
+            return _found(base["rep"].to_numpy()[:0], [], [], [])
+        homes, near = visits(_matrix(base["unit"], dim))[1], visits(_matrix(other["unit"], dim))[0]
+        return pd.concat([_piece(base[homes == c], other[near[:, c]], dim, cosine) for c in np.unique(homes).tolist()], ignore_index=True)
 
-    return marked.groupBy("cell", "piece", "block").applyInPandas(join, f"rep {kind}, links long, other {kind}")
+    return marked.groupBy("tile", "block").applyInPandas(join, f"rep {kind}, links long, other {kind}")
+
+
+def _tiles(pivots: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first tile of each cell, and how many it has; cells of neighbouring pivots share one."""
+    first, pieces = np.zeros(len(members), np.int64), np.maximum(1, -(-members // TILE))
+    left, tile, room = list(range(len(members))), 0, TILE
+    at = 0
+    while left:
+        # the cell whose pivot is nearest to the last one's
+        at = left.pop(int((pivots[left] @ pivots[at]).argmax()))
+        if members[at] > room or pieces[at] > 1:
+            tile, room = tile + (room < TILE), TILE
+        first[at] = tile
+        room -= int(members[at])
+        if pieces[at] > 1:
+            tile, room = tile + int(pieces[at]), TILE
+    return first, pieces
+
+
+def _found(like: np.ndarray, rep: list, links: list, other: list) -> pd.DataFrame:
+    """Rows (rep, links, other) with ids of the kind of ``like``; numbers stay whole beside nulls."""
+    kind = "Int64" if like.dtype.kind in "iu" else object
+    return pd.DataFrame({"rep": pd.array(rep, kind), "links": np.array(links, np.int64), "other": pd.array(other, kind)})
 
 
 def _piece(base: pd.DataFrame, other: pd.DataFrame, dim: int, cosine: float, rows: int = 512) -> pd.DataFrame:
@@ -205,11 +237,10 @@ def _piece(base: pd.DataFrame, other: pd.DataFrame, dim: int, cosine: float, row
             break
     names = np.concatenate([ids, others])
     moved = np.flatnonzero(label != np.arange(len(label)))
-    edges = pd.DataFrame({"rep": names[moved], "links": 0, "other": names[label[moved]]})
-    edges = edges[edges["rep"] != edges["other"]]
+    edges = [(x, y) for x, y in zip(names[moved].tolist(), names[label[moved]].tolist()) if x != y]
     linked = np.flatnonzero(links)
-    counts = pd.DataFrame({"rep": ids[linked], "links": links[linked], "other": None})
-    return pd.concat([counts, edges], ignore_index=True).astype({"other": "Int64"}) if len(counts) or len(edges) else pd.DataFrame({"rep": [], "links": [], "other": []})
+    rep = ids[linked].tolist() + [x for x, _ in edges]
+    return _found(ids, rep, links[linked].tolist() + [0] * len(edges), [None] * len(linked) + [y for _, y in edges])
 
 
 def op10_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.llm import bpe, classifier, linededup, media, neighbours, packing, passages, simhash, suffix, tokencount
+from kgspark.llm import bpe, classifier, common, linededup, media, neighbours, packing, passages, simhash, suffix, tokencount
 
 from . import brute
 
@@ -252,6 +252,22 @@ def test_packing(wide, none, spark):
     assert len(bins) == 3 and all(sum(b) <= 2048 for b in bins.values())
 
 
+def test_packing_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 500)
+    rnd = random.Random(12)
+    sizes = [rnd.choice((rnd.randrange(1, 300), rnd.randrange(300, 1200), 2048)) for _ in range(4000)]
+    out = packing.pack(spark.createDataFrame(list(enumerate(sizes)), "id long, length long")).collect()
+    bins: dict[int, list[tuple[int, int]]] = {}
+    for r in out:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in bins.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:k]) for k in range(len(held))] and sum(n for _, n in held) <= 2048
+    bound = -(-sum(sizes) // 2048)
+    print("bins", len(bins), "bound", bound)
+    assert sorted(r["id"] for r in out) == list(range(4000)) and len(bins) <= 1.02 * bound
+
+
 def test_packing_search_beats_best_fit():
     """Swaps free bins that best fit alone leaves."""
     sizes = [5, 5, 4, 4, 3, 3, 3, 3, 2, 2, 2, 2, 6, 6, 7, 7, 1, 1, 8] * 4
@@ -284,13 +300,43 @@ def test_vectors_of_many_cells(spark, monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(neighbours, "PIECE", 40)
+    monkeypatch.setattr(neighbours, "TILE", 150)
     rng = np.random.default_rng(4)
     centers = rng.normal(size=(60, 8))
     rows = [(k, (centers[k % 60] + rng.normal(size=8) * rng.choice([0.02, 0.3, 0.6])).tolist()) for k in range(1200)]
     rows += [(1200 + k, rows[7][1]) for k in range(300)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neighbours.near_duplicates(df).collect()}
-    assert got == brute.vector_groups(dict(rows))
+    want = brute.vector_groups(dict(rows))
+    assert got == want
+    # the same by names instead of numbers, in the same order
+    named = df.select(F.lpad(F.col("vec_id").cast("string"), 5, "0").alias("vec_id"), "embedding")
+    got = {int(r["vec_id"]): (r["n_links"], int(r["component_id"]), r["kept"]) for r in neighbours.near_duplicates(named).collect()}
+    assert got == want
+
+
+def test_components_of_hard_graphs(spark, monkeypatch):
+    """A long path, a star, a random graph and names, in many rounds and in one."""
+    rnd = random.Random(6)
+    path, star = [(k, k + 1) for k in range(300)], [(1000, 1001 + k) for k in range(300)]
+    mixed = [(2000 + rnd.randrange(400), 2000 + rnd.randrange(400)) for _ in range(350)] + [(None, 1), (7, 7)]
+    edges = spark.createDataFrame(path + star + mixed, "a long, b long")
+    want: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while want.setdefault(x, x) != x:
+            x = want[x]
+        return x
+
+    for a, b in path + star + [e for e in mixed if e[0] is not None and e[0] != e[1]]:
+        low, high = sorted((root(a), root(b)))
+        want[high] = low
+    want = {x: root(x) for x in want}
+    named = edges.selectExpr("lpad(cast(a as string), 5, '0') a", "lpad(cast(b as string), 5, '0') b")
+    for tail in (0, 1 << 16):
+        monkeypatch.setattr(common, "TAIL", tail)
+        assert {r["node"]: r["component"] for r in common.connected_components(edges).collect()} == want
+        assert {int(r["node"]): int(r["component"]) for r in common.connected_components(named).collect()} == want
 
 
 def test_passages_meet_beyond_the_first_and_previous(spark, monkeypatch):
