@@ -11,31 +11,84 @@ from pyspark.sql import functions as F
 
 from .graph import checkpointed
 
-# Shapes of citations: authors before a year in parentheses, and both within them.
-_NAME = r"[A-Z][A-Za-z'\-]+"
-_SURNAME = rf"(?:{_NAME}\s+){{0,2}}{_NAME}"
-_AUTHORS = rf"{_SURNAME}(?:\s*(?:&|and)\s+{_SURNAME})?(?:\s*,?\s*(?:et al\.?|[A-Z]\.?))*"
-_YEAR = r"(?:1[89]\d{2}|20\d{2})[a-z]?"
-_BEFORE_YEAR = re.compile(rf"(?<![A-Za-z])({_AUTHORS})\s*,?\s*\(\s*({_YEAR})\s*\)")
-_ONE = rf"({_AUTHORS})\s*,\s*({_YEAR})"
-_IN_PARENTHESES = re.compile(rf"\(\s*{_ONE}(?:\s*;\s*{_ONE})?(?:\s*;\s*{_ONE})?\s*\)")
+#: Words, years and single signs of a text.
+_TOKEN = re.compile(r"[^\W\d_][\w.'\-]*|\d+[a-z]?|\S")
+#: Names that one author, or the second of two, may have.
+_NAMES = 3
+
+
+def _kind(token: str) -> str:
+    """What a token may be in a citation: name, initial, et, al, and, year, or the sign itself."""
+    bare = token.replace(".", "")
+    if token in ("&", "and"):
+        return "and"
+    if token in ("et", "al", "al."):
+        return token.rstrip(".")
+    if token[0].isdigit():
+        return "year" if 1800 <= int(token.rstrip("abcdefghijklmnopqrstuvwxyz") or 0) <= 2099 and len(token.rstrip("abcdefghijklmnopqrstuvwxyz")) == 4 else "word"
+    if token[0].isalpha():
+        if bare.isupper() and (len(bare) == 1 or "." in token):
+            return "initial"
+        return "name" if token[0].isupper() and "." not in token else "word"
+    return token
+
+
+def _authors_start(kinds: list[str], end: int, floor: int) -> int | None:
+    """Where the authors that end before token ``end`` begin: names [and names], then initials and "et al."."""
+    at = end
+    while at > floor and (kinds[at - 1] in ("initial", ",") or (kinds[at - 1] == "al" and at - 1 > floor and kinds[at - 2] == "et")):
+        at -= 2 if kinds[at - 1] == "al" else 1
+    for side in range(2):
+        first = at
+        while at > floor and kinds[at - 1] == "name" and first - at < _NAMES:
+            at -= 1
+        if at == first:
+            # no name where one must be: after "and" the authors begin behind it
+            return at + 1 if side else None
+        if side or at - 1 <= floor or kinds[at - 1] != "and" or kinds[at - 2] != "name":
+            break
+        at -= 1
+    return at
 
 
 def citations_of(text: str | None) -> list[dict]:
-    """Citations of a text, by place: author group, year, the words as they stand, place."""
-    found = {}
-    for shape in (_BEFORE_YEAR, _IN_PARENTHESES):
-        for m in shape.finditer(text or ""):
-            groups = m.groups()
-            for author, year in zip(groups[::2], groups[1::2]):
-                if author:
-                    name = " ".join(author.split()).rstrip(",")
-                    found.setdefault((m.start(), name, year), {"author": name, "year": year, "original": m[0], "pos": m.start()})
-    return [found[k] for k in sorted(found)]
+    """Citations of a text, by place: author group, year, the words as they stand, place.
+
+    A citation is authors before a year in parentheses of its own, or one of
+    several "authors, year" that fill parentheses, parted by semicolons.
+    """
+    text = text or ""
+    tokens = list(_TOKEN.finditer(text))
+    kinds = [_kind(t[0]) for t in tokens]
+    found: list[dict] = []
+
+    def add(first: int, last: int, year: int, begin: int, end: int) -> None:
+        author = " ".join(text[tokens[first].start() : tokens[last].end()].split()).rstrip(",")
+        found.append({"author": author, "year": tokens[year][0], "original": text[begin:end], "pos": begin})
+
+    for k, kind in enumerate(kinds):
+        if kind != "(":
+            continue
+        close = next((j for j in range(k + 1, len(kinds)) if kinds[j] in "()"), None)
+        if close is None or kinds[close] != ")":
+            continue
+        if close == k + 2 and kinds[k + 1] == "year":
+            start = _authors_start(kinds, k, 0)
+            if start is not None:
+                add(start, k - 1, k + 1, tokens[start].start(), tokens[close].end())
+            continue
+        marks = [k, *(j for j in range(k + 1, close) if kinds[j] == ";"), close]
+        parts = [(a + 1, b - 1) for a, b in zip(marks, marks[1:])]
+        # every part is authors, a comma and a year
+        if all(y - a >= 2 and kinds[y] == "year" and kinds[y - 1] == "," and _authors_start(kinds, y - 1, a) == a for a, y in parts):
+            for a, y in parts:
+                add(a, y - 2, y, tokens[k].start(), tokens[close].end())
+    once = {(c["pos"], c["author"], c["year"]): c for c in found}
+    return [once[c] for c in sorted(once)]
 
 
 def citations(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, author, year, original, pos) of all citations, up to three in one pair of parentheses."""
+    """(key, author, year, original, pos) of all citations; null and empty texts have none."""
 
     @F.pandas_udf("array<struct<author:string,year:string,original:string,pos:int>>")
     def parse(texts: pd.Series) -> pd.Series:
@@ -112,8 +165,8 @@ def block_numbers(sizes: list[int], target: int = 800) -> list[int]:
     return out
 
 
-def semantic_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = 800, most: int = 60) -> DataFrame:
-    """(key, block, first, paragraphs, chars) of whole paragraphs in order: a text's first ``most`` blocks, which is what a reviewer is handed."""
+def semantic_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", target: int = 800, most: int | None = None) -> DataFrame:
+    """(key, block, first, paragraphs, chars) of whole paragraphs in order; ``most``, where given, is how many blocks of a text a reviewer is handed."""
 
     @F.pandas_udf("array<struct<block:int,chars:int>>")
     def cut(texts: pd.Series) -> pd.Series:
@@ -123,7 +176,8 @@ def semantic_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", ta
 
         return texts.map(one)
 
-    rows = docs.select(key, F.posexplode(cut(text)).alias("pos", "p")).select(key, "pos", "p.block", "p.chars").where(F.col("block") < most)
+    rows = docs.select(key, F.posexplode(cut(text)).alias("pos", "p")).select(key, "pos", "p.block", "p.chars")
+    rows = rows if most is None else rows.where(F.col("block") < most)
     return rows.groupBy(key, "block").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("paragraphs"), F.sum("chars").alias("chars"))
 
 
