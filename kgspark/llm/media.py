@@ -137,30 +137,90 @@ def mux(payload: bytes) -> bytes:
     return TABLES + packets.tobytes()
 
 
-def _tables(packets: np.ndarray, pids: np.ndarray) -> tuple[int, int]:
-    """The elementary stream's packet id and type, from the program tables."""
-
-    def body(pid: int, table_id: int) -> bytes:
-        found = np.flatnonzero((pids == pid) & (packets[:, 1] & 0x40 > 0))
-        if not len(found):
-            raise ValueError("a program table is missing")
-        raw = packets[found[0]].tobytes()
-        start = 5 + raw[4]
-        end = start + 3 + (int.from_bytes(raw[start + 1 : start + 3], "big") & 0xFFF)
-        if raw[start] != table_id or crc32_mpeg(raw[start:end]):
-            raise ValueError("a program table is damaged")
-        return raw[start + 8 : end - 4]
-
-    programs = body(PAT_PID, 0)
-    streams = body(int.from_bytes(programs[2:4], "big") & 0x1FFF, 2)
-    skip = 4 + (int.from_bytes(streams[2:4], "big") & 0xFFF)
-    return int.from_bytes(streams[skip + 1 : skip + 3], "big") & 0x1FFF, streams[skip]
-
-
-def demux(stream: bytes) -> dict:
-    """Payload, time stamps and random-access points of a transport stream.
-
-    ``continuity_errors`` counts packets whose counter doesn't follow.
+def _pieces(packets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the packets of one id: their numbers without duplicates, where payloads begin, which end a gap, which are random-access points.
+
+    The counter of a packet with payload follows the last one's; one without
+    payload repeats it; a packet may be sent twice in a row; and a flag in the
+    adaptation field announces that the counter starts anew.
+    """
+    control = packets[:, 3] >> 4 & 3
+    extra = control & 2 > 0
+    loaded = control & 1 > 0
+    flags = np.where(extra & (packets[:, 4] > 0), packets[:, 5], 0)
+    skip = np.where(extra, 5 + packets[:, 4].astype(np.int64), 4)
+    at = np.flatnonzero(loaded)
+    counter = packets[at, 3] & 15
+    same = np.append(False, (counter[1:] == counter[:-1]) & (packets[at[1:], 4:] == packets[at[:-1], 4:]).all(axis=1))[: len(at)]
+    # a third packet with the same counter is no duplicate any more
+    same &= ~np.append(False, same[:-1])[: len(at)]
+    at, counter = at[~same], counter[~same]
+    anew = np.maximum.accumulate(np.where(flags & 0x80 > 0, np.arange(len(packets)), -1))[at] if len(at) else at
+    gap = np.append(False, (counter[1:] != (counter[:-1] + 1 & 15)) & ~(anew[1:] > at[:-1]))[: len(at)]
+    return at, skip[at], gap, flags[at] & 0x40 > 0
+
+
+def _sections(packets: np.ndarray, table_id: int) -> list[bytes]:
+    """Bodies of the sections of a table, which may run over several packets; checksums are verified."""
+    at, skip, gap, _ = _pieces(packets)
+    out, held = [], None
+    for k, begin, broken in zip(at.tolist(), skip.tolist(), gap.tolist()):
+        raw = packets[k].tobytes()
+        data = raw[begin:]
+        held = None if broken else held
+        if raw[1] & 0x40:
+            rest, data = data[1 : 1 + data[0]], data[1 + data[0] :]
+            held = _closed(out, held + rest, table_id) if held is not None else None
+            held = b""
+        if held is not None:
+            held = _closed(out, held + data, table_id)
+    if not out:
+        raise ValueError("a program table is missing")
+    return out
+
+
+def _closed(out: list[bytes], held: bytes, table_id: int) -> bytes:
+    """Takes whole sections off ``held`` into ``out``; returns what is left."""
+    while len(held) >= 3 and held[0] != 0xFF:
+        end = 3 + (int.from_bytes(held[1:3], "big") & 0xFFF)
+        if len(held) < end:
+            return held
+        if held[0] == table_id:
+            if crc32_mpeg(held[:end]):
+                raise ValueError("a program table is damaged")
+            if held[5] & 1:  # in force
+                out.append(held[8 : end - 4])
+        held = held[end:]
+    return held if held[:1] != b"\xff" else b""
+
+
+def programs(packets: np.ndarray, pids: np.ndarray) -> list[tuple[int, int, int]]:
+    """(program number, packet id, stream type) of all elementary streams, from the program tables."""
+    out = []
+    for body in dict.fromkeys(_sections(packets[pids == PAT_PID], 0)):
+        for k in range(0, len(body), 4):
+            number, pid = int.from_bytes(body[k : k + 2], "big"), int.from_bytes(body[k + 2 : k + 4], "big") & 0x1FFF
+            if not number:  # the network's own table
+                continue
+            for streams in dict.fromkeys(_sections(packets[pids == pid], 2)):
+                at = 4 + (int.from_bytes(streams[2:4], "big") & 0xFFF)
+                while at < len(streams):
+                    out.append((number, int.from_bytes(streams[at + 1 : at + 3], "big") & 0x1FFF, streams[at]))
+                    at += 5 + (int.from_bytes(streams[at + 3 : at + 5], "big") & 0xFFF)
+    return list(dict.fromkeys(out))
+
+
+#: Stream ids whose packets have no optional header.
+BARE = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}
+
+
+def demux(stream: bytes, pid: int | None = None) -> dict:
+    """Payload, time stamps and random-access points of an elementary stream: that of ``pid``, or the first of the tables.
+
+    ``continuity_errors`` counts packets before which some are missing.
+    ``damaged`` numbers the elementary packets that lack a part or whose length
+    isn't as told; what there is of them is in the payload.  What comes before
+    the first start of an elementary packet is no part of it.
     """
     packets = np.frombuffer(stream, np.uint8)
     if len(packets) % PACKET:
@@ -169,30 +229,47 @@ def demux(stream: bytes) -> dict:
     if (packets[:, 0] != SYNC).any():
         raise ValueError("a sync byte is missing")
     pids = (packets[:, 1].astype(np.int32) & 31) << 8 | packets[:, 2]
-    pid, kind = _tables(packets, pids)
+    known = programs(packets, pids)
+    kinds = {p: kind for _, p, kind in reversed(known)}
+    pid = known[0][1] if pid is None else pid
     at = np.flatnonzero(pids == pid)
-    own = packets[at]
-    counter = own[:, 3] & 15
-    errors = int((counter[1:] != (counter[:-1] + 1 & 15)).sum())
-    extra = own[:, 3] & 0x20 > 0
-    skip = np.where(extra, 5 + own[:, 4].astype(np.int64), 4)
-    access = extra & (own[:, 4] > 0) & (own[:, 5] & 0x40 > 0)
+    sent = packets[at]
+    chosen, skip, gap, access = _pieces(sent)
+    own = sent[chosen]
     data = own[np.arange(PACKET)[None, :] >= skip[:, None]]
     ends = np.cumsum(PACKET - skip)
     opens = np.flatnonzero(own[:, 1] & 0x40 > 0)
     starts = (ends - (PACKET - skip))[opens]
     bounds = [*starts.tolist(), len(data)]
-    parts, times = [], []
-    for a, b in zip(bounds, bounds[1:]):
+    lost = np.append(0, np.cumsum(gap))
+    parts, times, damaged = [], [], []
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
         head = data[a : a + PES_HEAD].tobytes()
         if head[:3] != b"\0\0\1":
             raise ValueError("an elementary packet has no start code")
+        first, after = int(opens[k]), int(opens[k + 1]) if k + 1 < len(opens) else len(own)
+        length = int.from_bytes(head[4:6], "big")
+        # a gap right before the next start may have taken this one's end
+        short = length and b - a != length + 6
+        if lost[after] > lost[first + 1] or short:
+            damaged.append(k)
+        if head[3] in BARE:
+            parts.append(data[a + 6 : b])
+            continue
         if head[7] & 0x80:
             p = head[9:14]
             times.append((p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1)
         parts.append(data[a + 9 + head[8] : b])
     payload = np.concatenate(parts).tobytes() if parts else b""
-    return {"payload": payload, "stream_type": kind, "n_packets": len(own), "continuity_errors": errors, "pts": times, "random_access": at[access].tolist()}
+    return {
+        "payload": payload,
+        "stream_type": kinds.get(pid),
+        "n_packets": len(sent),
+        "continuity_errors": int(gap.sum()),
+        "damaged": damaged,
+        "pts": times,
+        "random_access": at[chosen[access]].tolist(),
+    }
 
 
 def padded(text: str | None) -> bytes:
@@ -216,13 +293,14 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return map_blocks(df.select(id_col, text_col), step, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-MEDIA_FIELDS = "payload binary, stream_type int, n_packets long, continuity_errors long, pts array<long>, random_access array<long>"
+MEDIA_FIELDS = "payload binary, stream_type int, n_packets long, continuity_errors long, damaged array<long>, pts array<long>, random_access array<long>"
 
 
 def load(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """Read transport streams back; all columns of ``df`` stay, MEDIA_FIELDS are added.
 
-    A null stream gives nulls.  Damaged streams raise.  Columns that are named
+    A null stream gives nulls.  Streams without sync bytes or program tables
+    raise; lost packets are told (``demux``).  Columns that are named
     like one of MEDIA_FIELDS already are replaced.
     """
     arrow = _arrow_schema(df.sparkSession, MEDIA_FIELDS)
@@ -248,7 +326,7 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("packets="), F.col("n_packets")),
         F.concat(F.lit("units="), F.size("pts")),
         F.concat(F.lit("last_pts="), F.element_at("pts", -1)),
-        F.concat(F.lit("access="), F.concat_ws(",", F.slice("random_access", 1, 8))),
+        F.concat(F.lit("access="), F.concat_ws(",", "random_access")),
         F.concat(F.lit("errors="), F.col("continuity_errors")),
     )
     return back.select(

@@ -69,7 +69,7 @@ def test_long_words_count_as_the_library(spark):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["a" * 5000, "ab" * 70_000, "  " * 40_000 + "x", "é" * 3000 + "1" * 3000, ("word " * 14_000)[:65_537] + "s'll", "\r\n\n \n" * 9, "don't DON'T we'll'", "　 x ​"]
+    texts = ["a" * 5000, "ab" * 70_000, "  " * 40_000 + "x", "é" * 3000 + "1" * 3000, ("word " * 14_000)[:65_537] + "s'll", "-" * 20_000, "".join(random.Random(4).choices("abcdefgh", k=9000)), "\r\n\n \n" * 9, "don't DON'T we'll'", "　 x ​"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {k: len(coder.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
     assert {r["doc_id"]: r["n_tokens"] for r in tokencount.count_tokens(df).collect()} == want
@@ -102,6 +102,49 @@ def test_media_counts_lost_packets():
         media.demux(b"\0" + stream[1:])
 
 
+def _section_packets(pid: int, table_id: int, body: bytes) -> list[bytes]:
+    """A table over as many packets as it takes, behind the end of another (a pointer of 3)."""
+    section = bytes([table_id]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + b"\0\1\xc1\0\0" + body
+    section += media.crc32_mpeg(section).to_bytes(4, "big")
+    data = b"\3\xff\xff\xff" + section
+    data = data.ljust(-(-len(data) // 184) * 184, b"\xff")
+    return [bytes([0x47, (0x40 if k == 0 else 0) | pid >> 8, pid & 255, 0x10 | k // 184 & 15]) + data[k : k + 184] for k in range(0, len(data), 184)]
+
+
+def test_media_reads_streams_of_others():
+    """Several programs, tables of many packets, packets without payload, repeated ones, restarts of the counter and losses."""
+    streams = [(0x1B, 0x300, b"x" * 150), (0x03, 0x301, b"y" * 90)]
+    described = b"".join(bytes([kind]) + (0xE000 | pid).to_bytes(2, "big") + (0xF000 | len(info)).to_bytes(2, "big") + info for kind, pid, info in streams)
+    head = _section_packets(0, 0, b"\0\0\xe0\x10" + b"\0\7\xe2\0" + b"\0\x09\xe2\1")
+    head += _section_packets(0x200, 2, (0xE000 | 0x300).to_bytes(2, "big") + b"\xf0\2ab" + described)
+    head += _section_packets(0x201, 2, b"\xff\xff\xf0\0\x06\xe4\0\xf0\0")
+    units = [bytes([n]) * (184 * 3 - 14) for n in (1, 2, 3)]
+    video: list[bytes] = []
+    for n, unit in enumerate(units):
+        pes = b"\0\0\1\xe0\0\0\x80\x80\5" + bytes([0x21, 0, 1, 0, 1 | n << 1]) + unit
+        video += [bytes([0x47, (0x40 if k == 0 else 0) | 3, 0, 0x10]) + pes[k : k + 184] for k in range(0, len(pes), 184)]
+
+    def counted(start: int, packets: list[bytes]) -> list[bytes]:
+        return [p[:3] + bytes([p[3] | start + k & 15]) + p[4:] for k, p in enumerate(packets)]
+
+    video = counted(14, video)
+    idle = video[2][:3] + bytes([0x20 | video[2][3] & 15, 183, 0]) + b"\xff" * 182
+    anew = video[8][:3] + bytes([0x20 | 5, 183, 0x80]) + b"\xff" * 182
+    odd = bytes([0x47, 0x1F, 0xFF, 0x10]) + b"\xff" * 184
+    sent = [*head, odd, *video[:3], idle, video[3], video[3], *video[4:8], anew, *counted(3, [video[8][:3] + b"\x10" + video[8][4:]])]
+    got = media.demux(b"".join(sent))
+    assert media.programs(np.frombuffer(b"".join(head), np.uint8).reshape(-1, 188), np.array([(p[1] & 31) << 8 | p[2] for p in head])) == [(7, 0x300, 0x1B), (7, 0x301, 3), (9, 0x400, 6)]
+    assert got["payload"] == b"".join(units) and got["stream_type"] == 0x1B and got["pts"] == [0, 1, 2]
+    assert got["continuity_errors"] == 0 and got["damaged"] == [] and got["n_packets"] == 12
+    torn = media.demux(b"".join([*head, *video[:4], *video[5:]]))
+    assert torn["continuity_errors"] == 1 and torn["damaged"] == [1]
+    assert media.demux(b"".join(head), pid=0x301)["payload"] == b"" and media.demux(b"".join(head))["damaged"] == []
+    broken = bytearray(b"".join(head))
+    broken[20] ^= 1
+    with pytest.raises(ValueError):
+        media.demux(bytes(broken))
+
+
 def test_classifier(wide, none, spark):
     labels = spark.createDataFrame([(5, 1, "x"), (6, 0, "x"), (7, None, "x"), (None, 1, "x"), (2, 5, "x")], "doc_id long, quality int, text string")
     model = classifier.train(wide, labels)
