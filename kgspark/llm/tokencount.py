@@ -34,6 +34,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Characters of a chunk.
 CHUNK = 1 << 16
+#: Bytes of a word up to which words are read side by side; longer ones are few and read one by one.
+SIDE_BY_SIDE = 256
 #: Token before a word's first, and the rank of a pair that no merge takes.
 START, NEVER = 1 << 19, 1 << 30
 
@@ -96,6 +98,10 @@ class CountTransducer:
             self.whole[token] = self.whole[a] and self.whole[b]
         inner = self.apart(self.left[made], self.right[made], self.rank[made])
         self.whole[made] &= inner
+        # the trie and known transitions for words that are read alone
+        self.step: dict[int, int] | None = None
+        self.token_at: list[int] = []
+        self.fits: dict[int, bool] = {}
 
     def _step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = node << 8 | byte
@@ -163,6 +169,9 @@ class CountTransducer:
 
     def _read(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(count of each word, its last state; last token of each state, state before that token)."""
+        long = [k for k, w in enumerate(raw) if len(w) > SIDE_BY_SIDE]
+        whole_raw = raw
+        raw = [b"" if len(w) > SIDE_BY_SIDE else w for w in raw] if long else raw
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         out = np.zeros(len(raw), np.int64)
         final, finals = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
@@ -223,8 +232,48 @@ class CountTransducer:
             emitted[:n] += emit[of]
         out[order] = emitted
         finals[order] = final
+        for k in long:
+            out[k], last, start = self._read_one(whole_raw[k], every_last.size)
+            every_last.add(last)
+            every_start.add(start)
+            finals[k] = every_last.size - 1
         return out, finals, every_last.held, every_start.held
 
+    def _read_one(self, word: bytes, base: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """As ``_read``, of one word whose first state gets number ``base``; what a transition gives is kept for later ones."""
+        if self.step is None:
+            self.step = dict(zip(self.edge[:-1].tolist(), self.child[:-1].tolist()))
+            self.token_at = self.name.tolist()
+        step, token_at, fits = self.step, self.token_at, self.fits
+        last, total, start = [START], [0], [0]
+        under_way: list[tuple[int, int]] = []
+        for at, byte in enumerate(word):
+            under_way.append((at, 0))
+            going, chosen = [], None
+            for begun, node in under_way:
+                node = step.get(node << 8 | byte)
+                if node is None:
+                    continue
+                going.append((begun, node))
+                token = token_at[node]
+                if token < 0 or chosen is not None:
+                    continue
+                key = last[begun] << 32 | token
+                good = fits.get(key)
+                if good is None:
+                    if len(fits) > 1 << 20:
+                        fits.clear()
+                    good = bool(self.whole[token]) and (not begun or bool(self.apart(np.array([last[begun]]), np.array([token]))[0]))
+                    fits[key] = good
+                if good:
+                    chosen = begun, token
+            assert chosen is not None, "a state has no last token"
+            under_way = going
+            last.append(chosen[1])
+            total.append(total[chosen[0]] + 1)
+            start.append(base + chosen[0] - 1 if chosen[0] else 0)
+        return total[-1], np.array(last[1:]), np.array(start[1:])
+
 
 class Grown:
     """An array that grows by doubling."""
