@@ -41,8 +41,10 @@ GAP = 2 * SHINGLE_WORDS
 BLOCK = 1 << 19
 #: Shingles on a side of a minimum that a sketch covers, its parts of four bits, and how many have to agree.
 REACH, PARTS, AGREE = (LEAST_WORDS - SHINGLE_WORDS) // 2, 7, 3
-#: Windows in a block of a group, partners listed in one row, pairs made at a time; they bound memory only.
-GROUP_ROWS, LISTED, PAIRS = 128, 64, 1 << 16
+#: In the second round: places on a side of a minimum that are compared, how far off a shingle may be, how many have to be shared.
+SIDE, SHIFT, SHARED = LEAST_WORDS - SHINGLE_WORDS, 8, 3 * REACH // 2
+#: Windows in a block of a group in the first round and in the second, partners listed in one row, pairs made at a time; they bound memory only.
+GROUP_ROWS, CELL_ROWS, LISTED, PAIRS = 128, 2048, 64, 1 << 16
 _SPREAD = 0x5851F42D
 _SKETCH = np.random.default_rng(13).integers(1, 1 << 32, (2, PARTS), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _MIX = np.random.default_rng(11).integers(1, 1 << 62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -114,6 +116,14 @@ def compact_windows(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, le
     return tuple(np.concatenate(part) for part in zip(*out))
 
 
+def _hashed(hashes: np.ndarray, f: int) -> np.ndarray:
+    """Values of hash function ``f``."""
+    value = hashes * _MIX[f]
+    value ^= value >> np.uint64(32)
+    value *= np.uint64(0xFF51AFD7ED558CCD)
+    return value ^ value >> np.uint64(29)
+
+
 def _sketches(hashes: np.ndarray) -> np.ndarray:
     """For each place a sketch of the REACH shingles from it on; what there is of them at the end."""
     n = len(hashes)
@@ -162,10 +172,7 @@ def _block_windows(ids: np.ndarray, texts: list[str | None]) -> list[np.ndarray]
     sketch = np.append(_sketches(h), 0)
     parts = []
     for f in range(HASHES):
-        value = h * _MIX[f]
-        value ^= value >> np.uint64(32)
-        value *= np.uint64(0xFF51AFD7ED558CCD)
-        value ^= value >> np.uint64(29)
+        value = _hashed(h, f)
         left, center, right = compact_windows(value, starts, ends, LEAST_WORDS - SHINGLE_WORDS + 1)
         widest = np.argsort(left - right, kind="stable")
         left, center, right = left[widest], center[widest], right[widest]
@@ -286,37 +293,83 @@ def _grouped(windows: DataFrame) -> DataFrame:
     return windows.repartition("key").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def _across(grouped: DataFrame, spans: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``windows`` (key, doc, l, r, ...) with ``near``: 16 bits of each shingle up to SIDE places from the minimum, 0 beyond the window."""
+    names, extra = docs.columns, windows.columns
+    mine, listed = fresh(docs, "_a"), fresh(docs, "_asked")
+    by_doc = windows.groupBy(F.col("doc").alias(mine)).agg(F.collect_list(F.struct(*extra)).alias(listed))
+    schema = extended(windows, "near binary")
+    arrow = _arrow_schema(docs.sparkSession, schema)
+    text_at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, listed in zip(batch.column(text_at), batch.column(len(names) + 1)):
+                if not listed.is_valid or not text.is_valid:
+                    continue
+                part = listed.values
+                key, left, right = (part.field(extra.index(c)).to_numpy().astype(np.int64) for c in ("key", "l", "r"))
+                h = document_shingles(text.as_py())
+                bits = np.concatenate([np.zeros(SIDE, np.uint16), (h >> np.uint64(48)).astype(np.uint16) | np.uint16(1), np.zeros(SIDE, np.uint16)])
+                values = {f: _hashed(h, f) for f in set((key & 7).tolist())}
+                center = np.array([a + int(values[f][a : b + 1].argmin()) for f, a, b in zip((key & 7).tolist(), left.tolist(), right.tolist())], np.int64)
+                at = center[:, None] + np.arange(-SIDE, SIDE + 1)
+                near = np.where((at >= left[:, None]) & (at <= right[:, None]), bits[at + SIDE], np.uint16(0))
+                columns = [part.field(k) for k in range(len(extra))] + [pa.array([row.tobytes() for row in near], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return docs.join(by_doc, docs[id_col] == by_doc[mine], "left").mapInArrow(run, schema)
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles of rows ``y`` around their minimum stand in those of ``x``, up to SHIFT places off."""
+    padded = np.pad(x, ((0, 0), (SHIFT, SHIFT)))
+    hit = np.zeros(y.shape, bool)
+    for k in range(2 * SHIFT + 1):
+        hit |= padded[:, k : k + y.shape[1]] == y
+    return (hit & (y > 0)).sum(axis=1)
+
+
+def _across(docs: DataFrame, grouped: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Meetings (key, a, b, al, ar) of the windows of kind 2 that ``spans`` (doc, start, end) don't settle with the others of their key.
 
-    A window is settled if a span leaves less than a passage of it on either side.
+    A window is settled if a span leaves less than a passage of it on either
+    side.  Two windows meet if they agree, and share enough shingles around
+    their minimum to hold a passage.  A key's windows meet in cells of two
+    blocks each.
     """
     rows = grouped.where("kind = 2").select("key", F.col("a").alias("doc"), "l", "r", "before", "behind")
     known = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     slack = LEAST_WORDS - SHINGLE_WORDS
     settled = F.exists("spans", lambda s: (s["start"] <= F.col("l") + slack) & (s["end"] >= F.col("r") - slack + SHINGLE_WORDS))
     flagged = rows.join(known, "doc", "left").withColumn("open", ~F.coalesce(settled, F.lit(False))).drop("spans").repartition("key")
-    size = flagged.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).cast("int").alias("blocks"), F.max("open").alias("any")).where("any")
-    sized = flagged.join(size.drop("any"), "key")
-    own = sized.withColumn("block", F.pmod(F.xxhash64("doc", "l"), "blocks").cast("int")).withColumn("visits", F.lit(False))
-    visitors = sized.where("open").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("visits", F.lit(True))
+    size = flagged.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("blocks"), F.max("open").alias("any")).where("any")
+    signed = _signed(docs, flagged.join(size.drop("any"), "key"), id_col, text_col)
+    block, every = F.pmod(F.xxhash64("doc", "l"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = signed.withColumns({"i": block, "visits": F.lit(False)}).withColumn("j", every)
+    visitors = signed.where("open").withColumns({"j": block, "visits": F.lit(True)}).withColumn("i", every)
     schema = "key long, a long, b long, al int, ar int"
     arrow = _arrow_schema(grouped.sparkSession, schema)
 
     def pair(part: pa.Table) -> pa.Table:
         rows = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "l", "r", "l", "before", "behind")], axis=1)
+        near = np.frombuffer(b"".join(part.column("near").to_pylist()), np.uint16).reshape(len(rows), -1)
         visits = part.column("visits").to_numpy(zero_copy_only=False)
-        x, y, out = rows[~visits], rows[visits], []
-        step = max(1, PAIRS // max(1, len(x)))
-        for k in range(0, len(y), step):
-            some = y[k : k + step]
-            a, b = np.tile(x, (len(some), 1)), np.repeat(some, len(x), axis=0)
-            good = np.flatnonzero((a[:, 1] < b[:, 1]) & _agree(a, b))
-            out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((a[good, 0], a[good, 1], b[good, 1], a[good, 2], a[good, 3]), arrow)], schema=arrow))
+        base, guests, out = np.flatnonzero(~visits), np.flatnonzero(visits), []
+        step = max(1, PAIRS // max(1, len(base)))
+        for k in range(0, len(guests), step):
+            some = guests[k : k + step]
+            x, y = np.tile(base, len(some)), np.repeat(some, len(base))
+            good = np.flatnonzero((rows[x, 1] < rows[y, 1]) & _agree(rows[x], rows[y]))
+            for c in range(0, len(good), 1 << 12):
+                g = good[c : c + (1 << 12)]
+                g = g[_shared(near[x[g]], near[y[g]]) >= SHARED]
+                a, b = rows[x[g]], rows[y[g]]
+                out.append(pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((a[:, 0], a[:, 1], b[:, 1], a[:, 2], a[:, 3]), arrow)], schema=arrow))
         return pa.Table.from_batches(out, schema=arrow)
 
-    columns = ("key", "block", "doc", "l", "r", "before", "behind", "visits")
-    return own.select(*columns).union(visitors.select(*columns)).groupBy("key", "block").applyInArrow(pair, schema)
+    columns = ("key", "i", "j", "doc", "l", "r", "before", "behind", "near", "visits")
+    return own.select(*columns).union(visitors.select(*columns)).groupBy("key", "i", "j").applyInArrow(pair, schema)
 
 
 def _places(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -467,7 +520,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal = grouped.where("kind = 1").select(F.col("b").alias("doc"), F.col("l").alias("start"), (F.col("r") + SHINGLE_WORDS).alias("end"))
     near = grouped.where("kind = 0").select("key", "a", "b", F.col("l").alias("al"), F.col("r").alias("ar"), F.lit(False).alias("late"))
     early = _verified(docs, _enough(near).drop("late"), id_col, text_col).union(equal).distinct().repartition("doc")
-    late = _across(grouped, early).withColumn("late", F.lit(True))
+    late = _across(docs, grouped, early, id_col, text_col).withColumn("late", F.lit(True))
     both = early.union(_verified(docs, _enough(near.union(late)).where("late").drop("late"), id_col, text_col)).repartition("doc")
     names = docs.columns
     text_at, theirs = names.index(text_col), fresh(docs, "_b")
