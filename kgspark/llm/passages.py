@@ -43,6 +43,10 @@ BLOCK = 1 << 19
 REACH, PARTS, AGREE = (LEAST_WORDS - SHINGLE_WORDS) // 2, 7, 3
 #: In the second round: places on a side of a minimum that are compared, how far off a shingle may be, how many have to be shared.
 SIDE, SHIFT, SHARED = LEAST_WORDS - SHINGLE_WORDS, 8, 3 * REACH // 2
+#: The bit of a shingle's sixteen that tells that it isn't settled.
+NEW = 2
+#: Part of a window's shingles around its minimum that settles it, and how many others it meets before that is asked.
+NEARLY, FIRST = 0.9, 64
 #: Windows in a block of a group in the first round and in the second, partners listed in one row, pairs made at a time; they bound memory only.
 GROUP_ROWS, CELL_ROWS, LISTED, PAIRS = 128, 2048, 64, 1 << 16
 _SPREAD = 0x5851F42D
@@ -293,24 +297,32 @@ def _grouped(windows: DataFrame) -> DataFrame:
     return windows.repartition("key").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def _signed(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``windows`` (key, doc, l, r, ...) with ``near``: 16 bits of each shingle up to SIDE places from the minimum, 0 beyond the window."""
+def _signed(docs: DataFrame, windows: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``windows`` (key, doc, l, r, ...) with ``near``: 16 bits for each shingle up to SIDE places from the minimum, 0 beyond the window.
+
+    One bit of them tells that the shingle lies in none of the ``known``
+    (doc, spans) repeats.
+    """
     names, extra = docs.columns, windows.columns
     mine, listed = fresh(docs, "_a"), fresh(docs, "_asked")
-    by_doc = windows.groupBy(F.col("doc").alias(mine)).agg(F.collect_list(F.struct(*extra)).alias(listed))
+    by_doc = windows.groupBy("doc").agg(F.collect_list(F.struct(*extra)).alias(listed)).join(known, "doc", "left")
+    by_doc = by_doc.select(F.col("doc").alias(mine), listed, F.col("spans").alias(fresh(docs, "_heard")))
     schema = extended(windows, "near binary")
     arrow = _arrow_schema(docs.sparkSession, schema)
     text_at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, listed in zip(batch.column(text_at), batch.column(len(names) + 1)):
+            for text, listed, spans in zip(batch.column(text_at), batch.column(len(names) + 1), batch.column(len(names) + 2)):
                 if not listed.is_valid or not text.is_valid:
                     continue
                 part = listed.values
                 key, left, right = (part.field(extra.index(c)).to_numpy().astype(np.int64) for c in ("key", "l", "r"))
                 h = document_shingles(text.as_py())
-                bits = np.concatenate([np.zeros(SIDE, np.uint16), (h >> np.uint64(48)).astype(np.uint16) | np.uint16(1), np.zeros(SIDE, np.uint16)])
+                bits = (h >> np.uint64(48)).astype(np.uint16) | np.uint16(NEW | 1)
+                for span in spans.as_py() or []:
+                    bits[span["start"] : max(span["start"], span["end"] - SHINGLE_WORDS + 1)] &= np.uint16(0xFFFF ^ NEW)
+                bits = np.pad(bits, SIDE)
                 values = {f: _hashed(h, f) for f in set((key & 7).tolist())}
                 center = np.array([a + int(values[f][a : b + 1].argmin()) for f, a, b in zip((key & 7).tolist(), left.tolist(), right.tolist())], np.int64)
                 at = center[:, None] + np.arange(-SIDE, SIDE + 1)
@@ -322,12 +334,13 @@ def _signed(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) ->
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many shingles of rows ``y`` around their minimum stand in those of ``x``, up to SHIFT places off."""
-    padded = np.pad(x, ((0, 0), (SHIFT, SHIFT)))
+    """How many shingles of rows ``y`` around their minimum stand in those of ``x``, up to SHIFT places off; 0 if too few of them are new."""
+    padded, asked = np.pad(x | np.uint16(NEW), ((0, 0), (SHIFT, SHIFT))), y | np.uint16(NEW)
     hit = np.zeros(y.shape, bool)
     for k in range(2 * SHIFT + 1):
-        hit |= padded[:, k : k + y.shape[1]] == y
-    return (hit & (y > 0)).sum(axis=1)
+        hit |= padded[:, k : k + y.shape[1]] == asked
+    hit &= y > 0
+    return np.where((hit & (y & np.uint16(NEW) > 0)).sum(axis=1) > GAP, hit.sum(axis=1), 0)
 
 
 def _across(docs: DataFrame, grouped: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -335,8 +348,9 @@ def _across(docs: DataFrame, grouped: DataFrame, spans: DataFrame, id_col: str,
 
     A window is settled if a span leaves less than a passage of it on either
     side.  Two windows meet if they agree, and share enough shingles around
-    their minimum to hold a passage.  A key's windows meet in cells of two
-    blocks each.
+    their minimum to hold a passage, some of them outside of ``spans``.  An earlier window that shares nearly all
+    of them settles a window, too: of its meetings in a cell only that one is
+    told.  A key's windows meet in cells of two blocks each.
     """
     rows = grouped.where("kind = 2").select("key", F.col("a").alias("doc"), "l", "r", "before", "behind")
     known = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -344,7 +358,7 @@ def _across(docs: DataFrame, grouped: DataFrame, spans: DataFrame, id_col: str,
     settled = F.exists("spans", lambda s: (s["start"] <= F.col("l") + slack) & (s["end"] >= F.col("r") - slack + SHINGLE_WORDS))
     flagged = rows.join(known, "doc", "left").withColumn("open", ~F.coalesce(settled, F.lit(False))).drop("spans").repartition("key")
     size = flagged.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("blocks"), F.max("open").alias("any")).where("any")
-    signed = _signed(docs, flagged.join(size.drop("any"), "key"), id_col, text_col)
+    signed = _signed(docs, flagged.join(size.drop("any"), "key"), known, id_col, text_col)
     block, every = F.pmod(F.xxhash64("doc", "l"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     own = signed.withColumns({"i": block, "visits": F.lit(False)}).withColumn("j", every)
     visitors = signed.where("open").withColumns({"j": block, "visits": F.lit(True)}).withColumn("i", every)
@@ -355,18 +369,35 @@ def _across(docs: DataFrame, grouped: DataFrame, spans: DataFrame, id_col: str,
         rows = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "l", "r", "l", "before", "behind")], axis=1)
         near = np.frombuffer(b"".join(part.column("near").to_pylist()), np.uint16).reshape(len(rows), -1)
         visits = part.column("visits").to_numpy(zero_copy_only=False)
-        base, guests, out = np.flatnonzero(~visits), np.flatnonzero(visits), []
-        step = max(1, PAIRS // max(1, len(base)))
-        for k in range(0, len(guests), step):
-            some = guests[k : k + step]
-            x, y = np.tile(base, len(some)), np.repeat(some, len(base))
-            good = np.flatnonzero((rows[x, 1] < rows[y, 1]) & _agree(rows[x], rows[y]))
-            for c in range(0, len(good), 1 << 12):
-                g = good[c : c + (1 << 12)]
-                g = g[_shared(near[x[g]], near[y[g]]) >= SHARED]
-                a, b = rows[x[g]], rows[y[g]]
-                out.append(pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((a[:, 0], a[:, 1], b[:, 1], a[:, 2], a[:, 3]), arrow)], schema=arrow))
-        return pa.Table.from_batches(out, schema=arrow)
+        order = np.argsort(rows[:, 1], kind="stable")
+        base, guests = order[~visits[order]], order[visits[order]]
+        whole = (near > 0).sum(axis=1)
+        met: list[np.ndarray] = []  # columns base, guest
+        done: list[np.ndarray] = []
+        for k in range(0, len(base), FIRST):
+            some = base[k : k + FIRST]
+            settled = []
+            for g in range(0, len(guests), PAIRS // FIRST):
+                y = guests[g : g + PAIRS // FIRST]
+                x, y = np.tile(some, len(y)), np.repeat(y, len(some))
+                good = np.flatnonzero((rows[x, 1] < rows[y, 1]) & _agree(rows[x], rows[y]))
+                for c in range(0, len(good), 1 << 12):
+                    x2, y2 = x[good[c : c + (1 << 12)]], y[good[c : c + (1 << 12)]]
+                    shared = _shared(near[x2], near[y2])
+                    enough = shared >= SHARED
+                    met.append(np.stack([x2[enough], y2[enough]], axis=1))
+                    settled.append(np.stack([x2, y2], axis=1)[enough & (shared >= NEARLY * whole[y2]) & (whole[y2] > SIDE)])
+            if settled:
+                # one that shares nearly all stands for the rest
+                pairs = np.concatenate(settled)
+                _, first = np.unique(pairs[:, 1], return_index=True)
+                done.append(pairs[first])
+                guests = guests[~np.isin(guests, pairs[:, 1])]
+                left = np.concatenate(met)
+                met = [left[~np.isin(left[:, 1], pairs[:, 1])]]
+        pairs = np.concatenate([np.zeros((0, 2), np.int64), *met, *done])
+        a, b = rows[pairs[:, 0]], rows[pairs[:, 1]]
+        return pa.table([pa.array(v, f.type) for v, f in zip((a[:, 0], a[:, 1], b[:, 1], a[:, 2], a[:, 3]), arrow)], schema=arrow)
 
     columns = ("key", "i", "j", "doc", "l", "r", "before", "behind", "near", "visits")
     return own.select(*columns).union(visitors.select(*columns)).groupBy("key", "i", "j").applyInArrow(pair, schema)

@@ -421,6 +421,11 @@ def test_every_pair_of_agreeing_windows_meets(spark, monkeypatch):
     late = {(r["a"], r["b"], r["key"]) for r in passages._across(frame, grouped, none, "doc_id", "text").collect()}
     assert all(a % 6 == b % 6 for a, b, _ in late)
     met = {(a, b) for a, b, _ in early | late}
+    # each has met one of its family, and all of them where none shares nearly all of its shingles
+    assert {b for _, b in met} >= set(range(6, 40))
+    monkeypatch.setattr(passages, "NEARLY", 1.1)
+    late = {(r["a"], r["b"], r["key"]) for r in passages._across(frame, grouped, none, "doc_id", "text").collect()}
+    met = {(a, b) for a, b, _ in early | late}
     assert {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 6 == b % 6} <= met
     # what the first round settled doesn't come up again, but others still meet it
     settled = spark.createDataFrame([(d, 0, 120) for d in range(40) if d != 20], "doc long, start int, end int")
