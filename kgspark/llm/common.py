@@ -148,7 +148,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
     that has an edge to another.  Edges with a null end and loops are ignored.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null and u <> v")
-    left = checkpointed(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    # equal edges do no harm to the first round, and are few: a shuffle would not pay
+    left = checkpointed(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     kind = left.schema["u"].dataType.simpleString()
     pointers: list[DataFrame] = []
     for turn in range(max_rounds):
