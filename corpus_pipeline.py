@@ -59,12 +59,26 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again.
+
+    A stage's table goes when the next one is written; the last one stays,
+    since the rows that are returned are read from it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if before is not None:
+                _remove(spark, before)
+            before = f"{folder}/{k}-{name}"
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
