@@ -161,13 +161,15 @@ def pair_ranking(reports: DataFrame) -> DataFrame:
 
 def experiment_statistics(rows: DataFrame, by: str, value: str) -> DataFrame:
     """min, median, max and the entries at 75 and 90 percent of the sorted values (null for one value)."""
-    g = rows.groupBy(by).agg(F.median(value).alias("median"), F.sort_array(F.collect_list(value)).alias("v"))
-    n = F.size("v")
+    whole = W.partitionBy(by)
+    placed = rows.select(by, value).withColumns({"_k": F.row_number().over(whole.orderBy(F.asc_nulls_last(value))), "_n": F.count(value).over(whole)})
 
     def at(share: float) -> Column:
-        return F.when(n > 1, F.element_at("v", F.floor(n * share).cast("int") + 1))
+        return F.max(F.when((F.col("_n") > 1) & (F.col("_k") == F.floor(F.col("_n") * share) + 1), F.col(value)))
 
-    return g.select(by, n.cast("long").alias("n"), F.element_at("v", 1).alias("low"), F.round("median", 6).alias("median"), F.element_at("v", -1).alias("high"), at(0.75).alias("p75"), at(0.9).alias("p90"))
+    return placed.groupBy(by).agg(
+        F.count(value).alias("n"), F.min(value).alias("low"), F.round(F.median(value), 6).alias("median"), F.max(value).alias("high"), at(0.75).alias("p75"), at(0.9).alias("p90")
+    )
 
 
 def sigma_classes(rows: DataFrame, value: str) -> DataFrame:

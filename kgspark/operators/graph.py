@@ -12,10 +12,13 @@ from ..functions.columns import jaccard, least_rotation
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that ``spark.checkpoint.dir`` names; a temporary one only where none is set."""
+    """Cuts lineage in the folder that ``spark.checkpoint.dir`` names; only one local process may do without it."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -122,8 +125,13 @@ def reciprocal_chains(edges: DataFrame) -> DataFrame:
 
 
 def pairs_at_hub(edges: DataFrame, hub: str, end: str, most: int = 20) -> DataFrame:
-    """Pairs of ends that share a hub (convergent: hub is dst), the first ``most`` of each hub."""
+    """Pairs of ends that share a hub (convergent: hub is dst), the first ``most`` of each hub.
+
+    These lie among the first ``most`` + 1 ends, so a hub makes no more pairs
+    than those of a bounded number of ends.
+    """
     e = edges.where("src <> dst").select(hub, end).distinct()
+    e = e.withColumn("_k", F.row_number().over(W.partitionBy(hub).orderBy(end))).where(F.col("_k") <= most + 1).drop("_k")
     pairs = e.toDF("hub", "a").join(e.toDF("hub", "b"), "hub").where("a < b")
     rank = F.row_number().over(W.partitionBy("hub").orderBy("a", "b"))
     return pairs.withColumn("k", rank).where(F.col("k") <= most).drop("k")
