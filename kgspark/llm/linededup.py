@@ -314,14 +314,21 @@ def line_classes(parts: DataFrame) -> DataFrame:
     if large.isEmpty():
         return first
 
-    inside = placed.join(large, "band").join(first.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    # which buckets hold several components is told without their lines; those are fetched for such buckets alone
+    labelled = known.select("key", "bands", F.length("line").alias("chars")).join(first.withColumnRenamed("node", "key"), "key", "left")
+    labelled = labelled.select(F.explode("bands").alias("band"), "key", "chars", F.coalesce("component", "key").alias("component"))
+    inside = labelled.join(large, "band")
     size = inside.groupBy("band").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.length("line")).alias("chars")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")
     )
     chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("chars") / CHUNK_BYTES)).cast("int")
     mixed = size.where("low < high").select("band", chunks.alias("chunks"))
+    spread = checkpointed(inside.select("band", "key", "component").join(mixed, "band"))
+    if spread.isEmpty():
+        return first
     own = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
-    open_ = inside.join(mixed, "band").select("band", "key", "line", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    lined = spread.join(known.select("key", "line"), "key")
+    open_ = lined.select("band", "key", "line", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     open_ = open_.select("band", "key", "line", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     second = open_.groupBy("band", "i", "j").applyInPandas(_across, "a long, b long")
     # a line without links of the first kind is its own component
