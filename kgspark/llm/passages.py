@@ -41,11 +41,11 @@ GAP = 2 * SHINGLE_WORDS
 BLOCK = 1 << 19
 #: Shingles on a side of a minimum that a sketch covers, its parts of four bits, and how many have to agree.
 REACH, PARTS, AGREE = (LEAST_WORDS - SHINGLE_WORDS) // 2, 7, 3
-#: In the second round: places on a side of a minimum that are compared, how far off a shingle may be, how many have to be shared.
-SIDE, SHIFT, SHARED = LEAST_WORDS - SHINGLE_WORDS, 8, 3 * REACH // 2
+#: In the second round: places on a side of a minimum that are compared, and how far off a shingle may be.
+SIDE, SHIFT = LEAST_WORDS - SHINGLE_WORDS, 8
 #: The bit of a shingle's sixteen that tells that it isn't settled.
 NEW = 2
-#: Part of a window's shingles around its minimum that settles it, and how many others it meets before that is asked.
+#: Part of a window's shingles around its minimum that settles it, and how many others it meets at a time.
 NEARLY, FIRST = 0.9, 64
 #: Windows in a block of a group in the first round and in the second, partners listed in one row, pairs made at a time; they bound memory only.
 GROUP_ROWS, CELL_ROWS, LISTED, PAIRS = 128, 2048, 64, 1 << 16
@@ -333,14 +333,40 @@ def _signed(docs: DataFrame, windows: DataFrame, known: DataFrame, id_col: str,
     return docs.join(by_doc, docs[id_col] == by_doc[mine], "left").mapInArrow(run, schema)
 
 
-def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many shingles of rows ``y`` around their minimum stand in those of ``x``, up to SHIFT places off; 0 if too few of them are new."""
+def _stretches(found: np.ndarray, least: float) -> np.ndarray:
+    """Which places lie in a stretch as long as the least passage of which ``least`` places are ``found``."""
+    width = LEAST_WORDS - SHINGLE_WORDS + 1
+    total = np.pad(np.cumsum(found, axis=1, dtype=np.int16), ((0, 0), (1, 0)))
+    good = total[:, width:] - total[:, :-width] >= least
+    begun = np.pad(np.cumsum(np.pad(good, ((0, 0), (0, width - 1))), axis=1, dtype=np.int16), ((0, 0), (width, 0)))
+    return begun[:, width:] > begun[:, :-width]
+
+
+def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which shingles of rows ``y`` around their minimum lie in a passage that ``x`` surely holds.
+
+    So many of a stretch of the least length stand in ``x`` in line with the
+    minimum that the two stretches, which are equally long, are alike.
+    """
+    in_line = ((x | np.uint16(NEW)) == (y | np.uint16(NEW))) & (y > 0)
+    return _stretches(in_line, 2 * SIMILARITY / (1 + SIMILARITY) * (LEAST_WORDS - SHINGLE_WORDS + 1)) & (y > 0)
+
+
+def _possible(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles of rows ``y`` around their minimum stand in those of ``x``, up to SHIFT places off, where that may make a passage; and whether nearly all stand there.
+
+    A long passage has a part as long as the least one in SIMILARITY of whose
+    shingles stand in ``x``, and one of up to 86 words has them in all such
+    parts; so what lies in none can't count.
+    """
     padded, asked = np.pad(x | np.uint16(NEW), ((0, 0), (SHIFT, SHIFT))), y | np.uint16(NEW)
     hit = np.zeros(y.shape, bool)
     for k in range(2 * SHIFT + 1):
         hit |= padded[:, k : k + y.shape[1]] == asked
     hit &= y > 0
-    return np.where((hit & (y & np.uint16(NEW) > 0)).sum(axis=1) > GAP, hit.sum(axis=1), 0)
+    whole = np.count_nonzero(y, axis=1)
+    nearly = (np.count_nonzero(hit, axis=1) >= NEARLY * whole) & (whole > SIDE)
+    return hit & _stretches(hit, SIMILARITY * (LEAST_WORDS - SHINGLE_WORDS + 1)), nearly
 
 
 def _across(docs: DataFrame, grouped: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -348,9 +374,11 @@ def _across(docs: DataFrame, grouped: DataFrame, spans: DataFrame, id_col: str,
 
     A window is settled if a span leaves less than a passage of it on either
     side.  Two windows meet if they agree, and share enough shingles around
-    their minimum to hold a passage, some of them outside of ``spans``.  An earlier window that shares nearly all
-    of them settles a window, too: of its meetings in a cell only that one is
-    told.  A key's windows meet in cells of two blocks each.
+    their minimum to hold a passage, some of them outside of ``spans``.  What an
+    earlier window surely holds of one counts as known from then on, and such a
+    meeting (``sure``) is enough for verification without a second hash
+    function; of a cell's meetings those that add most come first, then, for
+    what is left, all others.  A key's windows meet in cells of two blocks each.
     """
     rows = grouped.where("kind = 2").select("key", F.col("a").alias("doc"), "l", "r", "before", "behind")
     known = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -362,42 +390,57 @@ def _across(docs: DataFrame, grouped: DataFrame, spans: DataFrame, id_col: str,
     block, every = F.pmod(F.xxhash64("doc", "l"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     own = signed.withColumns({"i": block, "visits": F.lit(False)}).withColumn("j", every)
     visitors = signed.where("open").withColumns({"j": block, "visits": F.lit(True)}).withColumn("i", every)
-    schema = "key long, a long, b long, al int, ar int"
+    schema = "key long, a long, b long, al int, ar int, sure boolean"
     arrow = _arrow_schema(grouped.sparkSession, schema)
 
     def pair(part: pa.Table) -> pa.Table:
         rows = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "l", "r", "l", "before", "behind")], axis=1)
-        near = np.frombuffer(b"".join(part.column("near").to_pylist()), np.uint16).reshape(len(rows), -1)
+        near = np.frombuffer(b"".join(part.column("near").to_pylist()), np.uint16).reshape(len(rows), -1).copy()
         visits = part.column("visits").to_numpy(zero_copy_only=False)
         order = np.argsort(rows[:, 1], kind="stable")
         base, guests = order[~visits[order]], order[visits[order]]
-        whole = (near > 0).sum(axis=1)
-        met: list[np.ndarray] = []  # columns base, guest
-        done: list[np.ndarray] = []
-        for k in range(0, len(base), FIRST):
-            some = base[k : k + FIRST]
-            settled = []
-            for g in range(0, len(guests), PAIRS // FIRST):
-                y = guests[g : g + PAIRS // FIRST]
-                x, y = np.tile(some, len(y)), np.repeat(y, len(some))
-                good = np.flatnonzero((rows[x, 1] < rows[y, 1]) & _agree(rows[x], rows[y]))
-                for c in range(0, len(good), 1 << 12):
-                    x2, y2 = x[good[c : c + (1 << 12)]], y[good[c : c + (1 << 12)]]
-                    shared = _shared(near[x2], near[y2])
-                    enough = shared >= SHARED
-                    met.append(np.stack([x2[enough], y2[enough]], axis=1))
-                    settled.append(np.stack([x2, y2], axis=1)[enough & (shared >= NEARLY * whole[y2]) & (whole[y2] > SIDE)])
-            if settled:
-                # one that shares nearly all stands for the rest
-                pairs = np.concatenate(settled)
-                _, first = np.unique(pairs[:, 1], return_index=True)
-                done.append(pairs[first])
-                guests = guests[~np.isin(guests, pairs[:, 1])]
-                left = np.concatenate(met)
-                met = [left[~np.isin(left[:, 1], pairs[:, 1])]]
-        pairs = np.concatenate([np.zeros((0, 2), np.int64), *met, *done])
+        met = [np.zeros((0, 3), np.int64)]  # columns base, guest, sure
+
+        def candidates() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for k in range(0, len(base), FIRST):
+                some = base[k : k + FIRST]
+                open_ = guests[np.count_nonzero(near[guests] & np.uint16(NEW), axis=1) > GAP]
+                for g in range(0, len(open_), PAIRS // FIRST):
+                    y = open_[g : g + PAIRS // FIRST]
+                    x, y = np.tile(some, len(y)), np.repeat(y, len(some))
+                    good = np.flatnonzero((rows[x, 1] < rows[y, 1]) & _agree(rows[x], rows[y]))
+                    for c in range(0, len(good), 1 << 12):
+                        yield x[good[c : c + (1 << 12)]], y[good[c : c + (1 << 12)]]
+
+        def added(y: np.ndarray, places: np.ndarray) -> np.ndarray:
+            return np.count_nonzero(places & (near[y] & np.uint16(NEW) > 0), axis=1)
+
+        def tell(x: np.ndarray, y: np.ndarray, sure: bool) -> None:
+            met.append(np.stack([x, y, np.full(len(x), sure, np.int64)], axis=1))
+
+        for x, y in candidates():
+            held = _held(near[x], near[y])
+            while len(y):
+                adds = added(y, held)
+                some = np.flatnonzero(adds > GAP)
+                x, y, held, adds = x[some], y[some], held[some], adds[some]
+                # for each guest the one that adds most, the earliest of equals
+                by_guest = np.lexsort((rows[x, 1], -adds, y))
+                best = by_guest[np.append(True, y[by_guest[1:]] != y[by_guest[:-1]])[: len(y)]]
+                tell(x[best], y[best], True)
+                near[y[best]] &= np.where(held[best], np.uint16(0xFFFF ^ NEW), np.uint16(0xFFFF))
+        for x, y in candidates():
+            hit, nearly = _possible(near[x], near[y])
+            rest = added(y, hit) > GAP
+            settled = np.flatnonzero(nearly & rest)
+            y2, first = np.unique(y[settled], return_index=True)
+            tell(x[settled[first]], y2, True)
+            near[y2] &= np.uint16(0xFFFF ^ NEW)
+            rest &= ~np.isin(y, y2)
+            tell(x[rest], y[rest], False)
+        pairs = np.concatenate(met)
         a, b = rows[pairs[:, 0]], rows[pairs[:, 1]]
-        return pa.table([pa.array(v, f.type) for v, f in zip((a[:, 0], a[:, 1], b[:, 1], a[:, 2], a[:, 3]), arrow)], schema=arrow)
+        return pa.table([pa.array(v, f.type) for v, f in zip((a[:, 0], a[:, 1], b[:, 1], a[:, 2], a[:, 3], pairs[:, 2].astype(bool)), arrow)], schema=arrow)
 
     columns = ("key", "i", "j", "doc", "l", "r", "before", "behind", "near", "visits")
     return own.select(*columns).union(visitors.select(*columns)).groupBy("key", "i", "j").applyInArrow(pair, schema)
@@ -495,9 +538,9 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _enough(met: DataFrame) -> DataFrame:
-    """(a, b, late, al, ar) of pairs of documents that meet under ENOUGH hash functions."""
+    """(a, b, late, al, ar) of pairs of documents that meet under ENOUGH hash functions, or surely."""
     functions = F.bit_count(F.bit_or(F.expr("shiftleft(1, cast(key & 7 as int))")))
-    return met.groupBy("a", "b").agg(functions.alias("n"), F.max("late").alias("late"), F.min("al").alias("al"), F.max("ar").alias("ar")).where(F.col("n") >= ENOUGH).drop("n")
+    return met.groupBy("a", "b").agg(functions.alias("n"), F.max("sure").alias("sure"), F.max("late").alias("late"), F.min("al").alias("al"), F.max("ar").alias("ar")).where((F.col("n") >= ENOUGH) | F.col("sure")).drop("n", "sure")
 
 
 def _verified(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -549,7 +592,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.drop(out)
     grouped = checkpointed(_grouped(_windows(docs, id_col, text_col)))
     equal = grouped.where("kind = 1").select(F.col("b").alias("doc"), F.col("l").alias("start"), (F.col("r") + SHINGLE_WORDS).alias("end"))
-    near = grouped.where("kind = 0").select("key", "a", "b", F.col("l").alias("al"), F.col("r").alias("ar"), F.lit(False).alias("late"))
+    near = grouped.where("kind = 0").select("key", "a", "b", F.col("l").alias("al"), F.col("r").alias("ar"), F.lit(False).alias("sure"), F.lit(False).alias("late"))
     early = _verified(docs, _enough(near).drop("late"), id_col, text_col).union(equal).distinct().repartition("doc")
     late = _across(docs, grouped, early, id_col, text_col).withColumn("late", F.lit(True))
     both = early.union(_verified(docs, _enough(near.union(late)).where("late").drop("late"), id_col, text_col)).repartition("doc")

@@ -423,7 +423,13 @@ def test_every_pair_of_agreeing_windows_meets(spark, monkeypatch):
     met = {(a, b) for a, b, _ in early | late}
     # each has met one of its family, and all of them where none shares nearly all of its shingles
     assert {b for _, b in met} >= set(range(6, 40))
+    told = {r["doc_id"]: sum(s["end"] - s["start"] for s in r["repeats"]) for r in passages.mark_repeats(frame).collect()}
+    # with nothing settled by what an earlier window holds
     monkeypatch.setattr(passages, "NEARLY", 1.1)
+    held = passages._held
+    monkeypatch.setattr(passages, "_held", lambda x, y: held(x, y) & False)
+    every = {r["doc_id"]: sum(s["end"] - s["start"] for s in r["repeats"]) for r in passages.mark_repeats(frame).collect()}
+    assert all(told[k] >= every[k] - passages.GAP for k in every) and sum(every.values()) > 0
     late = {(r["a"], r["b"], r["key"]) for r in passages._across(frame, grouped, none, "doc_id", "text").collect()}
     met = {(a, b) for a, b, _ in early | late}
     assert {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 6 == b % 6} <= met
