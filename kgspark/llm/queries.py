@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, licences, linededup, media, merkle, neighbours, packing, passages, simhash, suffix, tokencount
+from . import bpe, classifier, licences, linededup, media, merkle, neighbours, packing, passages, repair, simhash, suffix, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": classifier.op1_quality_gam,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_transport_stream": media.op9_transport_stream,
     "op10_metric_range_join": neighbours.op10_metric_range_join,
+    "op11_conversation_repair": repair.op11_conversation_repair,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_license_scan": licences.op13_license_scan,
 }
