@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import reduce
+from heapq import merge
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,17 +15,35 @@ from pyspark.sql import functions as F
 from ..functions.columns import jaccard, least_rotation
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that ``spark.checkpoint.dir`` names; only one local process may do without it."""
+def _shared(df: DataFrame) -> str:
+    """The checkpoint folder, that of ``spark.checkpoint.dir``; only one local process may do without that setting."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the checkpoint folder."""
+    _shared(df)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table in the checkpoint folder.
+
+    A checkpoint keeps Catalyst's estimate of its size, and what is joined with
+    itself round after round squares it each time, to numbers of millions of
+    digits; a table has the size of its files.
+    """
+    path = f"{_shared(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unordered(edges: DataFrame) -> DataFrame:
     """Edges with their ends in order as (lo, hi), without loops."""
     return edges.where("src <> dst").withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
@@ -170,17 +192,18 @@ def reachable(edges: DataFrame, max_depth: int = 32) -> DataFrame:
     """(src, dst, depth): all that can be reached, with the least number of steps.
 
     Step by step from the frontier, without what has been seen, so cycles end;
-    deeper chains than ``max_depth`` raise.
+    what has been seen is the union of the frontiers, each written once.
+    Deeper chains than ``max_depth`` raise.
     """
-    e = edges.select("src", "dst").distinct()
-    seen = checkpointed(e.withColumn("depth", F.lit(1)))
-    frontier = seen
+    e = checkpointed(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    frontier = e.withColumn("depth", F.lit(1))
+    seen = [frontier]
     for depth in range(2, max_depth + 2):
         step = frontier.select("src", F.col("dst").alias("via")).join(e.toDF("via", "dst"), "via").select("src", "dst").distinct()
-        frontier = checkpointed(step.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = checkpointed(step.join(reduce(DataFrame.union, seen), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.union(frontier))
+            return reduce(DataFrame.union, seen)
+        seen.append(frontier)
     raise RuntimeError("the hierarchy is deeper than max_depth")
 
 
@@ -206,13 +229,147 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component): strongly connected components named by their smallest node."""
-    r = reachable(edges).select("src", "dst")
-    both = r.join(r.toDF("dst", "src"), ["src", "dst"])
-    least = both.groupBy("src").agg(F.min("dst").alias("m"))
-    nodes = edges.select("src").union(edges.select("dst")).distinct().toDF("node")
-    return nodes.join(least.withColumnRenamed("src", "node"), "node", "left").select("node", F.least(F.coalesce("m", "node"), F.col("node")).alias("component"))
+def strong_components(edges: DataFrame, max_rounds: int = 256) -> DataFrame:
+    """(node, component): strongly connected components named by their smallest node.
+
+    Each node learns the smallest node that reaches it and the smallest that it
+    reaches, by its edges and by asking those two themselves, so ways of any
+    length take few steps.  Where both are the same node, that is the component.
+    Edges between nodes that differ in either can't lie in a component and go;
+    the rest is told apart in another round.  All tables have at most as many
+    rows as there are edges and nodes, whatever can be reached from where.
+    Rows with a null end are ignored; a node with loops only is its own component.
+    """
+    ends = edges.select("src", "dst").where("src is not null and dst is not null")
+    nodes = ends.select("src").union(ends.select("dst")).distinct().toDF("node")
+    left = written(ends.where("src <> dst").distinct())
+    settled: list[DataFrame] = []
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            break
+        label = _extremes(left, max_rounds)
+        settled.append(label.where("low = high").select("node", F.col("low").alias("component")))
+        of = lambda end: label.where("low <> high").select(F.col("node").alias(end), F.struct("low", "high").alias(f"{end}_class"))
+        left = written(left.join(of("src"), "src").join(of("dst"), "dst").where("src_class = dst_class").select("src", "dst"))
+    else:
+        raise RuntimeError("components did not settle")
+    if not settled:
+        return nodes.withColumn("component", F.col("node"))
+    return nodes.join(reduce(DataFrame.union, settled), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _extremes(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, low, high): the smallest node that reaches each node, and the smallest that it reaches."""
+    asked = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit(True).alias("up"))
+    asked = asked.union(edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(False).alias("up")))
+    label = written(asked.select("node").distinct().select("node", F.col("node").alias("low"), F.col("node").alias("high")))
+    for _ in range(max_rounds):
+        # what a node knows is asked, too: who reaches that, or is reached from it
+        known = label.where("low <> node").select("node", F.col("low").alias("other"), F.lit(True).alias("up"))
+        known = known.union(label.where("high <> node").select("node", F.col("high").alias("other"), F.lit(False).alias("up")))
+        told = asked.union(known).join(label.select(F.col("node").alias("other"), "low", "high"), "other")
+        heard = told.select("node", F.when(F.col("up"), F.col("low")).alias("l"), F.when(~F.col("up"), F.col("high")).alias("h"), F.lit(False).alias("own"))
+        both = heard.union(label.select("node", "low", "high", F.lit(True))).groupBy("node")
+        grown = both.agg(F.min("l").alias("low"), F.min("h").alias("high"), F.max(F.when(F.col("own"), F.col("l"))).alias("l"), F.max(F.when(F.col("own"), F.col("h"))).alias("h"))
+        grown = grown.select("node", "low", "high", ((F.col("low") < F.col("l")) | (F.col("high") < F.col("h"))).alias("moved"))
+        grown = written(grown)
+        if grown.where("moved").isEmpty():
+            return grown.drop("moved")
+        label = grown.drop("moved")
+    raise RuntimeError("labels did not settle")
+
+
+def loops_in_components(edges: DataFrame, components: DataFrame, low: int = 4, high: int = 8) -> DataFrame:
+    """(component, path): directed cycles of ``low`` to ``high`` nodes, each once, from its smallest node on.
+
+    Cycles stay in strong components, so only edges within one are walked.  A
+    cycle is a way of half its edges ahead of its smallest node and one of the
+    other half back to it: both are grown, no longer than half of ``high``, and
+    meet where they end at the same node and share no other.
+    """
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    at = lambda end: components.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))
+    e = checkpointed(e.join(at("src"), "src").join(at("dst"), "dst").where("src_c = dst_c").select(F.col("src_c").alias("component"), "src", "dst"))
+    ahead = _half_ways(e, "src", "dst", (high + 1) // 2)
+    back = _half_ways(e, "dst", "src", high // 2)
+    met = []
+    for n in range(low, high + 1):
+        a = ahead[(n + 1) // 2].select("component", "start", "end", F.col("way").alias("a"))
+        b = back[n // 2].select("component", "start", "end", F.col("way").alias("b"))
+        # both ways have the start first and the meeting place last
+        whole = a.join(b, ["component", "start", "end"]).where(F.size(F.array_intersect("a", "b")) == 2)
+        met.append(whole.select("component", F.concat("a", F.slice(F.reverse("b"), 2, n // 2 - 1)).alias("path")))
+    return reduce(DataFrame.union, met)
+
+
+def _half_ways(e: DataFrame, frm: str, to: str, most: int) -> dict[int, DataFrame]:
+    """Simple ways by number of edges, from a start over nodes that come behind it; written length by length."""
+    step = e.select("component", F.col(frm).alias("end"), F.col(to).alias("next"))
+    ways = {1: step.where(F.col("next") > F.col("end")).select("component", F.col("end").alias("start"), F.col("next").alias("end"), F.array("end", "next").alias("way"))}
+    for n in range(2, most + 1):
+        grown = ways[n - 1].join(step, ["component", "end"]).where((F.col("next") > F.col("start")) & ~F.array_contains("way", F.col("next")))
+        ways[n] = checkpointed(grown.select("component", "start", F.col("next").alias("end"), F.concat("way", F.array("next")).alias("way")))
+    return ways
+
+
+def spanning(loops: DataFrame, groups: DataFrame, least: int = 2, through: DataFrame | None = None) -> DataFrame:
+    """Loops (path) whose nodes are in ``least`` or more groups (node, group), with those; ``through``: and hold one of these nodes.
+
+    Nodes in no group count for none.
+    """
+    own = loops.select("path", F.explode("path").alias("node"))
+    found = own.join(groups.select("node", "group"), "node").groupBy("path").agg(F.array_sort(F.collect_set("group")).alias("groups")).where(F.size("groups") >= least)
+    if through is not None:
+        found = found.join(own.join(through.select("node").distinct(), "node", "left_semi").select("path").distinct(), "path", "left_semi")
+    return found
+
+
+def neighbourhood_packs(edges: DataFrame, size: int, block: int = 5000) -> DataFrame:
+    """Edges (id, src, dst) in packs of ``size``: (id, block, pack, place).
+
+    In the order of ids an edge that is in no pack yet goes to the open one and
+    draws edges that share a node with it behind it, until the pack is full.
+    This goes on within blocks of about ``block`` edges, in whole components
+    where they are small; a larger component is dealt by the smaller node of its
+    edges, and a node of more edges than that by the edges.  All ends of a
+    block share the open pack, so only a block's last one isn't full.
+    """
+    component = components(edges.select("src", "dst"))
+    e = edges.select("id", "src", "dst", F.least("src", "dst").alias("node")).join(component, "node")
+    counted = checkpointed(e.groupBy("component", "node").agg(F.count(F.lit(1)).alias("at_node")))
+    whole = counted.groupBy("component").agg(F.sum("at_node").alias("n"))
+    small = whole.where(F.col("n") < block).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(n / F.lit(block)))
+    place = F.when(F.col("n") < block, F.array(F.lit(0), part("component", F.lit(small)), F.lit(0))).otherwise(
+        F.array(F.xxhash64("component"), part("node", F.col("n")), F.when(F.col("at_node") > block, F.xxhash64("node") + part("id", F.col("at_node"))).otherwise(F.lit(0)))
+    )
+    dealt = e.join(counted.join(whole, "component"), ["component", "node"]).select("id", "src", "dst", F.concat_ws(":", F.transform(place, lambda x: x.cast("string"))).alias("block"))
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id", ignore_index=True)
+        touching: dict = {}
+        for k, ends in enumerate(zip(rows["src"], rows["dst"])):
+            for node in set(ends):
+                touching.setdefault(node, []).append(k)
+        packs, places, packed, number = [0] * len(rows), [0] * len(rows), [False] * len(rows), 0
+        held = 0
+        for k, ends in enumerate(zip(rows["src"], rows["dst"])):
+            if packed[k]:
+                continue
+            if held == size:
+                number, held = number + 1, 0
+            for near in [k, *merge(*(touching[n] for n in set(ends)))]:
+                if held == size:
+                    break
+                if not packed[near]:
+                    packed[near], packs[near], places[near] = True, number, held
+                    held += 1
+            for n in set(ends):  # those in packs needn't be looked at again
+                touching[n] = [x for x in touching[n] if not packed[x]]
+        return pd.DataFrame({"id": rows["id"], "block": rows["block"], "pack": packs, "place": places})
+
+    return dealt.groupBy("block").applyInPandas(pack, f"id {kinds['id']}, block string, pack long, place long")
 
 
 def shortest_paths(edges: DataFrame, start: Column | str, max_depth: int) -> DataFrame:
