@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import circuits, evidence, graph, layers, listings, mentions, papers, text
+from . import circuits, evidence, graph, layers, listings, mentions, networks, papers, text
 
-PARTS = [evidence, graph, text, mentions, layers, circuits, papers, listings]
+PARTS = [evidence, graph, networks, text, mentions, layers, circuits, papers, listings]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for part in PARTS for k, q in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for part in PARTS for k, q in part.ORACLE_SQL.items()}
