@@ -88,10 +88,11 @@ def similar_prefixes(names: DataFrame, name: str, least: float = 0.5, shared: in
 
 
 def peer_counts(rows: DataFrame, anchor: str, terminal: Column) -> DataFrame:
-    """``rows`` with ``peers``: how many other rows at the same anchor are terminal."""
-    done = terminal.cast("int")
-    total = rows.groupBy(anchor).agg(F.sum(done).alias("_done"))
-    return rows.join(total, anchor).withColumn("peers", F.col("_done") - done).drop("_done")
+    """``rows`` with ``peers``: how many other rows at the same anchor are terminal; null anchors are one, null counts as not terminal."""
+    done = F.coalesce(terminal, F.lit(False)).cast("int")
+    total = rows.groupBy(F.col(anchor).alias("_anchor")).agg(F.sum(done).alias("_done"))
+    joined = rows.join(total, F.col(anchor).eqNullSafe(F.col("_anchor")))
+    return joined.withColumn("peers", F.col("_done") - done).drop("_done", "_anchor")
 
 
 def back_filled(canonical: DataFrame, ids: str, key: str, originals: DataFrame, original: str) -> DataFrame:

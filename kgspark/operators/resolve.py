@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -35,6 +36,69 @@ def resolve(queries: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
+#: Least similarity and shared letters of a name that is offered, and how many are.
+FUZZY, SHARED, OFFERED = 0.5, 2, 5
+
+
+def prefix_matches(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, region, score): shared prefix over the longer length, at least FUZZY; the best of each region.
+
+    ``queries``: query, norm; ``names``: region, norm.  Who is longer must share
+    a prefix of a length that follows from its own, so both sides meet by
+    equality of that prefix, and only names as short or shorter are asked.
+    """
+
+    def led(df: DataFrame) -> DataFrame:
+        """Each name with the prefix that a match with it as the longer one needs."""
+        need = F.greatest(F.ceil(F.length("norm") * (FUZZY - 0.005)).cast("int"), F.lit(SHARED))
+        return df.where(F.length("norm") >= SHARED).withColumn("k", need).withColumn("head", F.expr("substring(norm, 1, k)"))
+
+    def cut(df: DataFrame) -> DataFrame:
+        """Each name with all its prefixes."""
+        return df.where(F.length("norm") >= SHARED).withColumn("k", F.explode(F.sequence(F.lit(SHARED), F.length("norm")))).withColumn("head", F.expr("substring(norm, 1, k)"))
+
+    q, n = queries.select("query", "norm").distinct(), names.select("region", "norm").distinct()
+    longer = led(n).withColumnRenamed("norm", "name").join(cut(q), ["head", "k"]).where("length(norm) <= length(name)")
+    shorter = led(q).join(cut(n).withColumnRenamed("norm", "name"), ["head", "k"]).where("length(norm) > length(name)")
+    both = longer.select("query", "norm", "region", "name").unionByName(shorter.select("query", "norm", "region", "name")).where("norm <> name")
+    common = F.expr("size(filter(sequence(1, least(length(norm), length(name))), i -> substring(norm, 1, i) = substring(name, 1, i)))")
+    scored = both.withColumn("score", F.round(common / F.greatest(F.length("norm"), F.length("name")), 2))
+    return scored.where(F.col("score") >= FUZZY).groupBy("query", "region").agg(F.max("score").alias("score"))
+
+
+def resolve_levels(queries: DataFrame, index: DataFrame, chosen: list[str], names: DataFrame) -> DataFrame:
+    """Names (query, norm) through levels of exact keys, then by similar prefixes.
+
+    ``index``: method, priority, key, region, confidence.  The first level with
+    a hit decides.  One region there resolves the name; several are candidates,
+    surest first, and none is chosen, but at the levels in ``chosen``, where the
+    smallest is.  Names without a hit get the OFFERED most similar of
+    ``names`` (region, norm) as candidates, which are only looked for where the levels fail.
+    Empty and null names stay unresolved.
+    """
+    asked = queries.select("query", "norm").distinct()
+    hits = asked.join(index, F.col("norm") == F.col("key")).groupBy("query", "priority", "method", "region").agg(F.max("confidence").alias("confidence"))
+    entry = F.struct((-F.col("confidence")).alias("order"), "region")
+    level = hits.groupBy("query", "priority", "method").agg(F.array_sort(F.collect_list(entry)).alias("found"))
+    best = level.groupBy("query").agg(F.min_by(F.struct("method", "found"), "priority").alias("b"))
+    offered = prefix_matches(asked.where("norm <> ''").join(best, "query", "left_anti"), names)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "region"))
+    fuzzy = offered.withColumn("k", rank).where(F.col("k") <= OFFERED).groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "region"))).alias("offers"))
+    told = asked.select("query").distinct().join(best, "query", "left").join(fuzzy, "query", "left")
+    single = (F.size("b.found") == 1) | F.col("b.method").isin(*chosen)
+    listed = lambda c: F.transform(c, lambda x: F.struct(x["region"].alias("region"), (-x["order"]).alias("confidence")))
+    smallest = F.array_min(F.transform("b.found", lambda x: F.struct(x["region"].alias("region"), (-x["order"]).alias("confidence"))))
+    several = F.when(F.col("b").isNotNull() & ~single, listed("b.found")).when(F.col("offers").isNotNull(), listed("offers"))
+    return told.select(
+        "query",
+        F.when(F.col("b").isNotNull() & single, "resolved").when(several.isNotNull(), "candidates").otherwise("unresolved").alias("status"),
+        F.when(F.col("b").isNotNull(), F.col("b.method")).when(F.col("offers").isNotNull(), "fuzzy").alias("method"),
+        F.when(F.col("b").isNotNull() & single, smallest["region"]).alias("region"),
+        F.when(F.col("b").isNotNull() & single, smallest["confidence"]).alias("confidence"),
+        several.alias("candidates"),
+    )
+
+
 def unordered_match(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs (a, b) that are known in either order, by one equality join on ordered ends."""
     return pairs.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(
