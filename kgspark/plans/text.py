@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import core_term, doi_key, edge_id, first_keyword, first_label, normal_name, slug
+from ..operators import passages as ps
 from ..operators import resolve as r
 from ..operators import text as t
 from ..sources.adapters import regions, table
@@ -78,6 +79,10 @@ def _columns(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph_id", "paragraph"))
+
+
 QUERIES = {
     "sentences": lambda s, d: t.sentences(_docs(s, d)),
     "lexicon": _lexicon,
@@ -87,6 +92,9 @@ QUERIES = {
     "sentence_neighbours": lambda s, d: t.neighbours(t.sentences(_english(s, d))),
     "paragraph_scores": lambda s, d: t.paragraph_scores(t.paragraphs(_english(s, d)), "than", "inthe", "of"),
     "passage_verification": lambda s, d: t.verify_passages(table(s, d, "benchmark"), _docs(s, d), _cited(s, d)),
+    "passage_matches": lambda s, d: ps.passage_matches(table(s, d, "benchmark"), _docs(s, d)),
+    "passage_tiers": lambda s, d: ps.passage_matches(table(s, d, "benchmark"), _docs(s, d)).where("status <> 'similarity'").select("item_id", "doc_id", "status"),
+    "passage_recall": lambda s, d: ps.recalled(_blocks(s, d), "the heron of inthe"),
     "trigram_similarity": lambda s, d: t.similar_names(table(s, d, "part").select(F.col("p_name").alias("name")), 0.3),
     "term_recommendations": lambda s, d: t.term_recommendations(table(s, d, "part").select(F.col("p_name").alias("query")), table(s, d, "part").select(F.concat_ws(" ", F.element_at(F.split("p_name", " "), -1), F.lower("p_type")).alias("term"))),
     "page_titles": lambda s, d: t.page_titles(table(s, d, "pages")),
@@ -110,6 +118,8 @@ _CO = (
   co AS (SELECT doc_id, lo, hi, CASE m.l WHEN 0 THEN 'same_sentence' WHEN 1 THEN 'same_section' ELSE 'same_paper' END AS level, CAST(CASE m.l WHEN 0 THEN 0.8 WHEN 1 THEN 0.6 ELSE 0.4 END AS DOUBLE) AS score, m.s AS sentence_id FROM best)"""
 )
 _NORMAL = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_SPACED = "trim(lower(regexp_replace(text, '\\s+', ' ', 'g')))"
+_UNICODE = f"trim(lower(regexp_replace(regexp_replace(nfc_normalize(text), '{ps.HYPHENS}', '-', 'g'), '{ps.SPACES}', ' ', 'g')))"
 _RESOLVE = f"""WITH idx AS (SELECT DISTINCT p_name AS key, 'exact' AS method, 0 AS priority, p_partkey AS entity FROM part UNION SELECT {_NORMAL.format('p_brand')}, 'normal', 1, p_partkey FROM part UNION SELECT split_part(p_name, ' ', -1), 'alias', 2, p_partkey FROM part),
   q AS (SELECT DISTINCT unnest([p_name, upper(p_brand), 'old ' || split_part(p_name, ' ', -1), p_type]) AS query FROM part),
   k AS (SELECT DISTINCT query, unnest([query, {_NORMAL.format('query')}, split_part(query, ' ', -1)]) AS key FROM q), hit AS (SELECT query, method, priority, entity FROM k JOIN idx USING (key)),
@@ -129,6 +139,11 @@ ORACLE_SQL = {
       j AS (SELECT item_id, doc_id, b.text AS passage, d.text AS text, list_distinct(regexp_extract_all(lower(b.text), '[a-z]+')) AS own, list_distinct(regexp_extract_all(lower(d.text), '[a-z]+')) AS there FROM lead JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id))
       SELECT item_id, doc_id, CASE WHEN contains(text, passage) THEN 'exact' WHEN contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), trim(regexp_replace(passage, '\\s+', ' ', 'g'))) THEN 'whitespace'
         WHEN len(list_intersect(own, there)) / greatest(len(own), 1) >= 0.8 THEN 'similar' ELSE 'none' END AS status FROM j""",
+    "passage_tiers": f"""WITH b AS (SELECT item_id, text, {_SPACED} AS ws, {_UNICODE} AS nf FROM benchmark), d AS (SELECT doc_id, text, {_SPACED} AS ws, {_UNICODE} AS nf FROM documents)
+      SELECT item_id, doc_id, CASE WHEN contains(d.text, b.text) THEN 'exact' WHEN contains(d.ws, b.ws) THEN 'normalized_whitespace' ELSE 'normalized_unicode' END AS status FROM b JOIN d ON contains(d.text, b.text) OR contains(d.ws, b.ws) OR contains(d.nf, b.nf)""",
+    "passage_recall": """WITH p AS (SELECT doc_id, CAST(unnest(range(len(x))) AS INTEGER) AS paragraph_id, lower(unnest(x)) AS g FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+      h AS (SELECT doc_id, paragraph_id, contains(g, 'the')::INT + contains(g, 'heron')::INT + contains(g, 'of')::INT + contains(g, 'inthe')::INT AS hits FROM p), b AS (SELECT doc_id, arg_min(paragraph_id, {'h': -hits, 'p': paragraph_id}) AS best FROM h GROUP BY doc_id),
+      o AS (SELECT h.*, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN paragraph_id = best THEN 0 WHEN abs(paragraph_id - best) <= 1 THEN 1 ELSE 2 END, CASE WHEN abs(paragraph_id - best) = 1 THEN 0 ELSE -hits END, paragraph_id) AS INTEGER) AS place FROM h JOIN b USING (doc_id)) SELECT * FROM o WHERE place <= 30""",
     "trigram_similarity": """WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, '  ' || unnest(string_split(name, ' ')) || ' ' AS w FROM n),
       g AS (SELECT DISTINCT name, w[i:i+2] AS gram FROM (SELECT name, w, unnest(range(1, CAST(length(w) - 1 AS BIGINT))) AS i FROM w)), c AS (SELECT name, count(*) AS n FROM g GROUP BY name),
       p AS (SELECT a.name AS lo, b.name AS hi, count(*) AS s FROM g a JOIN g b ON a.gram = b.gram AND a.name < b.name GROUP BY ALL)

@@ -18,8 +18,8 @@ def duck():
     return con
 
 
-#: What SQL can't express; test_papers.py holds it against a plain loop.
-WITHOUT_SQL = {"paper_dedup"}
+#: What SQL can't express; test_papers.py, test_graph_scale.py and test_passages.py hold it against plain loops.
+WITHOUT_SQL = {"paper_dedup", "link_packs", "passage_matches"}
 
 
 #: Those that find nothing in the smallest tables.
