@@ -11,7 +11,8 @@ the lack of other groups' items, whatever the size of the input.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -129,65 +130,82 @@ class Bins:
     def improve(self) -> None:
         """Raise the sum of squared fills by exchanges between underfull bins, until none is left.
 
-        Bins take from all bins that are less full.  What these hold is indexed
-        by size: single items and pairs of one bin, each with a set of the
-        sizes that occur, so the best exchange of a bin is found without going
-        through the other bins.
+        The fullest bin that hasn't had its turn takes from the others that
+        haven't, which are no fuller, as long as that fills it; so every step
+        raises the sum and the search ends.  What bins hold is indexed by size: single items and pairs
+        of one bin, each once for its sizes, with a set of the sizes that occur;
+        the best exchange of a bin is found without going through the other
+        bins, nor through its items of one size.
         """
+        self.by_size: list[dict[int, list[int]]] = []
+        for held in self.held:
+            own: dict[int, list[int]] = {}
+            for i in held:
+                own.setdefault(self.sizes[i], []).append(i)
+            self.by_size.append(own)
         while self._pass():
             pass
-        kept = [h for h in self.held if h]
-        self.fill = [sum(self.sizes[i] for i in h) for h in kept]
-        self.held = kept
+        kept = [b for b, own in enumerate(self.by_size) if own]
+        self.held = [[i for items in self.by_size[b].values() for i in items] for b in kept]
+        self.fill = [self.fill[b] for b in kept]
 
     def _pass(self) -> bool:
-        loose = sorted((b for b in range(len(self.held)) if 0 < self.fill[b] < self.capacity), key=lambda b: -self.fill[b])
-        self.of = {i: b for b in loose for i in self.held[b]}
+        loose = sorted((b for b in range(len(self.by_size)) if 0 < self.fill[b] < self.capacity), key=lambda b: -self.fill[b])
         self.open = set(loose)
         self.offers: tuple[dict[int, list[tuple[int, ...]]], ...] = ({}, {})
         self.offered = [0, 0]  # bit s: an item (a pair) of size s may be there
+        self.turns = [(-self.fill[b], b) for b in loose]  # ascending, so it is a heap
         for b in loose:
-            self._offer(b, self.held[b])
+            known: list[int] = []
+            for size, items in self.by_size[b].items():
+                self._offer(b, size, len(items), known)
+                known.append(size)
         changed = False
-        for b in loose:
-            self.open.discard(b)
-            while self.held[b] and self._fuller(b):
-                changed = True
+        while self.turns:
+            fill, b = heappop(self.turns)
+            if b in self.open and -fill == self.fill[b]:
+                self.open.discard(b)
+                while self.by_size[b] and self._fuller(b):
+                    changed = True
         return changed
 
-    def _offer(self, b: int, new: list[int]) -> None:
-        """Index items of bin ``b`` that are new there, and their pairs."""
-        sizes, fresh_ones = self.sizes, set(new)
-        for i in new:
-            self._put(0, sizes[i], (i,))
-            for j in self.held[b]:
-                if j not in fresh_ones or j < i:
-                    self._put(1, sizes[i] + sizes[j], (i, j))
-
-    def _put(self, kind: int, size: int, items: tuple[int, ...]) -> None:
-        self.offers[kind].setdefault(size, []).append(items)
+    def _offer(self, b: int, size: int, count: int, others: Iterable[int]) -> None:
+        """Index a size that is new in bin ``b``, and its pairs with other sizes there."""
+        self._put(0, size, (b, size))
+        for other in others:
+            self._put(1, size + other, (b, size, other))
+        if count > 1:
+            self._put(1, 2 * size, (b, size, size))
+
+    def _put(self, kind: int, size: int, entry: tuple[int, ...]) -> None:
+        self.offers[kind].setdefault(size, []).append(entry)
         self.offered[kind] |= 1 << size
 
+    def _stands(self, entry: tuple[int, ...]) -> bool:
+        b, *sizes = entry
+        own = self.by_size[b]
+        return b in self.open and all(len(own.get(s, ())) >= sizes.count(s) for s in sizes)
+
     def _largest(self, kind: int, most: int) -> tuple[int, tuple[int, ...]] | None:
         """The largest single or pair of an open bin of a size up to ``most``; outdated entries go."""
         while at := self.offered[kind] & (1 << most + 1) - 1:
             size = at.bit_length() - 1
             entries = self.offers[kind][size]
             while entries:
-                bins = {self.of[i] for i in entries[-1]}
-                if len(bins) == 1 and bins <= self.open:
+                if self._stands(entries[-1]):
                     return size, entries[-1]
                 entries.pop()
             self.offered[kind] ^= 1 << size
         return None
 
     def _fuller(self, b: int) -> bool:
-        """The exchange that fills ``b`` most, at the cost of a bin less full: up to three items, two on a side at most."""
-        room, own, best = self.capacity - self.fill[b], self.held[b], None
+        """The exchange that fills ``b`` most, at the cost of a bin no fuller: up to three items, two on a side at most."""
+        room, own, best = self.capacity - self.fill[b], self.by_size[b], None
         if not room:
             return False
-        give = [(0, ())] + [(self.sizes[i], (i,)) for i in own]
-        give += [(self.sizes[i] + self.sizes[j], (i, j)) for x, i in enumerate(own) for j in own[:x]]
+        sizes = list(own)
+        give: list[tuple[int, tuple[int, ...]]] = [(0, ())] + [(s, (s,)) for s in sizes]
+        give += [(s + t, (s, t)) for x, s in enumerate(sizes) for t in sizes[:x]] + [(2 * s, (s, s)) for s in sizes if len(own[s]) > 1]
         for given, mine in give:
             for kind in (0, 1) if len(mine) < 2 else (0,):
                 found = self._largest(kind, room + given)
@@ -197,16 +215,37 @@ class Bins:
                 break
         if best is None:
             return False
-        gain, items, mine = best
-        c = self.of[items[0]]
-        self.held[b] = [i for i in own if i not in mine] + list(items)
-        self.held[c] = [i for i in self.held[c] if i not in items] + list(mine)
-        self.of.update(dict.fromkeys(items, b) | dict.fromkeys(mine, c))
-        self._offer(c, list(mine))
+        gain, (c, *taken), mine = best
+        assert gain > 0 and self.fill[b] >= self.fill[c]
+        # out of both first: a size may go either way
+        items, back = [self._out(c, s) for s in taken], [self._out(b, s) for s in mine]
+        for i in items:
+            own.setdefault(self.sizes[i], []).append(i)
+        for i in back:
+            self._into(c, i)
         self.fill[b] += gain
         self.fill[c] -= gain
+        if self.fill[c]:
+            heappush(self.turns, (-self.fill[c], c))
         return True
 
+    def _out(self, b: int, size: int) -> int:
+        items = self.by_size[b][size]
+        item = items.pop()
+        if not items:
+            del self.by_size[b][size]
+        return item
+
+    def _into(self, b: int, item: int) -> None:
+        """Put an item into an open bin; what its size makes possible anew is offered."""
+        size, own = self.sizes[item], self.by_size[b]
+        items = own.setdefault(size, [])
+        items.append(item)
+        if len(items) == 1:
+            self._offer(b, size, 1, [s for s in own if s != size])
+        elif len(items) == 2:
+            self._put(1, 2 * size, (b, size, size))
+
 
 def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to items of a length of at most ``capacity``.
