@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import jaccard, least_rotation
+from ..functions.columns import least_rotation
 
 
 def _shared(df: DataFrame) -> str:
@@ -82,10 +82,20 @@ def symmetry_gaps(edges: DataFrame) -> DataFrame:
 
 
 def functional_gaps(terms: DataFrame, edges: DataFrame, least: int = 1) -> DataFrame:
-    """Pairs of nodes that share terms (node, term) and have no edge."""
-    distinct = terms.distinct()
-    pairs = distinct.select("term", F.col("node").alias("lo")).join(distinct.select("term", F.col("node").alias("hi")), "term").where("lo < hi")
-    shared = pairs.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    """Pairs of nodes that share ``least`` terms (node, term) or more and have no edge.
+
+    Pairs meet by a node's rarer terms only: of two that share so many, one at
+    least is not among the ``least`` - 1 most common of either.
+    """
+    own = terms.select("node", "term").distinct()
+    common = own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    ranked = F.array_sort(F.collect_list(F.struct("df", "term")))
+    nodes = own.join(common, "term").groupBy("node").agg(F.transform(ranked, lambda t: t["term"]).alias("terms")).where(F.size("terms") >= least)
+    rare = nodes.select("node", "terms", F.explode(F.expr(f"slice(terms, 1, size(terms) - {least - 1})")).alias("term"))
+    met = rare.select("term", F.col("node").alias("lo"), F.col("terms").alias("a")).join(rare.select("term", F.col("node").alias("hi"), F.col("terms").alias("b")), "term").where("lo < hi")
+    # a pair counts where its rarest shared term is met
+    both = met.withColumn("shared", F.array_intersect("a", "b")).where((F.size("shared") >= least) & (F.get("shared", F.lit(0)) == F.col("term")))
+    shared = both.select("lo", "hi", F.size("shared").cast("long").alias("shared"))
     return shared.join(unordered(edges).select("lo", "hi").distinct(), ["lo", "hi"], "left_anti")
 
 
@@ -161,14 +171,20 @@ def pairs_at_hub(edges: DataFrame, hub: str, end: str, most: int = 20) -> DataFr
 
 def simple_paths(edges: DataFrame, nodes: int, most: int | None = None) -> DataFrame:
     """Simple paths of a number of nodes; of each start the first ``most`` by their nodes, at each length."""
-    e = edges.where("src <> dst").select("src", "dst").distinct()
-    paths = e.select(F.array("src", "dst").alias("path"))
-    for _ in range(nodes - 2):
-        grown = paths.withColumn("src", F.element_at("path", -1)).join(e, "src").where(~F.array_contains("path", F.col("dst")))
-        paths = grown.select(F.concat("path", F.array("dst")).alias("path"))
-        if most is not None:
-            paths = _first_of_start(paths, most)
-    return _first_of_start(paths, most) if most is not None else paths
+    return paths_by_length(edges, nodes, most)[nodes]
+
+
+def paths_by_length(edges: DataFrame, nodes: int, most: int | None = None) -> dict[int, DataFrame]:
+    """Simple paths by number of nodes, up to ``nodes``; each length is grown from the one before and written once."""
+    e = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
+    paths = {2: e.select(F.array("src", "dst").alias("path"))}
+    if most is not None and nodes == 2:
+        paths[2] = _first_of_start(paths[2], most)
+    for n in range(3, nodes + 1):
+        grown = paths[n - 1].withColumn("src", F.element_at("path", -1)).join(e, "src").where(~F.array_contains("path", F.col("dst")))
+        grown = grown.select(F.concat("path", F.array("dst")).alias("path"))
+        paths[n] = checkpointed(_first_of_start(grown, most) if most is not None else grown)
+    return paths
 
 
 def _first_of_start(paths: DataFrame, most: int) -> DataFrame:
@@ -399,9 +415,11 @@ def repointed(edges: DataFrame, replaced: DataFrame) -> DataFrame:
 
 
 def shared_neighbours(edges: DataFrame) -> DataFrame:
-    """Jaccard of the neighbourhoods of the ends of each unordered edge."""
+    """Jaccard of the neighbourhoods of the ends of each unordered edge, from counts of neighbours and of those in common."""
     e = unordered(edges).select("lo", "hi").distinct()
-    both = e.union(e.select("hi", "lo")).toDF("node", "neighbour")
-    near = both.groupBy("node").agg(F.collect_set("neighbour").alias("near"))
-    joined = e.join(near.toDF("lo", "a"), "lo").join(near.toDF("hi", "b"), "hi")
-    return joined.select("lo", "hi", F.round(jaccard(F.col("a"), F.col("b")), 4).alias("overlap"))
+    near = e.union(e.select("hi", "lo")).toDF("node", "via")
+    size = near.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    common = e.join(near.toDF("lo", "via"), "lo").join(near.toDF("hi", "via"), ["hi", "via"]).groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("both"))
+    joined = e.join(common, ["lo", "hi"], "left").join(size.toDF("lo", "a"), "lo").join(size.toDF("hi", "b"), "hi")
+    both = F.coalesce("both", F.lit(0))
+    return joined.select("lo", "hi", F.round(both / (F.col("a") + F.col("b") - both), 4).alias("overlap"))

@@ -103,13 +103,25 @@ def verify_passages(passages: DataFrame, docs: DataFrame, cited: DataFrame) -> D
 
 
 def similar_names(names: DataFrame, least: float) -> DataFrame:
-    """Pairs of different names whose trigram sets reach a similarity; found through shared trigrams."""
-    own = names.select("name").distinct().withColumn("grams", trigrams(F.col("name")))
-    posted = own.select("name", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    a, b = posted.toDF("lo", "n_lo", "gram"), posted.toDF("hi", "n_hi", "gram")
-    shared = a.join(b, "gram").where("lo < hi").groupBy("lo", "hi", "n_lo", "n_hi").agg(F.count(F.lit(1)).alias("shared"))
-    score = F.col("shared") / (F.col("n_lo") + F.col("n_hi") - F.col("shared"))
-    return shared.withColumn("similarity", F.round(score, 4)).where(F.col("similarity") >= least).select("lo", "hi", "similarity")
+    """Pairs of different names whose trigram sets reach a similarity.
+
+    Pairs meet by a name's rarer trigrams only, as many as make sure that names
+    so alike share one of them, and only where neither set is too small for the other.
+    """
+    own = names.select("name").distinct().withColumn("grams", F.array_distinct(trigrams(F.col("name")))).where(F.size("grams") > 0)
+    posted = own.select("name", F.explode("grams").alias("gram"))
+    common = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    ranked = F.array_sort(F.collect_list(F.struct("df", "gram")))
+    sets = posted.join(common, "gram").groupBy("name").agg(F.transform(ranked, lambda g: g["gram"]).alias("grams")).withColumn("n", F.size("grams"))
+    # what is rounded up to the least counts as well
+    bound = least - 0.00005
+    rare = sets.withColumn("gram", F.explode(F.expr(f"slice(grams, 1, n - cast(ceil({bound!r} * n) as int) + 1)")))
+    met = rare.select("gram", F.col("name").alias("lo"), F.col("n").alias("n_lo"), F.col("grams").alias("a")).join(rare.select("gram", F.col("name").alias("hi"), F.col("n").alias("n_hi"), F.col("grams").alias("b")), "gram")
+    met = met.where(F.col("lo") < F.col("hi")).where((F.col("n_lo") >= F.col("n_hi") * bound) & (F.col("n_hi") >= F.col("n_lo") * bound))
+    # a pair counts where its rarest shared trigram is met
+    both = met.withColumn("shared", F.array_intersect("a", "b")).where(F.get("shared", F.lit(0)) == F.col("gram"))
+    score = F.size("shared") / (F.col("n_lo") + F.col("n_hi") - F.size("shared"))
+    return both.withColumn("similarity", F.round(score, 4)).where(F.col("similarity") >= least).select("lo", "hi", "similarity")
 
 
 def title_similarity(rows: DataFrame, a: str, b: str) -> Column:

@@ -96,7 +96,7 @@ def _checked_connections(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.where("src <> dst").withColumn("id", F.concat_ws(":", *key))
     canonical = rows.groupBy("id", *key).agg(F.count(F.lit(1)).alias("evidence_count"), F.count_if(F.col("confidence") > 0).alias("confidence_count"), F.min("evidence").alias("provenance"))
     canonical = canonical.withColumn("granularity", F.when(F.col("src") == "NATION_3", "meso").otherwise("macro"))
-    lineage = rows.where("confidence > 0").groupBy("id", "run_id").agg(F.count(F.lit(1)).alias("cluster_size"), F.collect_list("l_orderkey").alias("report_ids"))
+    lineage = rows.where("confidence > 0").groupBy("id", "run_id", "l_orderkey").agg(F.count(F.lit(1)).alias("cluster_size"), F.array("l_orderkey").alias("report_ids"))
     known = regions(spark, d).where("parent <> 'ASIA'").select(F.col("name").alias("region"))
     return u.check_connections(canonical, known, lineage, table(spark, d, "orders").where("o_totalprice > 1000").select(F.col("o_orderkey").alias("report_id")))
 

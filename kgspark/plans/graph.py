@@ -51,8 +51,14 @@ def _joined(paths: DataFrame) -> DataFrame:
     return paths.select(F.array_join("path", ">").alias("path"))
 
 
-def _all(paths: list[DataFrame]) -> DataFrame:
-    return _joined(reduce(DataFrame.union, paths))
+def _relays(spark: SparkSession, d: str) -> DataFrame:
+    paths = g.paths_by_length(sparse_edges(spark, d), 7, most=10)
+    return _joined(reduce(DataFrame.union, [paths[n] for n in range(4, 8)]))
+
+
+def _all_loops(spark: SparkSession, d: str) -> DataFrame:
+    edges = g.written(sparse_edges(spark, d).select("src", "dst"))
+    return _joined(g.loops_in_components(edges, g.strong_components(edges)))
 
 
 QUERIES = {
@@ -72,8 +78,8 @@ QUERIES = {
     "motif_divergent": lambda s, d: g.pairs_at_hub(sparse_edges(s, d), "src", "dst"),
     "relay_paths": lambda s, d: _joined(g.simple_paths(sparse_edges(s, d), 4, most=10)),
     "closed_loops": lambda s, d: _joined(g.closed_loops(sparse_edges(s, d), 4)),
-    "relay_paths_4_to_7": lambda s, d: _all([g.simple_paths(sparse_edges(s, d), n, most=10) for n in range(4, 8)]),
-    "closed_loops_4_to_8": lambda s, d: _all([g.closed_loops(sparse_edges(s, d), n) for n in range(4, 9)]),
+    "relay_paths_4_to_7": _relays,
+    "closed_loops_4_to_8": _all_loops,
     "transitive_closure": lambda s, d: g.reachable(_parts(s, d)),
     "on_cycles": lambda s, d: g.on_cycles(sparse_edges(s, d)),
     "weak_components": lambda s, d: g.components(sparse_edges(s, d).where("confidence > 0.51")),

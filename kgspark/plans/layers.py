@@ -87,7 +87,7 @@ def _overlay(spark: SparkSession, d: str) -> DataFrame:
 
 def _lineage(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
-    canonical = orders.where("o_custkey is not null").groupBy(F.col("o_custkey").alias("canonical_id")).agg(F.collect_list("o_orderkey").alias("ids"))
+    canonical = orders.where("o_custkey is not null").groupBy(F.col("o_custkey").alias("canonical_id"), "o_orderdate").agg(F.collect_list("o_orderkey").alias("ids"))
     source = orders.select("o_orderkey", "o_orderstatus")
     return m.lineage(canonical, source, "ids", "o_orderkey").groupBy("canonical_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("o_orderstatus").alias("statuses"))
 

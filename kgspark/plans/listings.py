@@ -25,13 +25,14 @@ def _type_maps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _orders_of(spark: SparkSession, d: str) -> DataFrame:
-    """Customers with the numbers of their orders as a JSON array."""
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.to_json(F.sort_array(F.collect_list("o_orderkey"))).alias("ids"))
+    """Customers with the numbers of a day's orders as a JSON array."""
+    return table(spark, d, "orders").groupBy("o_custkey", "o_orderdate").agg(F.to_json(F.sort_array(F.collect_list("o_orderkey"))).alias("ids"))
 
 
 def _holding(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.to_json(F.collect_set("l_partkey")).alias("parts"))
-    return parts.select("l_suppkey", x.json_holds("parts", F.lit(42)).alias("holds"))
+    """Orders with their few parts as a JSON array."""
+    parts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.to_json(F.collect_set("l_partkey")).alias("parts"))
+    return parts.select("l_orderkey", x.json_holds("parts", F.lit(42)).alias("holds"))
 
 
 def _latest(spark: SparkSession, d: str) -> DataFrame:
@@ -74,7 +75,7 @@ ORACLE_SQL = {
       CASE type WHEN 'structural_connection' THEN 'structural' WHEN 'functional_connectivity' THEN 'functional' WHEN 'uncertain_connection' THEN 'uncertain' WHEN 'projection' THEN 'projection' WHEN 'association' THEN 'association' END AS cluster_type,
       CASE WHEN type IN ('structural_connection', 'projection') THEN 'structural' WHEN type IN ('functional_connectivity', 'effective_connectivity') THEN 'functional' WHEN type IN ('uncertain_connection', 'unknown') THEN 'uncertain' ELSE type END AS canonical_type
       FROM t GROUP BY type""",
-    "json_containment": "SELECT l_suppkey, bool_or(l_partkey = 42) AS holds FROM lineitem GROUP BY l_suppkey",
+    "json_containment": "SELECT l_orderkey, bool_or(l_partkey = 42) AS holds FROM lineitem GROUP BY l_orderkey",
     "latest_order": """SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders)
       ON o_custkey = c_custkey AND k = 1""",
     "group_size_histogram": "SELECT size, count(*) AS groups FROM (SELECT count(*) AS size FROM orders GROUP BY o_custkey) GROUP BY size",
