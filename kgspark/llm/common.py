@@ -111,6 +111,26 @@ def _arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
+def _crc_table() -> list[int]:
+    """Checksums of single bytes, by which SQL computes CRC-32."""
+    table_ = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table_.append(value)
+    return table_
+
+
+#: For SQL that has no CRC-32: a row with the array ``crc``.
+SQL_CRC_TABLE = f"SELECT CAST({_crc_table()} AS BIGINT[]) AS crc"
+
+
+def sql_crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII string, where the row of ``SQL_CRC_TABLE`` is joined."""
+    bytes_ = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce({bytes_}, lambda c, b: xor(c >> 8, crc[CAST(xor(c, b) & 255 AS INTEGER) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
 class Forest:
     """Union-find over what one task sees; it only saves repeated links, so it may forget when full."""
 

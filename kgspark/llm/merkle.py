@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import _arrow_schema, checkpointed, table
+from .common import SQL_CRC_TABLE, checkpointed, sql_crc32, table
 
 FANOUT = 16
 #: Levels that a superblock is reduced by, and its nodes at most.
@@ -259,3 +259,46 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lowered = [F.translate("text", UPPER, UPPER.lower()) if c == "text" else F.col(c) for c in FIELDS]
     hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     return manifest(docs, "doc_id", "source", leaf(*plain), F.when(hit, leaf(*lowered)))
+
+
+def oracle_sql(levels_: int = 6) -> str:
+    """The query in SQL, level by level, for groups of at most FANOUT ** ``levels_`` leaves, and as many groups."""
+    encode = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    plain = " || ".join(encode(c) for c in FIELDS)
+    lowered = " || ".join(encode(f"translate(text, '{UPPER}', '{UPPER.lower()}')" if c == "text" else c) for c in FIELDS)
+    crc = sql_crc32("CAST(doc_id AS VARCHAR)")
+    parts = [
+        f"t AS ({SQL_CRC_TABLE})",
+        f"leaf AS (SELECT doc_id, source, sha256({plain}) AS leaf, CASE WHEN {crc} % 5 = 0 THEN sha256({lowered}) ELSE sha256({plain}) END AS now FROM documents, t)",
+        "d AS (SELECT *, coalesce('s' || source, 'n') AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaf)",
+        "a0 AS (SELECT grp, i, leaf AS h, count(*) OVER (PARTITION BY grp) AS n FROM d)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels_):
+            frame = f"string_agg(h, '') OVER (PARTITION BY grp, i // {FANOUT} ORDER BY i ROWS BETWEEN "
+            parts.append(
+                f"{name}{k}s AS (SELECT grp, i, n, coalesce({frame}UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce({frame}1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}{k} WHERE n > 1)"
+            )
+            parts.append(
+                f"{name}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM (SELECT grp, i // {FANOUT} AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name}{k} WHERE n > 1 GROUP BY ALL UNION ALL SELECT grp, i, h FROM {name}{k} WHERE n = 1))"
+            )
+
+    def ways(name: str, frm: str, grp: str, i: str) -> tuple[str, str, list[str]]:
+        joins = " ".join(f"LEFT JOIN {name}{k}s {name}x{k} ON {name}x{k}.grp = {grp} AND {name}x{k}.i = {i} // {FANOUT**k}" for k in range(levels_))
+        return frm, joins, [f"{name}x{k}" for k in range(levels_)]
+
+    climb("a")
+    parts.append(f"b0 AS (SELECT 0 AS grp, row_number() OVER (ORDER BY grp <> 'n', grp) - 1 AS i, h, count(*) OVER () AS n, grp AS source_grp FROM a{levels_})")
+    climb("b")
+    _, low, own = ways("a", "d", "d.grp", "d.i")
+    _, high, above = ways("b", "b0", "0", "b0.i")
+    proof, folded, steps = [], "now", []
+    for k, x in enumerate([*own, *above]):
+        proof.append(f"coalesce({x}.l || {x}.r, '')")
+        steps.append(f"f{k} AS (SELECT * EXCLUDE now, CASE WHEN l{k} IS NULL THEN now ELSE sha256(l{k} || now || r{k}) END AS now FROM f{k - 1})")
+    sides = ", ".join(f"{x}.l AS l{k}, {x}.r AS r{k}" for k, x in enumerate([*own, *above]))
+    parts.append(f"path AS (SELECT doc_id, leaf, b0.h AS subroot, b{levels_}.h AS root, sha256({' || '.join(proof)}) AS proof_sha256, {folded}, {sides} FROM d {low} JOIN b0 ON b0.source_grp = d.grp {high} JOIN b{levels_} ON true)")
+    steps[0] = steps[0].replace("FROM f-1", "FROM path")
+    parts += steps
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, proof_sha256, now AS folded_root, now = root AS verified FROM f{2 * levels_ - 1}"

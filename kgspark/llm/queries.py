@@ -24,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_license_scan": licences.op13_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_conversation_repair": repair.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from .common import _arrow_schema, checkpointed, table
+from .common import SQL_CRC_TABLE, _arrow_schema, checkpointed, sql_crc32, table
 
 SPACE = " \t\n\x0b\x0c\r"
 INITIALS = "sua"
@@ -280,7 +280,8 @@ def _sequences(rows: DataFrame) -> DataFrame:
     narrow = rows.select("conv", "turn", "role", "digest", fault.alias("fault"), F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies"))).otherwise(F.array(F.lit(0)))).alias("copy"))
     there = narrow.repartition("conv").withColumn("there", F.col("copy") > 0)
     nth = F.row_number().over(W.partitionBy("conv", "role", "digest", "there").orderBy(F.col("turn").asc_nulls_first(), "copy"))
-    counted = there.withColumn("nth", nth).sortWithinPartitions(*_order("copy"))
+    # equal rows stand in the order in which they were seen
+    counted = there.withColumn("nth", nth).sortWithinPartitions(*_order("nth"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = f"conv {kinds['conv']}, chunk int, symbols binary, turn {kinds['turn']}, role string, digest binary, ends boolean, {COUNTS}"
     arrow = _arrow_schema(rows.sparkSession, schema)
@@ -543,3 +544,38 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield _batch(arrow, out)
 
     return _prepared(rows, "conv_id", "turn", "role", "text", copies).mapInArrow(digests, schema)
+
+
+def oracle_sql() -> str:
+    """The query in SQL: edits message by message over the four states, without grammar and chunks."""
+    far = 1 << 40
+    state = "list_value({0})"
+    add = lambda s, cost, letter: f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}'}}"
+    least = lambda *options: f"list_min([{', '.join(options)}])"
+    # insertions: into the state behind a user, then behind an assistant
+    t2 = least("s[3]", *(add(f"s[{k}]", INSERT, "I") for k in (1, 2, 4)))
+    inserted = f"list_transform([{{'x': {t2}}}], lambda v: [s[1], s[2], v.x, {least('s[4]', add('v.x', INSERT, 'I'))}])[1]"
+    # a message m: role, whether it must go, whether it is cut
+    gone = [add(f"e[{k}]", DELETE, "D") for k in (1, 2, 3, 4)]
+    taken = lambda k, role: f"CASE WHEN m[2].c = 1 THEN {{'c': {far}, 'a': ''}} ELSE {{'c': e[{k}].c + m[3].c + CASE WHEN m[1].a = '{role}' THEN {KEEP} ELSE {REROLE} END, 'a': e[{k}].a || CASE WHEN m[1].a = '{role}' THEN 'K' ELSE 'R' END}} END"
+    system = f"CASE WHEN m[2].c = 0 AND m[1].a = 's' THEN {{'c': e[1].c + m[3].c, 'a': e[1].a || 'K'}} ELSE {{'c': {far}, 'a': ''}} END"
+    edited = f"[{gone[0]}, {least(gone[1], system)}, {least(gone[2], taken(1, 'u'), taken(2, 'u'), taken(4, 'u'))}, {least(gone[3], taken(3, 'a'))}]"
+    step = f"list_transform([{inserted}], lambda e: {edited})[1]"
+    start = state.format(f"{{'c': 0::BIGINT, 'a': ''}}, {{'c': {far}::BIGINT, 'a': ''}}, {{'c': {far}::BIGINT, 'a': ''}}, {{'c': {far}::BIGINT, 'a': ''}}")
+    row = "rows[CAST(a.k AS INTEGER) + 1]"
+    new = "CASE WHEN a.p = 'u' THEN 'assistant' ELSE 'user' END"
+    put = lambda k, role, text: f"{{'k': a.k + {k}, 'p': left({role}, 1), 'o': a.o || CASE WHEN a.o = '' THEN '' ELSE chr(10) END || {role} || ':' || {text}}}"
+    apply = f"CASE l.p WHEN 'D' THEN {{'k': a.k + 1, 'p': a.p, 'o': a.o}} WHEN 'I' THEN {put(0, new, chr(39) * 2)} WHEN 'K' THEN {put(1, row + '.role', row + '.text')} ELSE {put(1, new, row + '.text')} END"
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""WITH t AS ({SQL_CRC_TABLE}),
+  src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {sql_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fault FROM conversations, t),
+  dam AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM src),
+  sorted AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS place, trim(text, {space}) AS body FROM dam),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS nth FROM sorted),
+  judged AS (SELECT *, CASE WHEN body = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(body, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) AS pair FROM placed),
+  conv AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'role': role, 'text': text}} ORDER BY place) AS rows, list([{{'c': 0::BIGINT, 'a': left(role, 1)}}, {{'c': CASE WHEN fault IN (1, 2) THEN 1::BIGINT ELSE 0::BIGINT END, 'a': ''}}, {{'c': CASE WHEN fault = 3 THEN {CUT}::BIGINT ELSE 0::BIGINT END, 'a': ''}}] ORDER BY place) AS symbols FROM judged GROUP BY conv_id),
+  done AS (SELECT *, list_reduce(symbols, lambda s, m: {step}, {start}) AS s FROM conv), last AS (SELECT * EXCLUDE s, {inserted} AS s FROM done), best AS (SELECT * EXCLUDE s, list_min([s[1], s[4]]) AS b FROM last),
+  fixed AS (SELECT *, list_reduce(list_transform(string_split(b.a, ''), lambda x: {{'k': 0::BIGINT, 'p': x, 'o': ''}}), lambda a, l: {apply}, {{'k': 0::BIGINT, 'p': '', 'o': ''}}) AS f FROM best)
+  SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(f.o, '')) AS repaired_sha256
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN fixed ON c.conv_id IS NOT DISTINCT FROM fixed.conv_id"""

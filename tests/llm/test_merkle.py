@@ -119,3 +119,17 @@ def test_op12_equals_plain_version(spark):
     got = [tuple(r) for r in queries.QUERIES["op12_merkle_manifest"](spark, DATA).collect()]
     assert sorted(got) == sorted(manifest(rows))
     assert 0 < sum(not r[6] for r in got) < len(got)
+
+
+@pytest.mark.parametrize("name", ["sources", "blocks", "alone", "singles"])
+def test_sql_equals_plain_version(tmp_path, name):
+    import duckdb
+    import pandas as pd
+
+    rows = case(name) + [(None, None, None, None, None), (-3, "ä", "x", 2**60, "É A")]
+    frame = pd.DataFrame(rows, columns=["doc_id", "source", "lang", "n_chars", "text"]).astype({"doc_id": "Int64", "n_chars": "Int64"}).astype({"source": object, "lang": object, "text": object})
+    frame = frame.where(frame.notna(), None)
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, source varchar, lang varchar, n_chars bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?, ?, ?, ?)", rows) if len(rows) < 1000 else con.execute("insert into documents select * from frame")
+    assert sorted(map(str, con.execute(merkle.oracle_sql()).fetchall())) == sorted(map(str, manifest(rows)))

@@ -6,6 +6,7 @@ import re
 import zlib
 from hashlib import sha256
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,9 @@ def test_damage_nulls_ties_and_extra_columns(spark, tmp_path):
     extra = {c: "mine" for c in ("conv", "copies", "digest", "chunk", "kind", "report", "there", "nth", "fault", "place", "edit", "ends", "audit")}
     assert run(spark, tmp_path, rows, **extra) == want
     assert any("'', 'e3b0c44298fc1c14" in w for w in want)  # nothing is left of some
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(str, con.execute(repair.oracle_sql()).fetchall())) == want
 
 
 def test_long_conversation_in_chunks(spark, tmp_path, monkeypatch):
