@@ -126,7 +126,7 @@ def _best_cut(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[float, int]:
     gain = _gain(a, b) + _gain(g.sum() - a, h.sum() - b) - _gain(g.sum(), h.sum())
     gain[(c < LEAF_ROWS) | (n.sum() - c < LEAF_ROWS)] = 0
     at = int(gain.argmax())
-    return float(gain[at]), at + 1 if gain[at] > 1e-9 else 0
+    return (float(gain[at]), at + 1) if gain[at] > 1e-9 else (0.0, 0)
 
 
 def _shallow(g: np.ndarray, h: np.ndarray, n: np.ndarray, leaves: int = 3) -> np.ndarray:

@@ -1,5 +1,7 @@
 """Each stage of the pipeline against a plain version, on what the stage before it kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from kgspark.llm import classifier, linededup, passages
 
@@ -52,3 +54,34 @@ def test_empty_table(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{DATA}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_nulls_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """End to end: such rows and columns change nothing for the others and get through to the end."""
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    raw = spark.read.parquet(f"{DATA}/documents.parquet").select(*columns)
+    some = raw.orderBy("doc_id").limit(80).cache()
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a text of nobody", "en", "x", 1), (9001, None, None, None, None), (9002, "", "", "", 0), (9003, " \n\t", "en", "x", 3), (9004, "word " * 60_000, "en", "x", None)], raw.schema)
+    clashing = ("id", "key", "line", "fp", "component", "row", "group", "sequence_id", "offset", "_row", "_a", "_asked", "_heard", "_marks", "spans", "score", "piece", "start", "length", "kept", "near", "visits")
+
+    def ran(name, docs):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        held = {}
+        for r in rows:
+            held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for places in held.values():
+            ends = 0
+            for offset, length in sorted(places):
+                assert offset == ends
+                ends += length
+            assert ends <= 2048
+        return sorted(str((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])) for r in rows)
+
+    all_rows = some.unionByName(odd).unionByName(some.limit(20))
+    plain = ran("plain", all_rows)
+    wide = ran("wide", all_rows.select(*columns, *[F.lit(c).alias(c) for c in clashing]))
+    assert plain == wide
+    known = {r["doc_id"] for r in some.collect()} | {None, *range(9001, 9005)}
+    assert {eval(x)[0] for x in plain} <= known and len(plain) > 40
