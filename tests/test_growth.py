@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from kgspark.functions.slices import map_slices
-from kgspark.operators import passages
+from kgspark.operators import papers, passages
 
 
 def join_rows(df):
@@ -50,3 +50,12 @@ def test_texts_are_read_once_for_candidates(spark):
     asked = spark.createDataFrame([(1, "two three four five six 7")], "item_id long, text string")
     assert passages.passage_candidates(asked, docs).where("doc_id = 7").count() == 1
     assert seen.value == 50
+
+
+def test_blocks_leave_python_whole(spark):
+    docs = spark.createDataFrame([(1, "aa\n\n b \nccc"), (1, "dddd"), (2, None), (3, " \n")], "doc_id long, text string")
+    out = papers.semantic_blocks(docs, target=3)
+    got = sorted(map(tuple, out.collect()))
+    # rows with an equal id count together
+    assert got == [(1, 0, 0, 3, 9), (1, 1, 2, 1, 3)]
+    assert "Generate" not in out._jdf.queryExecution().toString()
