@@ -113,14 +113,19 @@ def match_citations(cited: DataFrame, library: DataFrame) -> DataFrame:
     """(id, matches, grade, paper): A for one paper of the year that shares a surname, B for several, C for none.
 
     ``cited``: id, author, year.  ``library``: paper, authors, year.  Joined by
-    (surname, year), so no citation meets all papers.
+    (surname, year), so no citation meets all papers; citations that ask for
+    the same names and year are matched as one.
     """
-    asked = cited.select("id", F.regexp_extract("year", r"^(\d{4})", 1).cast("int").alias("year"), F.explode(F.array_distinct(surnames(F.col("author")))).alias("surname"))
+    year = F.regexp_extract("year", r"^(\d{4})", 1).cast("int")
+    named = F.when(F.col("id").isNotNull(), F.transform(surnames(F.col("author")), lambda s: F.struct(year.alias("year"), s.alias("surname"))))
+    # dealt before they are grouped, so no task holds what one file has; a null id asks for nothing
+    of = cited.select("id", named.alias("w")).repartition("id").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("wants"))
+    asked = of.select("wants").distinct().select("wants", F.inline("wants"))
     known = library.select("paper", F.col("year").cast("int").alias("year"), F.explode(F.array_distinct(surnames(F.col("authors")))).alias("surname"))
-    hits = asked.join(known, ["year", "surname"]).groupBy("id").agg(F.count_distinct("paper").alias("matches"), F.min("paper").alias("paper"))
+    hits = asked.join(known, ["year", "surname"]).groupBy("wants").agg(F.count_distinct("paper").alias("matches"), F.min("paper").alias("paper"))
     n = F.coalesce("matches", F.lit(0))
     grade = F.when(n == 1, "A_unique").when(n > 1, "B_multiple").otherwise("C_local_unmatched")
-    return cited.select("id").distinct().join(hits, "id", "left").select("id", n.alias("matches"), grade.alias("grade"), F.when(n == 1, F.col("paper")).alias("paper"))
+    return of.join(hits, "wants", "left").select("id", n.alias("matches"), grade.alias("grade"), F.when(n == 1, F.col("paper")).alias("paper"))
 
 
 def first_papers(papers: DataFrame, order: str, keys: tuple[str, ...] = ("pmid", "doi"), max_rounds: int = 100) -> DataFrame:

@@ -59,3 +59,16 @@ def test_blocks_leave_python_whole(spark):
     # rows with an equal id count together
     assert got == [(1, 0, 0, 3, 9), (1, 1, 2, 1, 3)]
     assert "Generate" not in out._jdf.queryExecution().toString()
+
+
+def test_citations_that_ask_for_the_same_are_matched_as_one(spark):
+    cited = spark.range(300).select("id", F.lit("Hu & Li").alias("author"), F.lit("2008").alias("year"))
+    library = spark.range(200).select((F.col("id") + 10).alias("paper"), F.lit("Hu").alias("authors"), F.lit(2008).alias("year"))
+    out = papers.match_citations(cited, library)
+    assert join_rows(out) <= 300 + 200
+    assert {(r.matches, r.grade, r.paper) for r in out.collect()} == {(200, "B_multiple", None)}
+    # rows of one id ask together, a null id for nothing
+    cited = spark.createDataFrame([(1, "Hu", "2008"), (1, "Li", "2009"), (2, "Li", "2009a"), (None, "Li", "2009")], "id int, author string, year string")
+    library = spark.createDataFrame([(10, "Hu", 2008), (11, "Li", 2009)], "paper int, authors string, year int")
+    got = {r.id: (r.matches, r.paper) for r in papers.match_citations(cited, library).collect()}
+    assert got == {1: (2, None), 2: (1, 11), None: (0, None)}
