@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import doi_key, normal_name
+from .graph import written
 from .mentions import raw_hits
 from .rules import Rule, check
 
@@ -32,15 +33,20 @@ def regions_by_name(texts: DataFrame, regions: DataFrame, top: int = 2) -> DataF
 
     Texts of fewer than two tokens match nothing.  Tokens may lie within a
     label's words; the different tokens are looked for in each label at once,
-    and circuits meet regions by the tokens found.
+    and texts meet regions by the tokens found: texts of the same tokens once,
+    however many circuits have them.
     """
-    tokens = texts.select("circuit", name_tokens(F.col("text")).alias("t")).where(F.size("t") > 1).select("circuit", F.explode("t").alias("term"))
+    told = texts.select("circuit", name_tokens(F.col("text")).alias("t")).where(F.size("t") > 1)
+    told = told.repartition("circuit").groupBy("circuit").agg(F.array_sort(F.flatten(F.collect_list("t"))).alias("t"))
+    asked = told.select("t").distinct()
+    tokens = asked.select("t", F.explode("t").alias("term"))
     lexicon = tokens.select("term").distinct().select("term", F.col("term").alias("region_id"), F.lit("alias_en").alias("kind"), F.lit(1.0).alias("confidence"), F.lit(False).alias("cased"))
     labels = regions.select("region", F.coalesce("label", F.lit("")).alias("sentence"))
     held = raw_hits(labels, lexicon, ["region"]).select("region", F.col("sentence").alias("label"), F.explode(F.array_distinct(F.transform("hits", lambda h: h["term"]))).alias("term"))
-    scored = tokens.join(held, "term").groupBy("circuit", "region", "label").agg(F.count(F.lit(1)).alias("score"))
-    place = F.row_number().over(W.partitionBy("circuit").orderBy(F.desc("score"), "label", "region"))
-    return scored.withColumn("place", place).where(F.col("place") <= top).select("circuit", "region", "score", "place")
+    scored = tokens.join(held, "term").groupBy("t", "region", "label").agg(F.count(F.lit(1)).alias("score"))
+    place = F.row_number().over(W.partitionBy("t").orderBy(F.desc("score"), "label", "region"))
+    best = scored.withColumn("place", place).where(F.col("place") <= top)
+    return told.join(best, "t").select("circuit", "region", "score", "place")
 
 
 def circuit_endpoints(circuits: DataFrame, members: DataFrame, steps: DataFrame, regions: DataFrame) -> DataFrame:
@@ -58,7 +64,8 @@ def circuit_endpoints(circuits: DataFrame, members: DataFrame, steps: DataFrame,
     done: list[DataFrame] = []
 
     def settle(method: str, found: DataFrame) -> None:
-        done.append(found.select("circuit", "first", "last", F.lit(method).alias("method"), F.lit(CONFIDENCE[method]).alias("confidence")))
+        # written, or each source would find all those before it anew
+        done.append(written(found.select("circuit", "first", "last", F.lit(method).alias("method"), F.lit(CONFIDENCE[method]).alias("confidence"))))
 
     def left() -> DataFrame:
         out = asked

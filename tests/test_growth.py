@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from kgspark.functions.slices import map_slices
-from kgspark.operators import papers, passages
+from kgspark.operators import endpoints, papers, passages
 
 
 def join_rows(df):
@@ -72,3 +72,15 @@ def test_citations_that_ask_for_the_same_are_matched_as_one(spark):
     library = spark.createDataFrame([(10, "Hu", 2008), (11, "Li", 2009)], "paper int, authors string, year int")
     got = {r.id: (r.matches, r.paper) for r in papers.match_citations(cited, library).collect()}
     assert got == {1: (2, None), 2: (1, 11), None: (0, None)}
+
+
+def test_circuits_of_one_text_meet_the_regions_once(spark):
+    texts = spark.range(300).select(F.col("id").alias("circuit"), F.lit("alpha beta").alias("text"))
+    regions = spark.range(100).select(F.col("id").alias("region"), F.concat(F.lit("alpha beta "), "id").alias("label"))
+    out = endpoints.regions_by_name(texts, regions)
+    assert join_rows(out) <= 2 * 300 + 2 * 100
+    assert {(r.region, r.score, r.place) for r in out.collect()} == {(0, 2, 1), (1, 2, 2)}
+    # rows of one circuit count together
+    twice = spark.createDataFrame([(1, "alpha beta"), (1, "beta gamma")], "circuit long, text string")
+    regions = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "gamma")], "region long, label string")
+    assert sorted(tuple(r) for r in endpoints.regions_by_name(twice, regions).collect()) == [(1, 1, 1, 2), (1, 2, 2, 1)]
