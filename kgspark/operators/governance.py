@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from .graph import written
 
 # --- fixed values: states and reasons ---
 APPROVED, REVIEWED, BLOCKED, PROMOTED, FINAL = "human_approved", "approved", "blocked", "promoted", "promoted_to_final"
@@ -64,15 +72,39 @@ def promotion_eligibility(rows: DataFrame, approvals: DataFrame, summaries: Data
     return on.withColumn("reason", reason).select("id", F.col("reason").isNull().alias("eligible"), "reason")
 
 
+def _newest(items: DataFrame, most: int) -> DataFrame:
+    """Of each partition's items (target_type, id, state, updated_at) the first ``most`` of each type, those held and a batch at a time."""
+    arrow = to_arrow_schema(items.schema)
+
+    def first(rows: pa.Table) -> pa.Table:
+        # null ids come before others, null times behind them
+        keyed = pa.table({"t": rows.column("target_type"), "u": rows.column("updated_at"), "n": pc.cast(pc.is_null(rows.column("id")), pa.int8()), "i": rows.column("id")})
+        rows = rows.take(pc.sort_indices(keyed, [("t", "ascending"), ("u", "descending"), ("n", "descending"), ("i", "ascending")]))
+        codes = pc.fill_null(pc.cast(rows.column("target_type").combine_chunks().dictionary_encode().indices, pa.int64()), -1).to_numpy()
+        begins = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        at = np.arange(len(codes)) - np.repeat(begins, np.diff(np.append(begins, len(codes))))
+        return rows.filter(pa.array(at < most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = arrow.empty_table()
+        for batch in batches:
+            if batch.num_rows:
+                held = first(pa.concat_tables([held, pa.Table.from_batches([batch]).cast(arrow)]).combine_chunks())
+        yield from held.to_batches()
+
+    return items.mapInArrow(run, items.schema)
+
+
 def review_queue(items: DataFrame, results: DataFrame, evidence: DataFrame, most: int = 2000) -> DataFrame:
     """The ``most`` newest items (target_type, id, state, updated_at) of each type with their newest validation and their evidence.
 
     ``evidence``: target_type, id.  Adds results, blockers, errors, warnings,
     infos (0 where not validated), validated, evidence and place.  Items are
-    cut in each partition before they are ranked, and joined when they are few.
+    cut in each partition before they are ranked, batch by batch, so that no
+    task sorts a partition; they are written and joined when they are few.
     """
     place = F.row_number().over(W.partitionBy("target_type").orderBy(F.col("updated_at").desc_nulls_last(), "id"))
-    queue = items.withColumn("place", place).where(F.col("place") <= most)
+    queue = written(_newest(items.select("target_type", "id", "state", "updated_at"), most).withColumn("place", place).where(F.col("place") <= most))
     wanted = queue.select("target_type", "id")
     of_queue = lambda df: df.join(wanted, ["target_type", "id"], "left_semi")
     counted = of_queue(evidence).groupBy("target_type", "id").agg(F.count(F.lit(1)).alias("evidence"))

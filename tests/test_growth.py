@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from kgspark.functions.slices import map_slices
-from kgspark.operators import endpoints, papers, passages
+from kgspark.operators import endpoints, governance, papers, passages
 
 
 def join_rows(df):
@@ -84,3 +84,14 @@ def test_circuits_of_one_text_meet_the_regions_once(spark):
     twice = spark.createDataFrame([(1, "alpha beta"), (1, "beta gamma")], "circuit long, text string")
     regions = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "gamma")], "region long, label string")
     assert sorted(tuple(r) for r in endpoints.regions_by_name(twice, regions).collect()) == [(1, 1, 1, 2), (1, 2, 2, 1)]
+
+
+def test_a_queue_is_cut_before_anything_is_sorted(spark):
+    items = spark.range(0, 5000, numPartitions=2).select(F.when(F.col("id") % 5 > 0, "a").alias("target_type"), F.when(F.col("id") != 77, F.col("id")).alias("id"), F.lit("s").alias("state"), F.when(F.col("id") % 3 > 0, F.timestamp_seconds(F.col("id") % 7)).alias("updated_at"))
+    cut = governance._newest(items, 10)
+    assert cut.count() <= 2 * 2 * 10
+    none = spark.createDataFrame([], "target_type string, id long, severity string, created_at timestamp, result_id long")
+    got = governance.review_queue(items, none, none.select("target_type", "id"), 10).select("target_type", "id", "place").collect()
+    rows = sorted(items.collect(), key=lambda r: (r.updated_at is None, -(r.updated_at.timestamp() if r.updated_at else 0), r.id is not None, r.id or 0))
+    want = {(t, r.id, k + 1) for t in ("a", None) for k, r in enumerate([r for r in rows if r.target_type == t][:10])}
+    assert {tuple(r) for r in got} == want
