@@ -230,7 +230,8 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component): weakly connected components named by their smallest node."""
-    e = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    # written, or every round would make the edges anew
+    e = written(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
     label = checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
     for _ in range(max_rounds):
         heard = e.join(label.toDF("src", "c"), "src").groupBy("dst").agg(F.min("c").alias("c"))
@@ -350,7 +351,8 @@ def neighbourhood_packs(edges: DataFrame, size: int, block: int = 5000) -> DataF
     edges, and a node of more edges than that by the edges.  All ends of a
     block share the open pack, so only a block's last one isn't full.
     """
-    component = components(edges.select("src", "dst"))
+    edges = written(edges.select("id", "src", "dst"))
+    component = components(edges)
     e = edges.select("id", "src", "dst", F.least("src", "dst").alias("node")).join(component, "node")
     counted = checkpointed(e.groupBy("component", "node").agg(F.count(F.lit(1)).alias("at_node")))
     whole = counted.groupBy("component").agg(F.sum("at_node").alias("n"))

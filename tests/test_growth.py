@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from kgspark.functions.slices import map_slices
-from kgspark.operators import endpoints, governance, papers, passages
+from kgspark.operators import endpoints, governance, graph, papers, passages
 
 
 def join_rows(df):
@@ -86,6 +86,12 @@ def test_circuits_of_one_text_meet_the_regions_once(spark):
     assert sorted(tuple(r) for r in endpoints.regions_by_name(twice, regions).collect()) == [(1, 1, 1, 2), (1, 2, 2, 1)]
 
 
+def test_rounds_do_not_read_the_edges_again(spark):
+    edges, seen = counted(spark, spark.createDataFrame([(k, k + 1) for k in range(40)], "src long, dst long"))
+    assert graph.components(edges).where("component = 0").count() == 41
+    assert seen.value <= 2 * 40
+
+
 def test_a_queue_is_cut_before_anything_is_sorted(spark):
     items = spark.range(0, 5000, numPartitions=2).select(F.when(F.col("id") % 5 > 0, "a").alias("target_type"), F.when(F.col("id") != 77, F.col("id")).alias("id"), F.lit("s").alias("state"), F.when(F.col("id") % 3 > 0, F.timestamp_seconds(F.col("id") % 7)).alias("updated_at"))
     cut = governance._newest(items, 10)
