@@ -257,7 +257,8 @@ def strong_components(edges: DataFrame, max_rounds: int = 256) -> DataFrame:
     rows as there are edges and nodes, whatever can be reached from where.
     Rows with a null end are ignored; a node with loops only is its own component.
     """
-    ends = edges.select("src", "dst").where("src is not null and dst is not null")
+    # written, since nodes and edges are made of it: what makes the edges runs once
+    ends = written(edges.select("src", "dst").where("src is not null and dst is not null"))
     nodes = ends.select("src").union(ends.select("dst")).distinct().toDF("node")
     left = written(ends.where("src <> dst").distinct())
     settled: list[DataFrame] = []

@@ -101,3 +101,13 @@ def test_a_queue_is_cut_before_anything_is_sorted(spark):
     rows = sorted(items.collect(), key=lambda r: (r.updated_at is None, -(r.updated_at.timestamp() if r.updated_at else 0), r.id is not None, r.id or 0))
     want = {(t, r.id, k + 1) for t in ("a", None) for k, r in enumerate([r for r in rows if r.target_type == t][:10])}
     assert {tuple(r) for r in got} == want
+
+
+def test_components_and_packs_make_their_edges_once(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(6)] + [(3, 0)], "src long, dst long")
+    edges, seen = counted(spark, links)
+    assert graph.strong_components(edges).where("component = 0").count() == 4
+    assert seen.value == 7
+    edges, seen = counted(spark, links.withColumn("id", F.col("src") * 100 + F.col("dst")))
+    assert graph.neighbourhood_packs(edges, 3).count() == 7
+    assert seen.value == 7
