@@ -335,6 +335,9 @@ def spanning(loops: DataFrame, groups: DataFrame, least: int = 2, through: DataF
 
     Nodes in no group count for none.
     """
+    if through is not None:
+        # asked for twice: loops are walked once
+        loops = written(loops)
     own = loops.select("path", F.explode("path").alias("node"))
     found = own.join(groups.select("node", "group"), "node").groupBy("path").agg(F.array_sort(F.collect_set("group")).alias("groups")).where(F.size("groups") >= least)
     if through is not None:

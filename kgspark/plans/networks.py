@@ -34,8 +34,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("candidate"), F.col("l_partkey").alias("node"))
 
 
-def _loops(spark: SparkSession, d: str) -> DataFrame:
-    links = g.written(returned_links(spark, d))
+def _loops(links: DataFrame) -> DataFrame:
     return g.loops_in_components(links, g.strong_components(links))
 
 
@@ -55,11 +54,12 @@ def _flat(rows: DataFrame, column: str) -> DataFrame:
 
 
 def _between_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_text(g.spanning(_loops(spark, d), _kinds(spark, d), 2, g.hubs(returned_links(spark, d), 50))), "groups")
+    links = g.written(returned_links(spark, d))
+    return _flat(_text(g.spanning(_loops(links), _kinds(spark, d), 2, g.hubs(links, 50))), "groups")
 
 
 def _between_modules(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(_text(g.spanning(_loops(spark, d), m.known(_regions(spark, d)).withColumnRenamed("module", "group"), 2)), "groups")
+    return _flat(_text(g.spanning(_loops(g.written(returned_links(spark, d))), m.known(_regions(spark, d)).withColumnRenamed("module", "group"), 2)), "groups")
 
 
 def _packs(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +70,7 @@ def _packs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "returned_links": returned_links,
     "link_components": lambda s, d: g.strong_components(returned_links(s, d)),
-    "link_loops_4_to_8": lambda s, d: _text(_loops(s, d)),
+    "link_loops_4_to_8": lambda s, d: _text(_loops(g.written(returned_links(s, d)))),
     "loops_between_kinds": _between_kinds,
     "loops_between_modules": _between_modules,
     "link_packs": _packs,

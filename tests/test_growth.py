@@ -111,3 +111,11 @@ def test_components_and_packs_make_their_edges_once(spark):
     edges, seen = counted(spark, links.withColumn("id", F.col("src") * 100 + F.col("dst")))
     assert graph.neighbourhood_packs(edges, 3).count() == 7
     assert seen.value == 7
+
+
+def test_loops_are_walked_once_where_hubs_are_asked_for(spark):
+    loops, seen = counted(spark, spark.createDataFrame([([1, 2, 3],), ([2, 4, 5],)], "path array<long>"))
+    groups = spark.createDataFrame([(1, "a"), (2, "b"), (4, "a")], "node long, group string")
+    got = graph.spanning(loops, groups, 2, spark.createDataFrame([(5,)], "node long")).collect()
+    assert [(r.path, r.groups) for r in got] == [([2, 4, 5], ["a", "b"])]
+    assert seen.value == 2
