@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import written
+
 SEVERITIES = ("passed", "warning", "failed", "blocked")
 
 
@@ -65,6 +67,8 @@ def check_connections(canonical: DataFrame, regions: DataFrame, lineage: DataFra
     evidence_count, provenance, confidence_count.  ``regions``: region.
     ``lineage``: id, cluster_size, report_ids.  ``reports``: report_id.
     """
+    # each is asked twice: written, what makes them runs once
+    canonical, lineage = written(canonical), written(lineage)
     known = regions.select("region").distinct()
     traced = lineage.groupBy("id").agg(F.count(F.lit(1)).alias("_rows"), F.sum("cluster_size").alias("_size"))
     asked = lineage.select("id", F.explode("report_ids").alias("report_id"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from kgspark.functions.slices import map_slices
-from kgspark.operators import endpoints, governance, graph, papers, passages
+from kgspark.operators import endpoints, governance, graph, papers, passages, rules
 
 
 def join_rows(df):
@@ -119,3 +119,12 @@ def test_loops_are_walked_once_where_hubs_are_asked_for(spark):
     got = graph.spanning(loops, groups, 2, spark.createDataFrame([(5,)], "node long")).collect()
     assert [(r.path, r.groups) for r in got] == [([2, 4, 5], ["a", "b"])]
     assert seen.value == 2
+
+
+def test_rules_make_connections_and_lineage_once(spark):
+    row = ("x", "r", "s", "functional", "directed", "human", "macro", 1, "p", 1)
+    canonical, read = counted(spark, spark.createDataFrame([row], "id string, src string, dst string, type string, direction string, species string, granularity string, evidence_count long, provenance string, confidence_count long"))
+    lineage, traced = counted(spark, spark.createDataFrame([("x", 1, [1])], "id string, cluster_size long, report_ids array<long>"))
+    regions, reports = spark.createDataFrame([("r",), ("s",)], "region string"), spark.createDataFrame([(1,)], "report_id long")
+    assert [r.status for r in rules.check_connections(canonical, regions, lineage, reports).collect()] == ["passed"]
+    assert (read.value, traced.value) == (1, 1)
