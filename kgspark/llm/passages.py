@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +89,17 @@ def document_shingles(text: str | None) -> np.ndarray:
     return shingle_hashes(raw, *word_spans(raw))
 
 
+def block_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``document_shingles`` of many texts one behind the other, and how many each has."""
+    raws = [(text or "").encode() for text in texts]
+    raw = b" ".join(raws)
+    starts, ends = word_spans(raw)
+    # a blank stands between two texts, so no word belongs to both
+    owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), starts, side="right")
+    whole = owner[: max(len(owner) - SHINGLE_WORDS + 1, 0)] == owner[SHINGLE_WORDS - 1 :]
+    return shingle_hashes(raw, starts, ends)[whole], np.bincount(owner[: len(whole)][whole], minlength=len(texts))
+
+
 def short(hashes: np.ndarray) -> np.ndarray:
     """32 bits of each hash, which tell the shingles of two texts apart and make half the shuffle."""
     return (hashes >> np.uint64(32)).astype(np.uint32)
@@ -145,29 +157,26 @@ def _sketches(hashes: np.ndarray) -> np.ndarray:
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of rows (key, doc, l, r, digest, left, right) agree on a side that both have whole."""
-    out = np.zeros(len(a), bool)
+    """Which rows (key, doc, l, r, digest, left, right) agree on a side that both have whole; ``a`` and ``b`` may be broadcast."""
+    out = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), bool)
     ones = int("1" * PARTS, 16)
     for side in (5, 6):
-        x, y = a[:, side], b[:, side]
+        x, y = a[..., side], b[..., side]
         apart = x ^ y
-        apart = (apart | apart >> 1 | apart >> 2 | apart >> 3) & ones
+        apart |= apart >> 2
+        apart |= apart >> 1
+        apart &= ones
         out |= (x >= 0) & (y >= 0) & (np.bitwise_count(apart) <= PARTS - AGREE)
     return out
 
 
 def _block_windows(ids: np.ndarray, texts: list[str | None]) -> list[np.ndarray]:
     """Columns of all windows of a block of documents: key, doc, l, r (word numbers), digest, sketches of both sides (-1: not whole)."""
-    hashes, owner, place = [], [], []
-    for k, text in enumerate(texts):
-        h = document_shingles(text)
-        if len(h):
-            hashes.append(h)
-            owner.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
-    if not hashes:
+    h, counts = block_shingles(texts)
+    if not len(h):
         return [np.zeros(0, np.int64)] * 7
-    h, own, at = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
+    own = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     ends = np.append(starts[1:], len(own))
     power, inverse = powers(len(h) + 1)
@@ -313,22 +322,32 @@ def _signed(docs: DataFrame, windows: DataFrame, known: DataFrame, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, listed, spans in zip(batch.column(text_at), batch.column(len(names) + 1), batch.column(len(names) + 2)):
-                if not listed.is_valid or not text.is_valid:
-                    continue
-                part = listed.values
+            asked = batch.filter(pa.compute.and_(batch.column(len(names) + 1).is_valid(), batch.column(text_at).is_valid()))
+            for block in blocks(asked, text_at, BLOCK):
+                listed = block.column(len(names) + 1)
+                part, sizes = listed.flatten(), listed.value_lengths().to_numpy()
                 key, left, right = (part.field(extra.index(c)).to_numpy().astype(np.int64) for c in ("key", "l", "r"))
-                h = document_shingles(text.as_py())
+                h, counts = block_shingles(block.column(text_at).to_pylist())
+                begin = np.cumsum(counts) - counts
                 bits = (h >> np.uint64(48)).astype(np.uint16) | np.uint16(NEW | 1)
-                for span in spans.as_py() or []:
-                    bits[span["start"] : max(span["start"], span["end"] - SHINGLE_WORDS + 1)] &= np.uint16(0xFFFF ^ NEW)
+                for start, count, spans in zip(begin.tolist(), counts.tolist(), block.column(len(names) + 2).to_pylist()):
+                    for span in spans or []:
+                        known_end = min(max(span["start"], span["end"] - SHINGLE_WORDS + 1), count)
+                        bits[start + span["start"] : start + known_end] &= np.uint16(0xFFFF ^ NEW)
                 bits = np.pad(bits, SIDE)
-                values = {f: _hashed(h, f) for f in set((key & 7).tolist())}
-                center = np.array([a + int(values[f][a : b + 1].argmin()) for f, a, b in zip((key & 7).tolist(), left.tolist(), right.tolist())], np.int64)
-                at = center[:, None] + np.arange(-SIDE, SIDE + 1)
-                near = np.where((at >= left[:, None]) & (at <= right[:, None]), bits[at + SIDE], np.uint16(0))
-                columns = [part.field(k) for k in range(len(extra))] + [pa.array([row.tobytes() for row in near], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                left, right = (x + np.repeat(begin, sizes) for x in (left, right))
+                center = np.zeros(len(key), np.int64)
+                for f in range(HASHES):
+                    value, mine_ = _hashed(h, f), np.flatnonzero(key & 7 == f)
+                    center[mine_] = [a + int(value[a : b + 1].argmin()) for a, b in zip(left[mine_].tolist(), right[mine_].tolist())]
+                for k in range(0, len(key), PAIRS):
+                    at = center[k : k + PAIRS, None] + np.arange(-SIDE, SIDE + 1)
+                    near = np.where((at >= left[k : k + PAIRS, None]) & (at <= right[k : k + PAIRS, None]), bits[at + SIDE], np.uint16(0))
+                    width = near.shape[1] * near.itemsize
+                    offsets = pa.py_buffer(np.arange(0, (len(near) + 1) * width, width, dtype=np.int32))
+                    binary = pa.Array.from_buffers(pa.binary(), len(near), [None, offsets, pa.py_buffer(near)])
+                    columns = [part.field(c).slice(k, PAIRS) for c in range(len(extra))] + [binary]
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.join(by_doc, docs[id_col] == by_doc[mine], "left").mapInArrow(run, schema)
 
@@ -336,10 +355,18 @@ def _signed(docs: DataFrame, windows: DataFrame, known: DataFrame, id_col: str,
 def _stretches(found: np.ndarray, least: float) -> np.ndarray:
     """Which places lie in a stretch as long as the least passage of which ``least`` places are ``found``."""
     width = LEAST_WORDS - SHINGLE_WORDS + 1
-    total = np.pad(np.cumsum(found, axis=1, dtype=np.int16), ((0, 0), (1, 0)))
+    out = np.zeros(found.shape, bool)
+    some = np.flatnonzero(np.count_nonzero(found, axis=1) >= least)
+    if not len(some):
+        return out
+    total = np.zeros((len(some), found.shape[1] + 1), np.int16)
+    np.cumsum(found[some], axis=1, out=total[:, 1:])
+    begun = np.zeros((len(some), found.shape[1] + width), np.int16)
     good = total[:, width:] - total[:, :-width] >= least
-    begun = np.pad(np.cumsum(np.pad(good, ((0, 0), (0, width - 1))), axis=1, dtype=np.int16), ((0, 0), (width, 0)))
-    return begun[:, width:] > begun[:, :-width]
+    np.cumsum(good, axis=1, out=begun[:, width : width + good.shape[1]])
+    begun[:, width + good.shape[1] :] = begun[:, [width + good.shape[1] - 1]]
+    out[some] = begun[:, width:] > begun[:, :-width]
+    return out
 
 
 def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -407,10 +434,9 @@ def _across(docs: DataFrame, grouped: DataFrame, spans: DataFrame, id_col: str,
                 open_ = guests[np.count_nonzero(near[guests] & np.uint16(NEW), axis=1) > GAP]
                 for g in range(0, len(open_), PAIRS // FIRST):
                     y = open_[g : g + PAIRS // FIRST]
-                    x, y = np.tile(some, len(y)), np.repeat(y, len(some))
-                    good = np.flatnonzero((rows[x, 1] < rows[y, 1]) & _agree(rows[x], rows[y]))
-                    for c in range(0, len(good), 1 << 12):
-                        yield x[good[c : c + (1 << 12)]], y[good[c : c + (1 << 12)]]
+                    good_y, good_x = np.nonzero((rows[some, 1] < rows[y, 1][:, None]) & _agree(rows[some], rows[y][:, None]))
+                    for c in range(0, len(good_y), 1 << 12):
+                        yield some[good_x[c : c + (1 << 12)]], y[good_y[c : c + (1 << 12)]]
 
         def added(y: np.ndarray, places: np.ndarray) -> np.ndarray:
             return np.count_nonzero(places & (near[y] & np.uint16(NEW) > 0), axis=1)
@@ -446,15 +472,23 @@ def _across(docs: DataFrame, grouped: DataFrame, spans: DataFrame, id_col: str,
     return own.select(*columns).union(visitors.select(*columns)).groupBy("key", "i", "j").applyInArrow(pair, schema)
 
 
-def _places(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which shingles of ``own`` stand in ``other``, and where; of several places that which goes on from its neighbour's."""
+def _hits(order: np.ndarray, ranked: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which shingles of a text (``ranked``: sorted, ``order``: where each stands) stand in ``other``."""
+    asked = distinct(other)
+    low, high = (np.searchsorted(ranked, asked, side=side) for side in ("left", "right"))
+    times = high - low
+    return np.sort(order[np.repeat(low - np.cumsum(times) + times, times) + np.arange(int(times.sum()))])
+
+
+def _places(own: np.ndarray, hit: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Where the shingles ``hit`` of ``own`` stand in ``other``; of several places that which goes on from its neighbour's."""
     order = np.argsort(other, kind="stable")
-    low, high = (np.searchsorted(other[order], own, side=side) for side in ("left", "right"))
-    hit = np.flatnonzero(high > low)
-    if not len(hit):
-        return hit, hit
-    low, high = low[hit], high[hit]
+    ranked = other[order]
+    low = np.searchsorted(ranked, own[hit])
     place = order[low]
+    if not (ranked[1:] == ranked[:-1]).any():
+        return place
+    high = np.searchsorted(ranked, own[hit], side="right")
     many = np.flatnonzero(high - low > 1).tolist()
     for turn, step in ((many, -1), (reversed(many), 1)):
         for j in turn:
@@ -466,37 +500,59 @@ def _places(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]
                 k = int(np.searchsorted(spots, wanted))
                 near = spots[max(k - 1, 0) : k + 1]
                 place[j] = near[np.abs(near - wanted).argmin()]
-    return hit, place
+    return place
 
 
-def verified_spans(own: np.ndarray, others: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Word spans [start, end) of ``own`` shingles' text that repeat a passage of one of ``others``."""
+def verified_spans(own: np.ndarray, others: list[np.ndarray], known: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+    """Word spans [start, end) of ``own`` shingles' text that repeat a passage of one of ``others``.
+
+    What lies within a span that is found or ``known`` already isn't looked at
+    again, since it adds nothing to them all.
+    """
     found: list[tuple[int, int]] = []
+    width = LEAST_WORDS - SHINGLE_WORDS + 1
+    order = np.argsort(own, kind="stable")
+    ranked = own[order]
+    # how many shingles up to a place stand further ahead, too
+    again = np.zeros(len(own) + 1, np.int64)
+    again[order[1:] + 1] = ranked[1:] == ranked[:-1]
+    again = np.cumsum(again)
+    settled = np.zeros(len(own) + SHINGLE_WORDS, bool)
+    for start, end in known:
+        settled[start:end] = True
     for other in others:
-        hit, where = _places(own, other)
-        place = np.zeros(len(own), np.int64)
-        place[hit] = where
-        stack = [hit]
+        hit = _hits(order, ranked, other)
+        edge = np.flatnonzero(np.diff(hit) > GAP) + 1
+        first, last = np.append(0, edge), np.append(edge, len(hit))
+        if not len(hit):
+            continue
+        wide = (last - first >= 2 * width // 3) & (hit[last - 1] - hit[first] + 1 >= width)
+        stack = [(i, j) for i, j in zip(first[wide].tolist(), last[wide].tolist()) if not settled[hit[i] : hit[j - 1] + SHINGLE_WORDS].all()]
+        if not stack:
+            continue
+        place = _places(own, hit, other)
+        steps, jumps = np.diff(hit), np.abs(np.diff(place))
         while stack:
-            h = stack.pop()
-            if len(h) < 2 * (LEAST_WORDS - SHINGLE_WORDS + 1) // 3:
-                continue
-            steps = np.diff(h)
-            if len(steps) and steps.max() > GAP:
-                stack += np.split(h, np.flatnonzero(steps > GAP) + 1)
+            i, j = stack.pop()
+            if j - i < 2 * width // 3:
                 continue
-            start, end = int(h[0]), int(h[-1]) + 1
-            if end - start + SHINGLE_WORDS - 1 < LEAST_WORDS:
+            start, end = int(hit[i]), int(hit[j - 1]) + 1
+            if end - start < width or settled[start : end + SHINGLE_WORDS - 1].all():
                 continue
-            places = place[h]
-            if _alike(own[start:end], other, start, h, places):
+            # no more shingles than the hits can be shared
+            if j - i >= SIMILARITY * (end - start - int(again[end] - again[start])) and _alike(own[start:end], other, start, hit[i:j], place[i:j]):
                 found.append((start, end + SHINGLE_WORDS - 1))
+                settled[start : end + SHINGLE_WORDS - 1] = True
                 continue
             # cut where the other text jumps, else where this one has most that is its own
-            jumps = np.abs(np.diff(places))
-            if len(steps) and max(steps.max(), jumps.max()) > 1:
-                cut = int(jumps.argmax() if jumps.max() > GAP else steps.argmax()) + 1
-                stack += [h[:cut], h[cut:]]
+            step, jump = steps[i : j - 1], jumps[i : j - 1]
+            at = int(jump.argmax())
+            if jump[at] <= GAP:
+                by_step = int(step.argmax())
+                if max(step[by_step], jump[at]) <= 1:
+                    continue
+                at = by_step
+            stack += [(i, i + at + 1), (i + at + 1, j)]
     found.sort()
     out: list[tuple[int, int]] = []
     for a, b in found:
@@ -514,13 +570,15 @@ def _alike(mine: np.ndarray, other: np.ndarray, start: int, hits: np.ndarray, pl
     also stand elsewhere) as long as the passage, at the most common shift.
     """
     a = distinct(mine)
-    shifts, times = np.unique(places - hits, return_counts=True)
-    low = start + int(shifts[times.argmax()])
-    for x, y in ((int(places.min()), int(places.max()) + 1), (max(low, 0), max(low, 0) + len(mine))):
+    shifts = places - hits
+    least = int(shifts.min())
+    low = max(start + least + int(np.bincount(shifts - least).argmax()), 0)
+    for x, y in dict.fromkeys([(int(places.min()), int(places.max()) + 1), (low, low + len(mine))]):
         if min(y, len(other)) - x < SIMILARITY * (LEAST_WORDS - SHINGLE_WORDS + 1):
             continue
         b = distinct(other[x:y])
-        both = len(np.intersect1d(a, b, assume_unique=True))
+        at = np.searchsorted(b, a)
+        both = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
         if both >= SIMILARITY * (len(a) + len(b) - both):
             return True
     return False
@@ -543,8 +601,11 @@ def _enough(met: DataFrame) -> DataFrame:
     return met.groupBy("a", "b").agg(functions.alias("n"), F.max("sure").alias("sure"), F.max("late").alias("late"), F.min("al").alias("al"), F.max("ar").alias("ar")).where((F.col("n") >= ENOUGH) | F.col("sure")).drop("n", "sure")
 
 
-def _verified(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Spans (doc, start, end) of words of documents b that repeat a passage of the region al to ar of their document a."""
+def _verified(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, known: DataFrame | None = None) -> DataFrame:
+    """Spans (doc, start, end) of words of documents b that repeat a passage of the region al to ar of their document a.
+
+    Those that lie within ``known`` (doc, start, end) may be left out.
+    """
     # partners are listed in parts, so that no row grows with a group
     part_a, part_b = (F.floor((F.row_number().over(Window.partitionBy(x).orderBy(y)) - 1) / LISTED) for x, y in (("a", "b"), ("b", "a")))
     found = found.withColumn("pb", part_b).withColumn("pa", part_a).select("a", "b", "pa", "pb", "al", "ar")
@@ -555,24 +616,39 @@ def _verified(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) ->
 
     def excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, wanted in zip(batch.column(text_at), batch.column(len(names) + 1)):
-                if wanted.is_valid and text.is_valid:
-                    h = document_shingles(text.as_py())
-                    rows = [(w["b"], w["pb"], short(h[w["al"] : w["ar"] + 1]).tobytes()) for w in wanted.as_py()]
+            asked = batch.filter(pa.compute.and_(batch.column(len(names) + 1).is_valid(), batch.column(text_at).is_valid()))
+            for block in blocks(asked, text_at, BLOCK):
+                rows, size = [], 0
+                h, counts = block_shingles(block.column(text_at).to_pylist())
+                for start, count, listed in zip((np.cumsum(counts) - counts).tolist(), counts.tolist(), block.column(len(names) + 1)):
+                    for w in listed.as_py():
+                        rows.append((w["b"], w["pb"], short(h[start + w["al"] : start + min(w["ar"] + 1, count)]).tobytes()))
+                        size += len(rows[-1][2])
+                    if size > BLOCK:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), excerpt_schema)], schema=excerpt_schema)
+                        rows, size = [], 0
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), excerpt_schema)], schema=excerpt_schema)
 
     # all joins take all columns from the left, so that they share one shuffle of the documents
     sent = docs.join(asked, docs[id_col] == asked[mine], "left").mapInArrow(excerpts, "b long, pb long, shingles binary")
     heard = sent.repartition("b").groupBy("b", "pb").agg(F.collect_list("shingles").alias(fresh(docs, "_heard"))).drop("pb").withColumnRenamed("b", theirs)
+    knows = known is not None
+    if knows:
+        spans = known.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("_known"))
+        heard = heard.join(spans, heard[theirs] == spans["doc"], "left").drop("doc")
     span_schema = _arrow_schema(docs.sparkSession, "doc long, start int, end int")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, doc, got in zip(batch.column(text_at), batch.column(len(names)), batch.column(len(names) + 1)):
-                if got.is_valid and text.is_valid:
-                    spans = verified_spans(short(document_shingles(text.as_py())), [np.frombuffer(g, np.uint32) for g in got.as_py()])
-                    rows += [(doc.as_py(), a, b) for a, b in spans]
+            batch = batch.filter(pa.compute.and_(batch.column(len(names) + 1).is_valid(), batch.column(text_at).is_valid()))
+            for k, (text, doc, got) in enumerate(zip(batch.column(text_at), batch.column(len(names)), batch.column(len(names) + 1))):
+                before = (batch.column(len(names) + 2)[k].as_py() or []) if knows else []
+                # copies send the same; long excerpts settle most
+                others = sorted(set(got.as_py()), key=lambda g: (-len(g), g))
+                spans = verified_spans(short(document_shingles(text.as_py())), [np.frombuffer(g, np.uint32) for g in others], [(s["start"], s["end"]) for s in before])
+                rows += [(doc.as_py(), a, b) for a, b in spans]
             columns = zip(*rows) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, span_schema)], schema=span_schema)
 
@@ -595,7 +671,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = grouped.where("kind = 0").select("key", "a", "b", F.col("l").alias("al"), F.col("r").alias("ar"), F.lit(False).alias("sure"), F.lit(False).alias("late"))
     early = _verified(docs, _enough(near).drop("late"), id_col, text_col).union(equal).distinct().repartition("doc")
     late = _across(docs, grouped, early, id_col, text_col).withColumn("late", F.lit(True))
-    both = early.union(_verified(docs, _enough(near.union(late)).where("late").drop("late"), id_col, text_col)).repartition("doc")
+    both = early.union(_verified(docs, _enough(near.union(late)).where("late").drop("late"), id_col, text_col, early)).repartition("doc")
     names = docs.columns
     text_at, theirs = names.index(text_col), fresh(docs, "_b")
     spans = both.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(fresh(docs, "_heard"))).withColumnRenamed("doc", theirs)
@@ -606,14 +682,18 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, got in zip(batch.column(text_at), batch.column(len(names) + 1)):
+            got = batch.column(len(names) + 1)
+            starts, ends = (got.flatten().field(k).to_pylist() for k in range(2))
+            at = 0
+            for valid, size in zip(batch.column(text_at).is_valid().to_pylist(), got.value_lengths().to_pylist()):
                 runs: list[dict[str, int]] = []
-                for x in (got.as_py() or []) if text.is_valid else []:
-                    if runs and x["start"] <= runs[-1]["end"]:
-                        runs[-1]["end"] = max(runs[-1]["end"], x["end"])
+                for a, b in zip(starts[at : at + (size or 0)], ends[at : at + (size or 0)]) if valid else []:
+                    if runs and a <= runs[-1]["end"]:
+                        runs[-1]["end"] = max(runs[-1]["end"], b)
                     else:
-                        runs.append(x)
+                        runs.append({"start": a, "end": b})
                 rows.append(runs)
+                at += size or 0
             columns = [batch.column(k) for k in range(len(names))] + [pa.array(rows, arrow.field(out).type)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
