@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import string
+from collections.abc import Iterable, Iterator
 from math import ceil
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from ..functions.slices import slices as parts
+
 # --- fixed values: confidence of a mention by the kind of its name; what may follow a side ---
 CONFIDENCE = {"canonical": 0.95, "alias_en": 0.85, "alias_cn": 0.80, "alias_abbr": 0.60}
 SIDES = ("left", "right")
@@ -53,36 +58,91 @@ def _needles(lexicon: DataFrame) -> DataFrame:
     return best.select("needle", "cased", "e.term", "e.region_id", "e.kind", "e.confidence")
 
 
+_LETTERS = frozenset(string.ascii_letters + string.digits)
+_WORD = re.compile("[A-Za-z0-9]+")
+
+
+class _Terms:
+    """Entries (size, term, region_id, kind, confidence) of hits, numbered in the order in which they win at one place."""
+
+    def __init__(self, entries: Iterable[tuple]):
+        known = lambda x: (x is not None, x)
+        surer = lambda e: (e[4] is not None, -(e[4] or 0.0))
+        self.entries = sorted(set(entries), key=lambda e: (-e[0], surer(e), known(e[2]), known(e[1]), known(e[3])))
+        self.number = {e: k for k, e in enumerate(self.entries)}
+        self.sizes = [e[0] for e in self.entries]
+        self.regions = [e[2] for e in self.entries]
+        self.surer = [surer(e) for e in self.entries]
+
+    def disjoint(self, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The hits (pos, number) that stay: from left to right, where two overlap the longer, of equal ones the surer.
+
+        A hit that overlaps the last one that stays takes its place if it is longer.
+        """
+        kept, end, size = [], 0, 0
+        for hit in sorted(hits):
+            n = self.sizes[hit[1]]
+            if hit[0] >= end:
+                kept.append(hit)
+            elif n > size:
+                kept[-1] = hit
+            else:
+                continue
+            end, size = hit[0] + n, n
+        return kept
+
+    def surest(self, kept: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Of each region the surest hit, of equal ones the first."""
+        best: dict = {}
+        for hit in kept:
+            region = self.regions[hit[1]]
+            if region not in best or self.surer[hit[1]] < self.surer[best[region][1]]:
+                best[region] = hit
+        return list(best.values())
+
+
 class _Scan:
-    """All places of needles in a sentence, by one automaton for those as written and one for lower case."""
+    """All places of needles in a sentence: those as written that are one word by a table, others by an automaton, which those for lower case have, too."""
 
     def __init__(self, rows: list[tuple]):
         import ahocorasick
 
-        self.nets = []
+        self.terms = _Terms((len(needle), *entry) for needle, _, *entry in rows)
+        self.nets, self.words = [], {}
+        for needle, cased, *entry in rows:
+            if cased and _WORD.fullmatch(needle):
+                self.words[needle] = self.terms.number[len(needle), *entry]
         for wanted in (True, False):
             net = ahocorasick.Automaton()
             for needle, cased, *entry in rows:
-                if bool(cased) == wanted:
-                    net.add_word(needle, (len(needle), entry))
+                if bool(cased) == wanted and not (cased and needle in self.words):
+                    net.add_word(needle, (len(needle), self.terms.number[len(needle), *entry]))
             if len(net):
                 net.make_automaton()
                 self.nets.append((wanted, net))
 
-    def hits(self, sentence: str | None) -> list[dict]:
+    def places(self, sentence: str | None) -> list[tuple[int, int]]:
+        """(pos, number of its entry) of each hit."""
         out = []
+        if self.words and sentence:
+            out = [(w.start(), self.words[w[0]]) for w in _WORD.finditer(sentence) if w[0] in self.words]
         for cased, net in self.nets if sentence else []:
             text = sentence if cased else sentence.lower()
-            for last, (size, (term, region, kind, confidence)) in net.iter(text):
-                start, end = last + 1 - size, last + 1
-                if cased and (_letter(text[start - 1 : start]) or _letter(text[end : end + 1])):
-                    continue
-                out.append({"pos": start, "end": end, "term": term, "region_id": region, "kind": kind, "confidence": confidence})
+            if cased:
+                for last, (size, k) in net.iter(text):
+                    start = last + 1 - size
+                    if text[last + 1 : last + 2] not in _LETTERS and not (start and text[start - 1] in _LETTERS):
+                        out.append((start, k))
+            else:
+                out += [(last + 1 - size, k) for last, (size, k) in net.iter(text)]
         return out
 
-
-def _letter(c: str) -> bool:
-    return c.isascii() and c.isalnum()
+    def hits(self, sentence: str | None) -> list[dict]:
+        out = []
+        for pos, k in self.places(sentence):
+            size, term, region, kind, confidence = self.terms.entries[k]
+            out.append({"pos": pos, "end": pos + size, "term": term, "region_id": region, "kind": kind, "confidence": confidence})
+        return out
 
 
 def _hit_type(needles: DataFrame) -> StructType:
@@ -91,12 +151,14 @@ def _hit_type(needles: DataFrame) -> StructType:
     return StructType([*place, StructField("region_id", kinds["region_id"]), StructField("kind", StringType()), StructField("confidence", DoubleType())])
 
 
-def raw_hits(sentences: DataFrame, lexicon: DataFrame, keys: list[str], letters: int = LEXICON_LETTERS) -> DataFrame:
+def raw_hits(sentences: DataFrame, lexicon: DataFrame, keys: list[str], letters: int = LEXICON_LETTERS, *, kept: str | None = None) -> DataFrame:
     """``sentences`` (keys, sentence) with all places of terms, overlapping ones too, as an array ``hits``.
 
     A lexicon of at most ``letters`` characters goes to every task, and nothing
     is shuffled.  A larger one is dealt in slices of that size, each of which
     meets all sentences in blocks; the hits of a sentence then come together.
+    With ``kept`` ("disjoint", or "surest" of each region) there is a row for each
+    hit that stays instead: keys, the fields of a hit, and the ``stretch`` around it.
     """
     needles = _needles(lexicon).persist()
     held = sentences.select(*keys, "sentence")
@@ -105,8 +167,9 @@ def raw_hits(sentences: DataFrame, lexicon: DataFrame, keys: list[str], letters:
     if total <= letters:
         rows = [tuple(r) for r in needles.collect()]  # bounded by the check above
         needles.unpersist()
-        return _mapped(held, rows, hit)
-    return _sliced(held, needles, keys, hit, ceil(total / letters))
+        return _kept(held, keys, hit, kept, rows) if kept else _mapped(held, rows, hit)
+    lists = _sliced(held, needles, keys, hit, ceil(total / letters))
+    return _kept(lists, keys, hit, kept) if kept else lists
 
 
 def _mapped(held: DataFrame, rows: list[tuple], hit: StructType) -> DataFrame:
@@ -122,6 +185,46 @@ def _mapped(held: DataFrame, rows: list[tuple], hit: StructType) -> DataFrame:
     return held.mapInArrow(run, schema)
 
 
+def _kept(held: DataFrame, keys: list[str], hit: StructType, kept: str, rows: list[tuple] | None = None) -> DataFrame:
+    """A row for each hit that stays in a sentence of ``held``, whose hits are listed, or found by the needles ``rows``."""
+    schema = StructType([*held.select(*keys).schema.fields, *hit.fields, StructField("stretch", StringType())])
+    arrow = to_arrow_schema(schema)
+    at, names = held.columns.index("sentence"), ("term", "region_id", "kind", "confidence")
+
+    def listed(part: pa.RecordBatch) -> tuple[_Terms, list[list[tuple[int, int]]]]:
+        lists = [[(h["pos"], (h["end"] - h["pos"], *(h[n] for n in names))) for h in hits] for hits in part.column("hits").to_pylist()]
+        terms = _Terms(entry for hits in lists for _, entry in hits)
+        return terms, [[(pos, terms.number[entry]) for pos, entry in hits] for hits in lists]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = None if rows is None else _Scan(rows)
+        for batch in batches:
+            for part in parts(batch, [at]):
+                sentences = part.column(at).to_pylist()
+                terms, found = listed(part) if scan is None else (scan.terms, map(scan.places, sentences))
+                row, pos, number, around = [], [], [], []
+                for k, (sentence, hits) in enumerate(zip(sentences, found)):
+                    if not hits:
+                        continue
+                    stay = terms.disjoint(hits)
+                    if kept == "surest":
+                        stay = terms.surest(stay)
+                    row += [k] * len(stay)
+                    pos += [p for p, _ in stay]
+                    number += [n for _, n in stay]
+                    around += [sentence[max(p - NEAR, 0) : p + terms.sizes[n] + NEAR] for p, n in stay]
+                if not row:
+                    continue
+                row, number, pos = pa.array(row), np.array(number), np.array(pos, np.int32)
+                entries = dict(zip(("size", *names), zip(*terms.entries)))
+                made = {n: pa.array(entries[n], arrow.field(n).type).take(pa.array(number)) for n in names}
+                made |= {"pos": pa.array(pos), "end": pa.array(pos + np.array(terms.sizes, np.int32)[number]), "stretch": pa.array(around, pa.string())}
+                columns = [part.column(part.schema.get_field_index(k)).take(row) for k in keys]
+                yield pa.RecordBatch.from_arrays([*columns, *(made[f.name] for f in list(arrow)[len(keys) :])], schema=arrow)
+
+    return held.mapInArrow(run, schema)
+
+
 def _sliced(held: DataFrame, needles: DataFrame, keys: list[str], hit: StructType, slices: int) -> DataFrame:
     blocks = ceil(held.count() / BLOCK_ROWS) or 1
     block = F.pmod(F.xxhash64(*keys), F.lit(blocks))
@@ -140,28 +243,8 @@ def _sliced(held: DataFrame, needles: DataFrame, keys: list[str], hit: StructTyp
     return held.join(lists, keys, "left").withColumn("hits", F.coalesce("hits", F.array().cast(ArrayType(hit))))
 
 
-def disjoint(hits: Column) -> Column:
-    """The hits that stay: from left to right, where two overlap the longer, of equal ones the surer.
-
-    A hit that overlaps the last one that stays takes its place if it is longer.
-    """
-    size = lambda h: h["end"] - h["pos"]
-    ranked = F.transform(hits, lambda h: F.struct(h["pos"].alias("pos"), (-size(h)).alias("_size"), (-h["confidence"]).alias("_c"), h["region_id"].alias("region_id"), h["end"].alias("end"), h["term"].alias("term"), h["kind"].alias("kind"), h["confidence"].alias("confidence")))
-    ordered = F.array_sort(ranked)
-
-    def next_(kept: Column, h: Column) -> Column:
-        n = F.size(kept)
-        last = F.get(kept, n - 1)
-        apart = last.isNull() | (h["pos"] >= last["end"])
-        return F.when(apart, F.concat(kept, F.array(h))).when(size(h) > size(last), F.concat(F.slice(kept, 1, n - 1), F.array(h))).otherwise(kept)
-
-    return F.aggregate(ordered, F.slice(ordered, 1, 0), next_)
-
-
-def side(sentence: str, hit: Column, sides: tuple[str, str] = SIDES) -> Column:
+def side(stretch: Column, sides: tuple[str, str] = SIDES) -> Column:
     """Which side is named nearest to the left end of the stretch around a hit; only as written in lower case."""
-    start = F.greatest(hit["pos"] - NEAR, F.lit(0))
-    stretch = F.substring(F.col(sentence), start + 1, hit["end"] + NEAR - start)
     found = F.regexp_extract(stretch, rf"\b({'|'.join(sides)})s?\-?{SIDE_ENDINGS}\b", 1)
     return F.when(found == "", "unspecified").otherwise(found)
 
@@ -171,8 +254,8 @@ def scanned(sentences: DataFrame, lexicon: DataFrame, keys: list[str], sides: tu
 
     Null and empty sentences have none; equal sentences have the same.
     """
-    kept = raw_hits(sentences, lexicon, keys).select(*keys, "sentence", F.explode(disjoint(F.col("hits"))).alias("h"))
-    return kept.select(*keys, "h.pos", "h.end", "h.term", "h.region_id", "h.kind", "h.confidence", side("sentence", F.col("h"), sides).alias("laterality"))
+    hits = raw_hits(sentences, lexicon, keys, kept="disjoint")
+    return hits.select(*keys, "pos", "end", "term", "region_id", "kind", "confidence", side(F.col("stretch"), sides).alias("laterality"))
 
 
 def region_mentions(sentences: DataFrame, lexicon: DataFrame, keys: list[str], sides: tuple[str, str] = SIDES) -> DataFrame:
@@ -180,8 +263,5 @@ def region_mentions(sentences: DataFrame, lexicon: DataFrame, keys: list[str], s
 
     All of a sentence is in its row, so nothing is shuffled for it.
     """
-    hits = F.transform(disjoint(F.col("hits")), lambda h: F.struct(h["region_id"].alias("region_id"), (-h["confidence"]).alias("_c"), h["pos"].alias("pos"), h["end"].alias("end"), h["term"].alias("term"), h["kind"].alias("kind"), h["confidence"].alias("confidence")))
-    by_region = raw_hits(sentences, lexicon, keys).withColumn("hits", F.array_sort(hits))
-    first = F.filter("hits", lambda h, k: (k == 0) | ~h["region_id"].eqNullSafe(F.get("hits", k - 1)["region_id"]))
-    kept = by_region.select(*keys, "sentence", F.explode(first).alias("h"))
-    return kept.select(*keys, "h.region_id", "h.pos", "h.end", "h.term", "h.kind", "h.confidence", side("sentence", F.col("h"), sides).alias("laterality"))
+    hits = raw_hits(sentences, lexicon, keys, kept="surest")
+    return hits.select(*keys, "region_id", "pos", "end", "term", "kind", "confidence", side(F.col("stretch"), sides).alias("laterality"))

@@ -80,3 +80,19 @@ def test_no_sentences_and_no_terms(spark):
     assert m.scanned(none, m.region_lexicon(names), keys).collect() == []
     assert m.scanned(some, m.region_lexicon(names.limit(0)), keys).collect() == []
     assert len(m.scanned(some, m.region_lexicon(names), keys).collect()) == 1
+
+
+@pytest.mark.parametrize("letters", [10**6, 4])
+def test_a_long_sentence_is_resolved_where_it_is_scanned(spark, letters, monkeypatch):
+    monkeypatch.setattr(m.raw_hits, "__defaults__", (letters,))
+    names = [(1, "amygdala", "canonical"), (1, "amygdala left", "alias_en"), (None, "left", "alias_cn"), (2, "CA1", "canonical"), (2, "CA", "alias_en")]
+    lexicon = m.region_lexicon(spark.createDataFrame(names, "region_id long, term string, kind string"))
+    df = spark.createDataFrame([(1, 0, "amygdala left, CA CA1 xCA. " * 2000)], "doc_id long, sentence_id long, sentence string")
+    hits = m.scanned(df, lexicon, ["doc_id", "sentence_id"])
+    # no list of hits goes to the JVM, whose copies grow with the square of its length
+    if letters > 4:
+        assert "Generate" not in hits._jdf.queryExecution().toString()
+    got = hits.groupBy("term", "region_id").count().collect()
+    assert {(r["term"], r["region_id"]): r["count"] for r in got} == {("amygdala left", 1): 2000, ("ca", 2): 2000, ("ca1", 2): 2000}
+    mentions = {(r["region_id"], r["term"], r["pos"], r["laterality"]) for r in m.region_mentions(df, lexicon, ["doc_id", "sentence_id"]).collect()}
+    assert mentions == {(1, "amygdala left", 0, "left"), (2, "ca1", 18, "left")}
