@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import written
+
 
 def name_index(*levels: tuple[str, DataFrame]) -> DataFrame:
     """(key, method, priority, entity) of all levels, the first of highest priority; each is (key, entity)."""
@@ -45,25 +47,27 @@ def prefix_matches(queries: DataFrame, names: DataFrame) -> DataFrame:
 
     ``queries``: query, norm; ``names``: region, norm.  Who is longer must share
     a prefix of a length that follows from its own, so both sides meet by
-    equality of that prefix, and only names as short or shorter are asked.
+    equality of that prefix, and only names as short or shorter are asked: their
+    prefixes that no longer name asks for are left out.  Queries of one norm ask once.
     """
+    need = lambda size: F.greatest(F.ceil(size * (FUZZY - 0.005)).cast("int"), F.lit(SHARED))
 
     def led(df: DataFrame) -> DataFrame:
         """Each name with the prefix that a match with it as the longer one needs."""
-        need = F.greatest(F.ceil(F.length("norm") * (FUZZY - 0.005)).cast("int"), F.lit(SHARED))
-        return df.where(F.length("norm") >= SHARED).withColumn("k", need).withColumn("head", F.expr("substring(norm, 1, k)"))
+        return df.where(F.length("norm") >= SHARED).withColumn("k", need(F.length("norm"))).withColumn("head", F.expr("substring(norm, 1, k)"))
 
     def cut(df: DataFrame) -> DataFrame:
-        """Each name with all its prefixes."""
-        return df.where(F.length("norm") >= SHARED).withColumn("k", F.explode(F.sequence(F.lit(SHARED), F.length("norm")))).withColumn("head", F.expr("substring(norm, 1, k)"))
+        """Each name with its prefixes that one as long or longer may need."""
+        return df.where(F.length("norm") >= SHARED).withColumn("k", F.explode(F.sequence(need(F.length("norm")), F.length("norm")))).withColumn("head", F.expr("substring(norm, 1, k)"))
 
-    q, n = queries.select("query", "norm").distinct(), names.select("region", "norm").distinct()
+    q, n = queries.select("norm").distinct(), names.select("region", "norm").distinct()
     longer = led(n).withColumnRenamed("norm", "name").join(cut(q), ["head", "k"]).where("length(norm) <= length(name)")
     shorter = led(q).join(cut(n).withColumnRenamed("norm", "name"), ["head", "k"]).where("length(norm) > length(name)")
-    both = longer.select("query", "norm", "region", "name").unionByName(shorter.select("query", "norm", "region", "name")).where("norm <> name")
+    both = longer.select("norm", "region", "name").unionByName(shorter.select("norm", "region", "name")).where("norm <> name")
     common = F.expr("size(filter(sequence(1, least(length(norm), length(name))), i -> substring(norm, 1, i) = substring(name, 1, i)))")
     scored = both.withColumn("score", F.round(common / F.greatest(F.length("norm"), F.length("name")), 2))
-    return scored.where(F.col("score") >= FUZZY).groupBy("query", "region").agg(F.max("score").alias("score"))
+    best = scored.where(F.col("score") >= FUZZY).groupBy("norm", "region").agg(F.max("score").alias("score"))
+    return queries.select("query", "norm").distinct().join(best, "norm").groupBy("query", "region").agg(F.max("score").alias("score"))
 
 
 def resolve_levels(queries: DataFrame, index: DataFrame, chosen: list[str], names: DataFrame) -> DataFrame:
@@ -76,7 +80,8 @@ def resolve_levels(queries: DataFrame, index: DataFrame, chosen: list[str], name
     ``names`` (region, norm) as candidates, which are only looked for where the levels fail.
     Empty and null names stay unresolved.
     """
-    asked = queries.select("query", "norm").distinct()
+    # every step below asks the same, and would read what the names come from anew
+    asked = written(queries.select("query", "norm").distinct())
     hits = asked.join(index, F.col("norm") == F.col("key")).groupBy("query", "priority", "method", "region").agg(F.max("confidence").alias("confidence"))
     entry = F.struct((-F.col("confidence")).alias("order"), "region")
     level = hits.groupBy("query", "priority", "method").agg(F.array_sort(F.collect_list(entry)).alias("found"))

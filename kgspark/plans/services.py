@@ -82,7 +82,7 @@ def _resolver(spark: SparkSession, d: str) -> DataFrame:
     levels = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(k).alias("priority"), key.alias("key"), F.lit(c).alias("confidence")) for m, k, key, c in (("cn", 0, join(1, 2), 1.0), ("en", 1, join(1, 3), 1.0), ("alias", 2, join(4, 1), 0.9), ("alias", 2, join(5, 2), 0.8), ("atlas", 3, join(7, 1), 0.9), ("synonym", 4, join(9, 1), 0.85))])
     index = items.select("region", F.explode(levels).alias("l")).select("l.*", "region").where("key <> ''")
     names = index.where("method in ('cn', 'en', 'alias')").select("region", F.col("key").alias("norm"))
-    begin = table(spark, d, "documents").select(F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ").alias("query"))
+    begin = table(spark, d, "documents").select(F.array_join(F.slice(F.split("text", r"\s+", 4), 1, 3), " ").alias("query"))
     altered = index.select(F.explode(F.array(F.upper("key"), F.concat("key", F.lit("x")), F.expr("left(key, length(key) - 2)"))).alias("query"))
     asked = begin.union(altered).where("query is not null").distinct().select("query", normal_name(F.col("query")).alias("norm"))
     told = r.resolve_levels(asked, index, ["cn", "en", "synonym"], names)

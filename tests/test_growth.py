@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from kgspark.functions.slices import map_slices
-from kgspark.operators import endpoints, governance, graph, papers, passages, rules
+from kgspark.operators import endpoints, governance, graph, papers, passages, resolve, rules
 
 
 def join_rows(df):
@@ -128,3 +128,17 @@ def test_rules_make_connections_and_lineage_once(spark):
     regions, reports = spark.createDataFrame([("r",), ("s",)], "region string"), spark.createDataFrame([(1,)], "report_id long")
     assert [r.status for r in rules.check_connections(canonical, regions, lineage, reports).collect()] == ["passed"]
     assert (read.value, traced.value) == (1, 1)
+
+
+def test_names_to_resolve_are_read_once_and_only_ask_names_that_may_do(spark):
+    asked, seen = counted(spark, spark.range(300).select(F.concat(F.lit("Alpha-beta gamma"), F.repeat(F.lit("."), F.col("id").cast("int"))).alias("query"), F.lit("alpha beta gamma").alias("norm")))
+    names = spark.range(100).select(F.col("id").alias("region"), F.concat(F.lit("al"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("norm")).union(spark.createDataFrame([(100, "alpha beta")], "region long, norm string"))
+    # of 101 names that begin alike one is long enough; queries of one norm meet it as one
+    offered = resolve.prefix_matches(asked, names)
+    assert join_rows(offered) <= 1 + 300
+    assert {(r.region, r.score) for r in offered.collect()} == {(100, 0.63)} and offered.count() == 300
+    index = names.select(F.lit("cn").alias("method"), F.lit(0).alias("priority"), F.col("norm").alias("key"), "region", F.lit(1.0).alias("confidence"))
+    before = seen.value
+    told = resolve.resolve_levels(asked, index, [], names).collect()
+    assert len(told) == 300 and {r.method for r in told} == {"fuzzy"}
+    assert seen.value - before == 300
