@@ -28,7 +28,7 @@ CAPACITY = 2048
 #: Items of a group, on average.
 GROUP_ITEMS = 8192
 #: Text encoded at a time, in bytes.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 
 
 def encode_with_special(texts: list[str | None], coder: CountTransducer) -> list[bytes]:

@@ -3,10 +3,16 @@
 import random
 import resource
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
+from kgspark.llm import packing
+from kgspark.llm.bpe import tokenizer_path
+from kgspark.llm.common import blocks
 from kgspark.llm.packing import Bins
+from kgspark.llm.tokencount import VOCABULARY, transducer
 
 
 class Watched(Bins):
@@ -71,3 +77,17 @@ def test_no_step_is_left():
                     give, get = sides(own), sides(other)
                     for g, t in [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1)]:
                         assert not any(0 < y - x <= capacity - bins.fill[b] for x in give[g] for y in get[t])
+
+
+def test_encoding_holds_little_at_a_time():
+    """4 MB of different words in one batch: they aren't all encoded at once."""
+    rng = random.Random(3)
+    coder = transducer(tokenizer_path(VOCABULARY))
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(7000)) for _ in range(85)]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    tracemalloc.start()
+    for block in blocks(batch, 1, packing.ENCODE_BYTES):
+        packing.encode_with_special(block.column(1).to_pylist(), coder)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 140e6
