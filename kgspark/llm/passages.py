@@ -23,7 +23,7 @@ has more of them meets all others of its group, in bounded cells.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ BLOCK = 1 << 19
 REACH, PARTS, AGREE = (LEAST_WORDS - SHINGLE_WORDS) // 2, 7, 3
 #: In the second round: places on a side of a minimum that are compared, and how far off a shingle may be.
 SIDE, SHIFT = LEAST_WORDS - SHINGLE_WORDS, 8
+#: Places on a side of a minimum that tell whether a passage can be alike at all.
+WIDE = 3 * SIDE
 #: The bit of a shingle's sixteen that tells that it isn't settled.
 NEW = 2
 #: Part of a window's shingles around its minimum that settles it, and how many others it meets at a time.
@@ -157,11 +159,11 @@ def _sketches(hashes: np.ndarray) -> np.ndarray:
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows (key, doc, l, r, digest, left, right) agree on a side that both have whole; ``a`` and ``b`` may be broadcast."""
-    out = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), bool)
+    """Which pairs of sketches (left, right) agree on a side that both have whole."""
+    out = np.zeros(len(a), bool)
     ones = int("1" * PARTS, 16)
-    for side in (5, 6):
-        x, y = a[..., side], b[..., side]
+    for side in (0, 1):
+        x, y = a[:, side], b[:, side]
         apart = x ^ y
         apart |= apart >> 2
         apart |= apart >> 1
@@ -268,6 +270,7 @@ def _grouped(windows: DataFrame) -> DataFrame:
             rows = np.concatenate([held, fresh_rows])
             more = np.append(more, np.zeros(len(fresh_rows), bool))
             opens = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
+            sides = rows[:, 5:].astype(np.int32)
             # the place of a row among its key's; the rows held begin a block and have met one another
             first = np.repeat(opens, np.diff(np.append(opens, len(rows))))
             place = np.arange(len(rows)) - first
@@ -280,7 +283,7 @@ def _grouped(windows: DataFrame) -> DataFrame:
                 m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + PAIRS, side="right")) - 1)
                 y = np.repeat(todo[k:m], earlier[todo[k:m]])
                 x = y - 1 - (np.arange(len(y)) - np.repeat(bounds[k:m] - bounds[k], earlier[todo[k:m]]))
-                good = np.flatnonzero(_agree(rows[x], rows[y]) & (rows[x, 1] != rows[y, 1]))
+                good = np.flatnonzero(_agree(sides[x], sides[y]) & (rows[x, 1] != rows[y, 1]))
                 x, y = x[good], y[good]
                 change = y[1:] != y[:-1]
                 chosen = np.append(True, change)[: len(y)] | np.append(change, True)[: len(y)]
@@ -307,7 +310,7 @@ def _grouped(windows: DataFrame) -> DataFrame:
 
 
 def _signed(docs: DataFrame, windows: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``windows`` (key, doc, l, r, ...) with ``near``: 16 bits for each shingle up to SIDE places from the minimum, 0 beyond the window.
+    """``windows`` (key, doc, l, r, ...) with ``near``: 16 bits for each shingle up to WIDE places from the minimum, 0 beyond the window.
 
     One bit of them tells that the shingle lies in none of the ``known``
     (doc, spans) repeats.
@@ -334,19 +337,20 @@ def _signed(docs: DataFrame, windows: DataFrame, known: DataFrame, id_col: str,
                     for span in spans or []:
                         known_end = min(max(span["start"], span["end"] - SHINGLE_WORDS + 1), count)
                         bits[start + span["start"] : start + known_end] &= np.uint16(0xFFFF ^ NEW)
-                bits = np.pad(bits, SIDE)
+                bits = np.pad(bits, WIDE)
                 left, right = (x + np.repeat(begin, sizes) for x in (left, right))
                 center = np.zeros(len(key), np.int64)
                 for f in range(HASHES):
                     value, mine_ = _hashed(h, f), np.flatnonzero(key & 7 == f)
                     center[mine_] = [a + int(value[a : b + 1].argmin()) for a, b in zip(left[mine_].tolist(), right[mine_].tolist())]
-                for k in range(0, len(key), PAIRS):
-                    at = center[k : k + PAIRS, None] + np.arange(-SIDE, SIDE + 1)
-                    near = np.where((at >= left[k : k + PAIRS, None]) & (at <= right[k : k + PAIRS, None]), bits[at + SIDE], np.uint16(0))
+                for k in range(0, len(key), PAIRS // 8):
+                    here = slice(k, k + PAIRS // 8)
+                    at = center[here, None] + np.arange(-WIDE, WIDE + 1)
+                    near = np.where((at >= left[here, None]) & (at <= right[here, None]), bits[at + WIDE], np.uint16(0))
                     width = near.shape[1] * near.itemsize
                     offsets = pa.py_buffer(np.arange(0, (len(near) + 1) * width, width, dtype=np.int32))
                     binary = pa.Array.from_buffers(pa.binary(), len(near), [None, offsets, pa.py_buffer(near)])
-                    columns = [part.field(c).slice(k, PAIRS) for c in range(len(extra))] + [binary]
+                    columns = [part.field(c).slice(k, PAIRS // 8) for c in range(len(extra))] + [binary]
                     yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.join(by_doc, docs[id_col] == by_doc[mine], "left").mapInArrow(run, schema)
@@ -373,10 +377,15 @@ def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which shingles of rows ``y`` around their minimum lie in a passage that ``x`` surely holds.
 
     So many of a stretch of the least length stand in ``x`` in line with the
-    minimum that the two stretches, which are equally long, are alike.
+    minimum that the two stretches, which are equally long, are alike.  Where
+    that leaves none that is new, longer stretches are looked at.
     """
     in_line = ((x | np.uint16(NEW)) == (y | np.uint16(NEW))) & (y > 0)
-    return _stretches(in_line, 2 * SIMILARITY / (1 + SIMILARITY) * (LEAST_WORDS - SHINGLE_WORDS + 1)) & (y > 0)
+    out = _stretches(in_line, 2 * SIMILARITY / (1 + SIMILARITY) * (LEAST_WORDS - SHINGLE_WORDS + 1)) & (y > 0)
+    if y.shape[1] > 2 * SIDE + 1:
+        some = np.flatnonzero(~(out & (y & np.uint16(NEW) > 0)).any(axis=1))
+        out[some] = _likely(in_line[some], None)
+    return out
 
 
 def _possible(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -396,80 +405,222 @@ def _possible(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit & _stretches(hit, SIMILARITY * (LEAST_WORDS - SHINGLE_WORDS + 1)), nearly
 
 
+def _matched(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles of rows ``y`` stand in those of ``x`` up to SHIFT places off, and how far off, the least of several."""
+    padded, asked = np.pad(x | np.uint16(NEW), ((0, 0), (SHIFT, SHIFT))), y | np.uint16(NEW)
+    hit, off = np.zeros(y.shape, bool), np.zeros(y.shape, np.int16)
+    for k in sorted(range(-SHIFT, SHIFT + 1), key=abs, reverse=True):
+        same = padded[:, k + SHIFT : k + SHIFT + y.shape[1]] == asked
+        hit |= same
+        off[same] = k
+    return hit & (y > 0), off
+
+
+def _likely(hit: np.ndarray, off: np.ndarray | None, credit: np.ndarray | int = 0, first: np.ndarray | int = 0, last: np.ndarray | int = 0) -> np.ndarray:
+    """Which places lie between two ``hit`` ones, as far apart as the ends of the least passage, that may bound a passage alike.
+
+    Of p places and q of the other text's, the c that are hit are enough if
+    9 c >= 4 (p + q); q is p and what the ends' ``off`` differ, or p where that
+    is None.  No passage spans GAP places without a hit.  ``credit``
+    is what the left side may lack for each row, ``first`` and ``last`` what it
+    may lack besides for a passage that begins or ends at the rim, since it may
+    go on beyond it.
+    """
+    n, width = hit.shape
+    least = LEAST_WORDS - SHINGLE_WORDS
+    out = np.zeros((n, width + 1), np.int16)
+    count = np.zeros((n, width + 1), np.int16)
+    np.cumsum(hit, axis=1, dtype=np.int16, out=count[:, 1:])
+    end = 9 * count[:, 1:] - 8 * np.arange(1, width + 1, dtype=np.int16)
+    gap = hit[:, :-GAP] & (count[:, GAP + 1 :] == count[:, 1:-GAP])
+    gaps = np.flatnonzero(gap.any(axis=1))
+    end[gaps, GAP:] -= np.cumsum(gap[gaps], axis=1, dtype=np.int16) * np.int16(width)
+    rim, lowest = end[:, -1].copy(), end + np.int16(8)
+    lowest[hit] -= 9
+    if off is not None:
+        lowest -= 4 * off
+        end -= 4 * off
+    far = np.int16(1 << 14)
+    lowest[~hit], end[~hit] = far, -far
+    credit, first, last = (np.minimum(v, 1 << 12).astype(np.int16) for v in (credit, first, last))
+    end += np.reshape(credit, (-1, 1))
+    lowest[:, 0] = np.minimum(lowest[:, 0], np.where(first > 0, -first, far))
+    end[:, -1] = np.maximum(end[:, -1], np.where(last > 0, rim + credit + last, -far))
+    np.minimum.accumulate(lowest, axis=1, out=lowest)
+    some = np.flatnonzero((end[:, least:] >= lowest[:, : width - least]).any(axis=1))
+    low, high = lowest[some], end[some]
+    row, at = np.nonzero(high[:, least:] >= low[:, : width - least])
+    # the first place from which a passage may reach each of these; the lowest only falls
+    for k in range(0, len(row), PAIRS // 8):
+        r, z = row[k : k + PAIRS // 8], at[k : k + PAIRS // 8] + least
+        np.add.at(out, (some[r], np.count_nonzero(low[r] > high[r, z][:, None], axis=1)), 1)
+        np.add.at(out, (some[r], z + 1), -1)
+    out[some] = np.cumsum(out[some], axis=1, dtype=np.int16)
+    return out[:, :-1] > 0
+
+
+def _cell_meetings(
+    cell: np.ndarray,
+    doc: np.ndarray,
+    width: np.ndarray,
+    sides: np.ndarray,
+    near: np.ndarray,
+    base: np.ndarray,
+    guest: np.ndarray,
+    holds: Callable[[np.ndarray, np.ndarray], np.ndarray] = _held,
+) -> np.ndarray:
+    """Columns base, guest, sure of the meetings of the rows of some cells, which come by cell and document.
+
+    ``near`` is written on: what a guest has met is no longer new.  ``holds``
+    tells which shingles of a guest lie in a passage that a base surely holds.
+    """
+    inner = near[:, WIDE - SIDE : WIDE + SIDE + 1]
+    bases = np.flatnonzero(base)
+    before = np.cumsum(base) - base
+    heads = np.append(True, cell[1:] != cell[:-1])[: len(cell)]
+    docs = heads | np.append(True, doc[1:] != doc[:-1])[: len(cell)]
+    # the bases of a guest's cell that are earlier documents'
+    first, upto = (before[np.flatnonzero(h)[np.cumsum(h) - 1]] for h in (heads, docs))
+    guests = np.flatnonzero(guest & (upto > first))
+    left = np.count_nonzero(inner & np.uint16(NEW), axis=1)
+    met = [np.zeros((0, 3), np.int64)]
+
+    def candidates() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for wave in range(0, int((upto - first)[guests].max(initial=0)), FIRST):
+            some = guests[(left[guests] > GAP) & (first[guests] + wave < upto[guests])]
+            start = first[some] + wave
+            bounds = np.append(0, np.cumsum(np.minimum(FIRST, upto[some] - start)))
+            k = 0
+            while k < len(some):
+                m = max(k + 1, int(np.searchsorted(bounds, bounds[k] + PAIRS, side="right")) - 1)
+                times = np.diff(bounds[k : m + 1])
+                y = np.repeat(some[k:m], times)
+                x = bases[np.repeat(start[k:m] - (bounds[k:m] - bounds[k]), times) + np.arange(len(y))]
+                good = np.flatnonzero(_agree(sides[x], sides[y]))
+                for c in range(0, len(good), 1 << 12):
+                    yield x[good[c : c + (1 << 12)]], y[good[c : c + (1 << 12)]]
+                k = m
+
+    def added(y: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return np.count_nonzero(places & (inner[y] & np.uint16(NEW) > 0), axis=1)
+
+    def tell(x: np.ndarray, y: np.ndarray, sure: bool) -> None:
+        met.append(np.stack([x, y, np.full(len(x), sure, np.int64)], axis=1))
+
+    def best_told(x: np.ndarray, y: np.ndarray, held: np.ndarray, asked: np.ndarray) -> None:
+        """Meetings that add some of what is ``asked``: for each guest the one that adds most, the earliest of equals, and so on."""
+        while len(y):
+            adds = added(y, held & asked)
+            some = np.flatnonzero(adds > GAP)
+            x, y, held, asked, adds = x[some], y[some], held[some], asked[some], adds[some]
+            by_guest = np.lexsort((doc[x], -adds, y))
+            best = by_guest[np.append(True, y[by_guest[1:]] != y[by_guest[:-1]])[: len(y)]]
+            tell(x[best], y[best], True)
+            inner[y[best]] &= np.where(held[best], np.uint16(0xFFFF ^ NEW), np.uint16(0xFFFF))
+            left[y[best]] = np.count_nonzero(inner[y[best]] & np.uint16(NEW), axis=1)
+
+    for x, y in candidates():
+        held = holds(inner[x], inner[y])
+        best_told(x, y, held, held)
+    again_ = np.full(len(near), -1)
+
+    def repeats(rows: np.ndarray) -> np.ndarray:
+        """How many shingles of each row come again in it."""
+        asked = distinct(rows[again_[rows] < 0])
+        ordered = np.sort(near[asked] & np.uint16(0xFFFF ^ NEW), axis=1)
+        again_[asked] = np.count_nonzero((ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] > 0), axis=1)
+        return again_[rows]
+
+    for x, y in candidates():
+        hit, nearly = _possible(inner[x], inner[y])
+        rest = added(y, hit) > GAP
+        settled = np.flatnonzero(nearly & rest)
+        y2, one = np.unique(y[settled], return_index=True)
+        tell(x[settled[one]], y2, True)
+        inner[y2] &= np.uint16(0xFFFF ^ NEW)
+        left[y2] = 0
+        rest &= ~np.isin(y, y2)
+        x, y, hit = x[rest], y[rest], hit[rest]
+        if not len(y):
+            continue
+        ours = near[y]
+        # as far as any of these windows goes
+        reach = max(SIDE + 1, *np.abs(np.flatnonzero(ours.any(axis=0))[[0, -1]] - WIDE).tolist())
+        reached, middle = slice(WIDE - reach, WIDE + reach + 1), slice(reach - SIDE, reach + SIDE + 1)
+        ours, theirs = ours[:, reached], near[x, reached]
+        found, off = _matched(theirs, ours)
+        # what no passage in reach holds can't be verified; beyond it, all may be alike, and shingles may come again
+        beyond = np.minimum(width[x] - np.count_nonzero(near[x], axis=1), width[y] - np.count_nonzero(ours, axis=1))
+        again = 4 * (repeats(x) + repeats(y))
+        rims = [np.where((near[x, k] > 0) & (near[y, k] > 0), beyond, 0) for k in (0, -1)]
+        may = _likely(found, None, again, *rims)[:, middle]
+        moved = np.flatnonzero((off != 0).any(axis=1))
+        may[moved] |= _likely(found[moved], off[moved], again[moved], *(rim[moved] for rim in rims))[:, middle]
+        some = np.flatnonzero(added(y, hit & may) > GAP)
+        x, y, hit, may = x[some], y[some], hit[some], may[some]
+        best_told(x, y, holds(theirs[some], ours[some])[:, middle], hit)
+        rest = added(y, hit & may) > GAP
+        tell(x[rest], y[rest], False)
+    return np.concatenate(met)
+
+
 def _across(docs: DataFrame, grouped: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Meetings (key, a, b, al, ar) of the windows of kind 2 that ``spans`` (doc, start, end) don't settle with the others of their key.
 
-    A window is settled if a span leaves less than a passage of it on either
+    A window is settled if a span leaves no more than GAP words of it on either
     side.  Two windows meet if they agree, and share enough shingles around
     their minimum to hold a passage, some of them outside of ``spans``.  What an
     earlier window surely holds of one counts as known from then on, and such a
     meeting (``sure``) is enough for verification without a second hash
     function; of a cell's meetings those that add most come first, then, for
-    what is left, all others.  A key's windows meet in cells of two blocks each.
+    what is left, all others that may hold a passage, as far as the shingles up
+    to WIDE places from the minimum tell.  A key's windows meet in cells of two
+    blocks each; the rows of a cell come in order.
     """
     rows = grouped.where("kind = 2").select("key", F.col("a").alias("doc"), "l", "r", "before", "behind")
     known = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    slack = LEAST_WORDS - SHINGLE_WORDS
-    settled = F.exists("spans", lambda s: (s["start"] <= F.col("l") + slack) & (s["end"] >= F.col("r") - slack + SHINGLE_WORDS))
+    settled = F.exists("spans", lambda s: (s["start"] <= F.col("l") + GAP) & (s["end"] >= F.col("r") - GAP + SHINGLE_WORDS))
     flagged = rows.join(known, "doc", "left").withColumn("open", ~F.coalesce(settled, F.lit(False))).drop("spans").repartition("key")
     size = flagged.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("blocks"), F.max("open").alias("any")).where("any")
     signed = _signed(docs, flagged.join(size.drop("any"), "key"), known, id_col, text_col)
-    block, every = F.pmod(F.xxhash64("doc", "l"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own = signed.withColumns({"i": block, "visits": F.lit(False)}).withColumn("j", every)
-    visitors = signed.where("open").withColumns({"j": block, "visits": F.lit(True)}).withColumn("i", every)
+    # a row is at home in the cells (its block, any), and a guest, if it is open, in the cells (any, its block)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    placed = signed.withColumn("block", F.pmod(F.xxhash64("doc", "l"), "blocks").cast("int"))
+    home = F.transform(every, lambda k: F.struct(F.col("block").alias("i"), k.alias("j"), F.lit(True).alias("base"), (F.col("open") & (k == F.col("block"))).alias("guest")))
+    visits = F.transform(F.filter(every, lambda k: F.col("open") & (k != F.col("block"))), lambda k: F.struct(k.alias("i"), F.col("block").alias("j"), F.lit(False).alias("base"), F.lit(True).alias("guest")))
+    dealt = placed.withColumn("cell", F.explode(F.concat(home, visits))).select("key", "cell.i", "cell.j", "doc", "l", "r", "before", "behind", "near", "cell.base", "cell.guest")
     schema = "key long, a long, b long, al int, ar int, sure boolean"
     arrow = _arrow_schema(grouped.sparkSession, schema)
 
-    def pair(part: pa.Table) -> pa.Table:
-        rows = np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("key", "doc", "l", "r", "l", "before", "behind")], axis=1)
-        near = np.frombuffer(b"".join(part.column("near").to_pylist()), np.uint16).reshape(len(rows), -1).copy()
-        visits = part.column("visits").to_numpy(zero_copy_only=False)
-        order = np.argsort(rows[:, 1], kind="stable")
-        base, guests = order[~visits[order]], order[visits[order]]
-        met = [np.zeros((0, 3), np.int64)]  # columns base, guest, sure
-
-        def candidates() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for k in range(0, len(base), FIRST):
-                some = base[k : k + FIRST]
-                open_ = guests[np.count_nonzero(near[guests] & np.uint16(NEW), axis=1) > GAP]
-                for g in range(0, len(open_), PAIRS // FIRST):
-                    y = open_[g : g + PAIRS // FIRST]
-                    good_y, good_x = np.nonzero((rows[some, 1] < rows[y, 1][:, None]) & _agree(rows[some], rows[y][:, None]))
-                    for c in range(0, len(good_y), 1 << 12):
-                        yield some[good_x[c : c + (1 << 12)]], y[good_y[c : c + (1 << 12)]]
-
-        def added(y: np.ndarray, places: np.ndarray) -> np.ndarray:
-            return np.count_nonzero(places & (near[y] & np.uint16(NEW) > 0), axis=1)
-
-        def tell(x: np.ndarray, y: np.ndarray, sure: bool) -> None:
-            met.append(np.stack([x, y, np.full(len(x), sure, np.int64)], axis=1))
-
-        for x, y in candidates():
-            held = _held(near[x], near[y])
-            while len(y):
-                adds = added(y, held)
-                some = np.flatnonzero(adds > GAP)
-                x, y, held, adds = x[some], y[some], held[some], adds[some]
-                # for each guest the one that adds most, the earliest of equals
-                by_guest = np.lexsort((rows[x, 1], -adds, y))
-                best = by_guest[np.append(True, y[by_guest[1:]] != y[by_guest[:-1]])[: len(y)]]
-                tell(x[best], y[best], True)
-                near[y[best]] &= np.where(held[best], np.uint16(0xFFFF ^ NEW), np.uint16(0xFFFF))
-        for x, y in candidates():
-            hit, nearly = _possible(near[x], near[y])
-            rest = added(y, hit) > GAP
-            settled = np.flatnonzero(nearly & rest)
-            y2, first = np.unique(y[settled], return_index=True)
-            tell(x[settled[first]], y2, True)
-            near[y2] &= np.uint16(0xFFFF ^ NEW)
-            rest &= ~np.isin(y, y2)
-            tell(x[rest], y[rest], False)
-        pairs = np.concatenate(met)
-        a, b = rows[pairs[:, 0]], rows[pairs[:, 1]]
-        return pa.table([pa.array(v, f.type) for v, f in zip((a[:, 0], a[:, 1], b[:, 1], a[:, 2], a[:, 3], pairs[:, 2].astype(bool)), arrow)], schema=arrow)
-
-    columns = ("key", "i", "j", "doc", "l", "r", "before", "behind", "near", "visits")
-    return own.select(*columns).union(visitors.select(*columns)).groupBy("key", "i", "j").applyInArrow(pair, schema)
+    def meet(part: pa.Table) -> pa.RecordBatch:
+        key, i, j, doc, l, r = (part.column(k).to_numpy() for k in range(6))  # noqa: E741
+        cell = np.cumsum(np.append(False, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        sides = np.stack([part.column(k).to_numpy() for k in (6, 7)], axis=1)
+        near = np.frombuffer(b"".join(part.column(8).to_pylist()), np.uint16).reshape(len(key), -1).copy()
+        base, guest = (part.column(k).to_numpy() for k in (9, 10))
+        x, y, sure = _cell_meetings(cell, doc, r - l + 1, sides, near, base, guest, _held).T
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip((key[x], doc[x], doc[y], l[x], r[x], sure.astype(bool)), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last cell may go on in the next batch
+            cells = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            other = np.flatnonzero((cells != cells[-1]).any(axis=1))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if held and not cut and any(held[-1].column(k)[held[-1].num_rows - 1] != batch.column(k)[0] for k in range(3)):
+                yield meet(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield meet(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield meet(pa.Table.from_batches(held))
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc", "l").mapInArrow(run, schema)
 
 
 def _hits(order: np.ndarray, ranked: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -544,10 +695,23 @@ def verified_spans(own: np.ndarray, others: list[np.ndarray], known: list[tuple[
                 found.append((start, end + SHINGLE_WORDS - 1))
                 settled[start : end + SHINGLE_WORDS - 1] = True
                 continue
-            # cut where the other text jumps, else where this one has most that is its own
+            # cut where the other text jumps, else take the longest passages that can be alike
             step, jump = steps[i : j - 1], jumps[i : j - 1]
             at = int(jump.argmax())
             if jump[at] <= GAP:
+                plain = again[end] == again[start]
+                for a, z in _longest(hit[i:j], place[i:j]):
+                    start, end = int(hit[i + a]), int(hit[i + z]) + 1
+                    if settled[start : end + SHINGLE_WORDS - 1].all():
+                        continue
+                    if _alike(own[start:end], other, start, hit[i + a : i + z + 1], place[i + a : i + z + 1]):
+                        found.append((start, end + SHINGLE_WORDS - 1))
+                        settled[start : end + SHINGLE_WORDS - 1] = True
+                    else:
+                        plain = False
+                if plain:
+                    continue
+                # where shingles come again, what is told by counts needn't hold: cut where this text has most that is its own
                 by_step = int(step.argmax())
                 if max(step[by_step], jump[at]) <= 1:
                     continue
@@ -563,6 +727,27 @@ def verified_spans(own: np.ndarray, others: list[np.ndarray], known: list[tuple[
     return out
 
 
+def _longest(hits: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of hits that bound passages of LEAST_WORDS which can be alike, none within another, the longest first.
+
+    Of p shingles and q of the other text's, the c that are hit are enough if
+    9 c >= 4 (p + q), as SIMILARITY asks; q is what the ends' places differ, or p.
+    """
+    turn, bounds = np.arange(len(hits)), []
+    for value in (9 * turn - 4 * (hits + places), 9 * turn - 8 * hits):
+        # the first hit from which a passage reaches each; the lowest only falls
+        first = np.searchsorted(-np.minimum.accumulate(value), -(value + 1))
+        last = np.flatnonzero(hits - hits[first] >= LEAST_WORDS - SHINGLE_WORDS)
+        bounds.append(np.stack([first[last], last], axis=1))
+    first, last = np.concatenate(bounds).T
+    order = np.lexsort((-last, first))
+    first, last = first[order], last[order]
+    outer = last > np.maximum.accumulate(np.append(-1, last))[:-1]
+    first, last = first[outer], last[outer]
+    longest = np.argsort(hits[first] - hits[last], kind="stable")
+    return list(zip(first[longest].tolist(), last[longest].tolist()))
+
+
 def _alike(mine: np.ndarray, other: np.ndarray, start: int, hits: np.ndarray, places: np.ndarray) -> bool:
     """Whether the shingles of a passage and those of the other text's stretch that it meets are alike.
 
